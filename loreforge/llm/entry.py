@@ -37,8 +37,28 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, _fold(4) != 2).withColumn("held_out", _fold(4) == 2)
 
 
+def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from loreforge.llm import tokens
+
+    return tokens.tokenize(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loreforge.llm import mixing
+
+    return mixing.mix(_read(spark, sf_dir, "documents"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loreforge.llm import simhash
+
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_gam, op3_rule_ledger, op5_language_id)}
+    return {f.__name__: f for f in (op2_quality_gam, op3_rule_ledger, op5_language_id, op6_token_shards, op7_entropy_mix, op8_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
