@@ -57,8 +57,15 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loreforge.llm import decontaminate
+
+    found = decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.drop("byte_starts", "byte_ends")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_gam, op3_rule_ledger, op5_language_id, op6_token_shards, op7_entropy_mix, op8_simhash)}
+    return {f.__name__: f for f in (op2_quality_gam, op3_rule_ledger, op5_language_id, op6_token_shards, op7_entropy_mix, op8_simhash, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
