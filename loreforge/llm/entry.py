@@ -57,6 +57,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loreforge.llm import suffixes
+
+    return suffixes.remove_repeats(_read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loreforge.llm import decontaminate
 
@@ -65,7 +71,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_gam, op3_rule_ledger, op5_language_id, op6_token_shards, op7_entropy_mix, op8_simhash, op10_decontaminate)}
+    return {f.__name__: f for f in (op2_quality_gam, op3_rule_ledger, op5_language_id, op6_token_shards, op7_entropy_mix, op8_simhash, op9_suffix_dedup, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
