@@ -23,12 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loreforge.llm import kernels as K
 from loreforge.llm.fmindex import FMIndex
-from loreforge.llm.session import id_and_text, map_texts
+from loreforge.llm.session import add_columns, id_and_text
 
 SHARD_BYTES = 4 << 20
 #: Bytes outside words of lower-cased text: all ASCII but digits and letters.
@@ -116,8 +116,11 @@ def _lists(values: np.ndarray | pa.Array, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values if isinstance(values, pa.Array) else pa.array(values))
 
 
-def _scan(docs: DataFrame, book, first: bool, last: bool) -> DataFrame:
-    names = ["n_words", "starts", "ends", "byte_starts", "byte_ends", "items"]
+_FOUND = {"_n_words": "long", "_starts": "array<long>", "_ends": "array<long>", "_byte_starts": "array<long>", "_byte_ends": "array<long>", "_items": "array<string>"}
+
+
+def _scan(docs: DataFrame, book, keep: list[str]) -> DataFrame:
+    first = "_starts" not in docs.columns
 
     def work(batch):
         found = book.value
@@ -133,7 +136,7 @@ def _scan(docs: DataFrame, book, first: bool, last: bool) -> DataFrame:
             count = K.per_group(doc, n)
             begin = np.cumsum(count) - count
             if not first:  # spans from earlier blocks
-                for lists, sign in (("starts", 1), ("ends", -1)):
+                for lists, sign in (("_starts", 1), ("_ends", -1)):
                     old = batch.column(lists).slice(a, n)
                     size = np.asarray(old.value_lengths())
                     np.add.at(cover, old.flatten().to_numpy() + np.repeat(begin, size), sign)
@@ -148,40 +151,46 @@ def _scan(docs: DataFrame, book, first: bool, last: bool) -> DataFrame:
             pairs = np.unique(np.stack([np.repeat(doc[at], reps), found.item_of[K.take_ragged(found.item_from[window], reps)]], 1), axis=0) if len(at) else np.empty((0, 2), np.int64)
             items = _lists(pa.array(found.items[pairs[:, 1]], pa.string()), K.per_group(pairs[:, 0], n))
             if not first:
-                earlier = batch.column("items").slice(a, n).to_pylist()
+                earlier = batch.column("_items").slice(a, n).to_pylist()
                 items = pa.array([x + y for x, y in zip(earlier, items.to_pylist())], pa.list_(pa.string()))
             shift = begin[doc[s]]
             out.append([pa.array(count), _lists(s - shift, spans), _lists(e - shift, spans), _lists(start[s] - offs[doc[s]], spans), _lists(end[e - 1] - offs[doc[s]], spans), items])
-        columns = [pa.concat_arrays(c) for c in zip(*out)]
-        head, labels = [batch.column("doc_id")], ["doc_id"]
-        if not last:
-            head, labels = [*head, batch.column("text")], [*labels, "text"]
-        yield pa.RecordBatch.from_arrays([*head, *columns], [*labels, *names])
+        return [pa.concat_arrays(c) for c in zip(*out)]
 
-    kinds = "n_words long, starts array<long>, ends array<long>, byte_starts array<long>, byte_ends array<long>, items array<string>"
-    return map_texts(docs, kinds if last else f"text string, {kinds}", work)
+    return add_columns(docs, ", ".join(f"{name} {kind}" for name, kind in _FOUND.items()), work, keep=keep)
 
 
-def removal_spans(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_bytes: int = 8 << 20) -> DataFrame:
-    """doc_id, n_words, merged spans by word and by byte, and the items found, of every document."""
+def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], size: int = 13, block_bytes: int = 8 << 20) -> DataFrame:
+    """The columns ``keep`` of docs, then words, merged spans by word and by byte, and the items found (_FOUND)."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL AND item IS NOT NULL")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-int(total) // block_bytes))
-    found = id_and_text(docs)
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
         book = spark.sparkContext.broadcast(phrases([(r["item"], r["text"]) for r in part.collect()], size))
-        found = _scan(found, book, k == 0, k == blocks - 1)
-    return found
+        docs = _scan(docs, book, keep if k == blocks - 1 else [c for c in docs.columns if c not in _FOUND])
+    return docs
+
+
+def _hits() -> tuple[Column, Column]:
+    """Words hit, and whether they are a twentieth of the text's words."""
+    hit = F.expr("aggregate(zip_with(_ends, _starts, (e, s) -> e - s), 0L, (a, x) -> a + x)")
+    return hit, (hit > 0) & (20 * hit >= F.col("_n_words"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the byte spans to remove."""
-    found = removal_spans(docs, benchmark, size, block_bytes)
-    hit = F.expr("aggregate(zip_with(ends, starts, (e, s) -> e - s), 0L, (a, x) -> a + x)")
-    items = F.array_sort(F.array_distinct("items"))
+    found = find(id_and_text(docs), benchmark, ["doc_id"], size, block_bytes)
+    hit, contaminated = _hits()
+    items = F.array_sort(F.array_distinct("_items"))
     return found.select(
-        "doc_id", "n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
-        "byte_starts", "byte_ends",
-    ).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+        "doc_id", F.col("_n_words").alias("n_words"), hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), contaminated.alias("contaminated"),
+        F.col("_byte_starts").alias("byte_starts"), F.col("_byte_ends").alias("byte_ends"),
+    )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_bytes: int = 8 << 20) -> DataFrame:
+    """The rows of ``docs``, all columns, that are not contaminated."""
+    return find(docs, benchmark, docs.columns, size, block_bytes).where(~_hits()[1]).select(*docs.columns)

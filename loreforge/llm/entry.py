@@ -30,6 +30,12 @@ def op3_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.rule_ledger(_read(spark, sf_dir, "documents"))
 
 
+def op4_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loreforge.llm import licences
+
+    return licences.report(_read(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loreforge.llm import langid
 
@@ -71,7 +77,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_gam, op3_rule_ledger, op5_language_id, op6_token_shards, op7_entropy_mix, op8_simhash, op9_suffix_dedup, op10_decontaminate)}
+    return {f.__name__: f for f in (op2_quality_gam, op3_rule_ledger, op4_licence_rules, op5_language_id, op6_token_shards, op7_entropy_mix, op8_simhash, op9_suffix_dedup, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:

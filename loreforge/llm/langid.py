@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loreforge.llm import kernels as K
-from loreforge.llm.session import id_and_text, map_texts
+from loreforge.llm.session import add_columns, id_and_text
 
 BLOCK = 1024
 UNDETERMINED = "und"
@@ -160,26 +160,44 @@ def sample(docs: DataFrame, usable: Column, lang: str = "lang", docs_per_lang: i
     return out
 
 
+def predict(model: Languages | None, text: pa.Array, lettered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Predicted language and score of each text."""
+    n = len(text)
+    if model is None or not model.names:
+        return np.full(n, UNDETERMINED, object), np.zeros(n)
+    data, offsets = K.text_bytes(text)
+    counts = np.concatenate([phrases(model, part, offs) for _, _, part, offs in K.passes(data, offsets, 8 * K.PASS_BYTES)])
+    cost = counts * model.weights
+    best = cost.argmin(axis=1)
+    low = cost[np.arange(n), best]
+    rest = np.where(np.arange(cost.shape[1]) == best[:, None], np.inf, cost).min(axis=1, initial=np.inf)
+    lead = np.where(np.isfinite(rest), 1 - low / np.maximum(np.where(np.isfinite(rest), rest, 0) + low, 1e-9), 1.0)
+    return np.where(lettered, np.array(model.names, object)[best], UNDETERMINED), np.where(lettered, lead, 0.0)
+
+
+def _lettered(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_lettered", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+
+
 def detect(docs: DataFrame, model: Languages | None) -> DataFrame:
     """lang_pred and score of every document; the score is the winner's lead, 0 to 1."""
-    ready = id_and_text(docs).withColumn("lettered", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
 
     def work(batch):
-        data, offsets = K.text_bytes(batch.column("text"))
-        lettered = batch.column("lettered").to_numpy(zero_copy_only=False)
-        if model is None or not model.names:
-            names, score = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows)
-        else:
-            counts = np.concatenate([phrases(model, part, offs) for _, _, part, offs in K.passes(data, offsets, 8 * K.PASS_BYTES)])
-            cost = counts * model.weights
-            best = cost.argmin(axis=1)
-            low = cost[np.arange(len(cost)), best]
-            rest = np.where(np.arange(cost.shape[1]) == best[:, None], np.inf, cost).min(axis=1, initial=np.inf)
-            score = np.where(lettered, np.where(np.isfinite(rest), 1 - low / np.maximum(rest + low, 1e-9), 1.0), 0.0)
-            names = np.where(lettered, np.array(model.names, object)[best], UNDETERMINED)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
-
-    return map_texts(ready, "lang_pred string, score double", work)
+        names, score = predict(model, batch.column("text"), batch.column("_lettered").to_numpy(zero_copy_only=False))
+        return [pa.array(names, pa.string()), pa.array(score)]
+
+    return add_columns(_lettered(id_and_text(docs)), "lang_pred string, score double", work, keep=["doc_id"])
+
+
+def accepted(docs: DataFrame, usable: Column) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language could be told; what is ``und`` goes."""
+    texts = sample(docs, usable)
+    model = learn(texts) if texts else None
+
+    def work(batch):
+        return [pa.array(predict(model, batch.column("text"), batch.column("_lettered").to_numpy(zero_copy_only=False))[0], pa.string())]
+
+    return add_columns(_lettered(docs), "_lang_pred string", work, keep=docs.columns).where(F.col("_lang_pred") != UNDETERMINED).select(*docs.columns)
 
 
 def identify(docs: DataFrame, usable: Column, train_on: DataFrame | None = None) -> DataFrame:

@@ -37,9 +37,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 1024
 
 
+def _words() -> Column:
+    return F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source and the number of words of each document."""
-    return docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    return docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), _words().alias("size"))
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -89,9 +97,8 @@ def _copies(most: float) -> Column:
     return F.expr(step.format(most=int(most)))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, buckets: int = BUCKETS) -> DataFrame:
-    """doc_id, size, source_size, target, copies and taken of every document."""
-    sizes = cut(sized(docs)).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+def _plan(sizes: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
+    """Per source, size and bucket: the source's size and target, copies and rows of the cell, rows in earlier buckets."""
     parts = sizes.groupBy("source", "size", "bucket").agg(F.count("*").alias("n"))
     plan = rates(targets(sizes, weights, share, most), most)
     cells = parts.where("size > 0").groupBy("source", "size").agg(F.sum("n").alias("n"))
@@ -100,13 +107,34 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: floa
     in_cell = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     spread = parts.withColumn("before", F.coalesce(F.sum("n").over(in_cell), F.lit(0))).drop("n")
     p, r, g = spread.alias("p"), rounded.alias("r"), plan.alias("g")
-    known = (
+    return (
         p.join(g, F.col("p.source").eqNullSafe(F.col("g.source"))).join(r, F.col("p.source").eqNullSafe(F.col("r.source")) & (F.col("p.size") == F.col("r.size")), "left")
         .select("p.source", "p.size", "p.bucket", "p.before", "g.source_size", "g.target", F.coalesce("r.copies", F.lit(0)).alias("cell_copies"), F.coalesce("r.n", F.lit(1)).alias("cell_n"))
     )
-    place = Window.partitionBy("source", "size", "bucket").orderBy(F.xxhash64("doc_id"), "doc_id")
-    d, k = sizes.withColumn("place", F.row_number().over(place)).alias("d"), known.alias("k")
-    out = d.join(k, F.col("d.source").eqNullSafe(F.col("k.source")) & (F.col("d.size") == F.col("k.size")) & (F.col("d.bucket") == F.col("k.bucket")))
-    rank = F.col("k.before") + F.col("d.place")
+
+
+def _dealt(rows: DataFrame, plan: DataFrame) -> tuple[DataFrame, Column]:
+    """Rows (columns _source, _size, _bucket) joined with their cell of the plan, and the copies each takes."""
+    place = Window.partitionBy("_source", "_size", "_bucket").orderBy(F.xxhash64("doc_id"), "doc_id")
+    d, k = rows.withColumn("_place", F.row_number().over(place)).alias("d"), plan.alias("k")
+    out = d.join(k, F.col("d._source").eqNullSafe(F.col("k.source")) & (F.col("d._size") == F.col("k.size")) & (F.col("d._bucket") == F.col("k.bucket")))
+    rank = F.col("k.before") + F.col("d._place")
     copies = F.floor(F.col("k.cell_copies") / F.col("k.cell_n")) + F.when(rank <= F.col("k.cell_copies") % F.col("k.cell_n"), 1).otherwise(0)
-    return out.select("d.doc_id", "d.size", "k.source_size", "k.target", copies.cast("long").alias("copies"), (copies * F.col("d.size")).cast("long").alias("taken"))
+    return out, copies.cast("long")
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, buckets: int = BUCKETS) -> DataFrame:
+    """doc_id, size, source_size, target, copies and taken of every document."""
+    sizes = cut(sized(docs).withColumn("bucket", _bucket(buckets)))
+    rows = sizes.select("doc_id", F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("bucket").alias("_bucket"))
+    out, copies = _dealt(rows, _plan(sizes, weights, share, most))
+    return out.select("d.doc_id", F.col("d._size").alias("size"), "k.source_size", "k.target", copies.alias("copies"), (copies * F.col("d._size")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, buckets: int = BUCKETS) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it."""
+    sizes = cut(sized(docs).withColumn("bucket", _bucket(buckets)))
+    rows = docs.withColumns({"_source": F.col("source").cast("string"), "_size": _words(), "_bucket": _bucket(buckets)})
+    out, copies = _dealt(rows, _plan(sizes, weights, share, most))
+    times = F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias("_time")
+    return out.where(copies > 0).select(*(F.col(f"d.`{c}`") for c in docs.columns), times).drop("_time")

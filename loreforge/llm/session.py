@@ -5,11 +5,12 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -60,3 +61,17 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished jobs: it does so once the driver has collected what owned them."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def add_columns(docs: DataFrame, fields: str, work: Callable[[pa.RecordBatch], list[pa.Array]], keep: Sequence[str] | None = None) -> DataFrame:
+    """Put the columns ``fields`` (DDL), which ``work`` makes from each Arrow batch, behind the columns ``keep`` (all, if not given)."""
+    names = docs.columns if keep is None else list(keep)
+    schema = StructType([docs.schema[c] for c in names] + StructType.fromDDL(fields).fields)
+    labels = schema.names
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *work(batch)], labels)
+
+    return docs.mapInArrow(run, schema)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from loreforge.llm import kernels as K
 from loreforge.llm.graph import components
-from loreforge.llm.session import cut, id_and_text, map_texts
+from loreforge.llm.session import add_columns, cut, id_and_text
 
 TILE = 4096
 _P = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
@@ -124,14 +124,13 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, size: int = 3) -> np.
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint (a long) of every document."""
+    """doc_id, row (a hash of id and text) and fingerprint (a long) of every document."""
 
     def work(batch):
         data, offsets = K.text_bytes(batch.column("text"))
-        got = np.concatenate([fingerprints_of(part, offs) for _, _, part, offs in K.passes(data, offsets)])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(K.signed(got))], ["doc_id", "fp"])
+        return [pa.array(K.signed(np.concatenate([fingerprints_of(part, offs) for _, _, part, offs in K.passes(data, offsets)])))]
 
-    return map_texts(id_and_text(docs), "fp long", work)
+    return add_columns(id_and_text(docs).withColumn("row", F.xxhash64("doc_id", "text")), "fp long", work, keep=["doc_id", "row"])
 
 
 def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -236,12 +235,23 @@ def links(distinct: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
     return groups.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """doc_id, fingerprint and component_id, the smallest id reachable by links, of every document."""
+def classes(docs: DataFrame, radius: int = 2) -> DataFrame:
+    """doc_id, row, fingerprint (a long), component_id and root, the smallest fingerprint of the component."""
     prints = cut(fingerprints(docs))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(distinct.select("fp"), radius)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     placed = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = placed.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(placed.select("fp", "root").join(ids, "root"), "fp")
+
+
+def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
+    """doc_id, fingerprint and component_id, the smallest id reachable by links, of every document."""
+    return classes(docs, radius).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, radius: int = 2) -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their components: of each, the one with the smallest id."""
+    first = classes(docs, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("row").alias("_row"))
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    return keyed.join(first.select("_row"), "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
