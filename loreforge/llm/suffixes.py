@@ -14,10 +14,11 @@ byte hundreds of times, so suffixes are first thinned without losing a repeat:
    range-partitioned by their leading token between splitters that Spark
    samples; each bucket lays out the suffixes of its strips and sorts them by a
    multikey quicksort, one token deeper at a time and only among those still
-   tied; equal neighbours are repeats.  The first and last token of a bucket may
-   go on in the bucket beside it, so their suffixes are compared once more
-   across the boundaries.  A token with very many strips simply fills several
-   buckets.
+   tied; equal neighbours are repeats.  A token with very many strips simply
+   fills several buckets.
+4. The first and last token of a bucket may go on in the bucket beside it.  Their
+   strips are cut finer, by anchors of ``FINE`` bytes, and the suffixes whose
+   finer token occurs on either side are compared once more across boundaries.
 
 Tokens are 64-bit hashes of bytes; two suffixes count as equal if all four of
 their tokens are.  Texts longer than a pass are cut into pieces that overlap by
@@ -43,6 +44,7 @@ from loreforge.llm.session import cut, drop_table, id_and_text
 
 LENGTH = 200
 TOKEN = 100
+FINE = 185
 #: Bytes of one pass: its arrays stay in the processor's cache.
 PIECE = 1 << 18
 #: Strips that one bucket of the suffix sort holds on average.
@@ -61,15 +63,15 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np
             yield first, at, piece, np.array([0, len(piece)])
 
 
-def strips(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+def strips(data: np.ndarray, offsets: np.ndarray, size: int = TOKEN) -> tuple[np.ndarray, ...]:
     """Document, first and last window start, anchor, token hash and strip hash of each strip of a pass."""
-    width = LENGTH - TOKEN + 1
+    width = LENGTH - size + 1
     n_windows = len(data) - LENGTH + 1
     if n_windows <= 0:
         return (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64),) * 2
     tokens = K.Prefix(data)
-    n = len(data) - TOKEN + 1
-    value = (tokens.sums[TOKEN:] - tokens.sums[:-TOKEN]) * tokens.down[:n]
+    n = len(data) - size + 1
+    value = (tokens.sums[size:] - tokens.sums[:-size]) * tokens.down[:n]
     key = value ^ (value >> np.uint64(31))
     key *= np.uint64(0xD6E8FEB86659FD93)
     key &= ~_LOW
@@ -137,9 +139,7 @@ def _strip_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             doc = np.repeat(np.arange(batch.num_rows), size)
             place = flat.field("place").to_numpy()
             length = ((place >> 8) & 255) + LENGTH - 1
-            body = data[K.take_ragged(offsets[doc] + (place >> 16), length)]
-            ends = np.concatenate([[0], np.cumsum(length)])
-            column = pa.Array.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(ends), pa.py_buffer(body.tobytes())]).cast(pa.binary())
+            column = _binary(data, offsets[doc] + (place >> 16), length)
             yield pa.RecordBatch.from_arrays([flat.field("token"), batch.column("row").take(pa.array(doc)), flat.field("place"), flat.field("open"), column], ["token", "row", "place", "open", "body"])
 
     return docs.select("row", "text").join(lists, "row").mapInArrow(run, "token long, row long, place long, open boolean, body binary")
@@ -168,9 +168,23 @@ def multikey_ties(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return rows, group
 
 
+def _suffixes(data: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
+    """The four tokens of the suffix at each start."""
+    step, one, two = LENGTH // 4, K.Prefix(data), K.Prefix(data, 1)
+    return [(two if i % 2 else one).hash(start + i * step, start + (i + 1) * step) for i in range(4)]
+
+
+def _binary(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
+    """Stretches of ``data`` as a binary column."""
+    ends = np.concatenate([[0], np.cumsum(length)])
+    body = data[K.take_ragged(start, length)]
+    return pa.Array.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(ends), pa.py_buffer(body.tobytes())]).cast(pa.binary())
+
+
 def _buckets(bodies: DataFrame, partitions: int) -> DataFrame:
-    """Sort the suffixes of each bucket; yields repeated spans, and suffixes at its boundaries with their tokens."""
+    """Sort the suffixes of each bucket; yields repeated spans, and the fine strips (token not null) at its boundaries."""
     dealt = bodies.repartitionByRange(partitions, "token", "row", "place")
+    names = ["row", "first", "last", "token", "open", "body"]
 
     def run(batches):
         held = [b for b in batches if b.num_rows]
@@ -183,27 +197,51 @@ def _buckets(bodies: DataFrame, partitions: int) -> DataFrame:
         many = (place >> 8) & 255
         strip = np.repeat(np.arange(len(token)), many)
         start = K.take_ragged(offsets[:-1], many)
-        step = LENGTH // 4
-        one, two = K.Prefix(data), K.Prefix(data, 1)
-        parts = [(one if i % 2 == 0 else two).hash(start + i * step, start + (i + 1) * step) for i in range(4)]
         repeated = np.zeros(len(start), bool)
-        repeated[multikey_ties(parts)[0]] = True
-        byte = (place >> 16)[strip] + start - offsets[strip]
+        repeated[multikey_ties(_suffixes(data, start))[0]] = True
+        begin = (place >> 16) - offsets[:-1]  # from a byte here to the byte of the text
         found = np.flatnonzero(repeated & still[strip])
         if len(found):
             fresh = np.ones(len(found), bool)
             fresh[1:] = (found[1:] != found[:-1] + 1) | (strip[found[1:]] != strip[found[:-1]])
             a = found[fresh]
             b = found[np.append(np.flatnonzero(fresh)[1:] - 1, len(found) - 1)]
-            none = pa.nulls(len(a), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(row[strip[a]]), pa.array(byte[a]), pa.array(byte[b] + LENGTH), none, none, pa.nulls(len(a), pa.bool_())], ["row", "first", "last", "h1", "h2", "open"])
-        edge = np.flatnonzero(((token == token.min()) | (token == token.max()))[strip])
-        h1, h2 = K.mix(parts[0] + K.mix(parts[2])), K.mix(parts[1] + K.mix(parts[3]))
-        for at in range(0, len(edge), 100_000):
-            e = edge[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(row[strip[e]]), pa.array(byte[e]), pa.array(byte[e] + LENGTH), pa.array(K.signed(h1[e])), pa.array(K.signed(h2[e])), pa.array(still[strip[e]])], ["row", "first", "last", "h1", "h2", "open"])
+            n = len(a)
+            yield pa.RecordBatch.from_arrays([pa.array(row[strip[a]]), pa.array(begin[strip[a]] + start[a]), pa.array(begin[strip[a]] + start[b] + LENGTH), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary())], names)
+        edge = np.flatnonzero((token == token.min()) | (token == token.max()))
+        size = np.diff(offsets)[edge]
+        part, ends = data[K.take_ragged(offsets[edge], size)], np.concatenate([[0], np.cumsum(size)])
+        doc, low, high, _, fine, _ = strips(part, ends, FINE)
+        at = edge[doc]
+        first = low - ends[doc] + (place[at] >> 16)
+        for i in range(0, len(low), 50_000):
+            k = slice(i, i + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(row[at[k]]), pa.array(first[k]), pa.array(first[k] + high[k] - low[k] + LENGTH), pa.array(K.signed(fine[k])), pa.array(still[at[k]]), _binary(part, low[k], high[k] - low[k] + LENGTH)], names)
+
+    return dealt.mapInArrow(run, "row long, first long, last long, token long, open boolean, body binary")
+
+
+def _across(edges: DataFrame) -> DataFrame:
+    """Repeated suffixes among the fine strips at bucket boundaries: row, first, last."""
+    shared = edges.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
+    met = edges.join(shared, "token", "left_semi").select("row", "first", "open", "body")
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            data, offsets = K.text_bytes(batch.column("body"))
+            many = np.diff(offsets) - LENGTH + 1
+            strip, start = np.repeat(np.arange(len(many)), many), K.take_ragged(offsets[:-1], many)
+            parts = _suffixes(data, start)
+            h1, h2 = K.mix(parts[0] + K.mix(parts[2])), K.mix(parts[1] + K.mix(parts[3]))
+            first = batch.column("first").to_numpy()[strip] + start - offsets[strip]
+            of = pa.array(strip)
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(of), pa.array(first), batch.column("open").take(of), pa.array(K.signed(h1)), pa.array(K.signed(h2))], ["row", "first", "open", "h1", "h2"])
 
-    return dealt.mapInArrow(run, "row long, first long, last long, h1 long, h2 long, open boolean")
+    suffixes = cut(met.mapInArrow(run, "row long, first long, open boolean, h1 long, h2 long"))
+    equal = suffixes.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    return suffixes.where("open").join(equal, ["h1", "h2"], "left_semi").select("row", "first", (F.col("first") + LENGTH).alias("last"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -225,10 +263,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), bodies.count() // BUCKET_STRIPS)
     sorted_out = cut(_buckets(bodies, partitions))
     drop_table(bodies)
-    edges = sorted_out.where("h1 IS NOT NULL")
-    across = edges.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    met = edges.where("open").join(across, ["h1", "h2"], "left_semi").select("row", "first", "last")
-    return whole.union(sorted_out.where("h1 IS NULL").select("row", "first", "last")).union(met)
+    met = _across(sorted_out.where("token IS NOT NULL"))
+    return whole.union(sorted_out.where("token IS NULL").select("row", "first", "last")).union(met)
 
 
 def merge(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
