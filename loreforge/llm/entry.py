@@ -16,6 +16,12 @@ def _fold(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loreforge.llm import passages
+
+    return passages.repeated_passages(_read(spark, sf_dir, "documents"))
+
+
 def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loreforge.llm import quality
 
@@ -77,7 +83,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_gam, op3_rule_ledger, op4_licence_rules, op5_language_id, op6_token_shards, op7_entropy_mix, op8_simhash, op9_suffix_dedup, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_passages, op2_quality_gam, op3_rule_ledger, op4_licence_rules, op5_language_id, op6_token_shards, op7_entropy_mix, op8_simhash, op9_suffix_dedup, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
