@@ -117,15 +117,16 @@ def phrases(model: Languages, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
     code = model.classes[data]
     lanes = np.searchsorted(-size, -np.arange(1, size[0] + 1), "right")
     k = len(model.names)
-    roots = np.broadcast_to(model.roots[:, None], (k, len(doc)))
-    state = np.ascontiguousarray(roots)
-    count = np.ones((k, len(doc)), np.int32)
+    root = model.roots[:, None]
+    state = np.repeat(root, len(doc), axis=1)
+    count = np.zeros((k, len(doc)), np.int32)
     for i, live in enumerate(lanes):
         c = code[start[:live] + i]
-        now = model.step[state[:, :live] + c]
+        old = state[:, :live]
+        now = model.step[old + c]
         dead = now == 0
+        count[:, :live] += dead | (old == root)  # a byte that cannot go on, or that stands at a root, starts a phrase
         if dead.any():
-            count[:, :live] += dead
             lane, at = np.nonzero(dead)
             now[lane, at] = model.step[model.roots[lane] + c[at]]
             still = now[lane, at] == 0

@@ -1,0 +1,310 @@
+"""Operators against brute force on a small table."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from loreforge.llm import decontaminate, fmindex, langid, licences, mixing, packed, passages, quality, rules, simhash, suffixes, tokens
+from loreforge.llm import kernels as K
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def lower(text: str) -> str:
+    return re.sub("[A-Z]", lambda m: m.group().lower(), text)
+
+
+def test_rule_counts(docs, texts):
+    want = Counter()
+    for i, t in texts:
+        w = WORD.findall(t or "")
+        c = Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4))
+        covered = {j + x for j in range(len(w) - 4) if c[tuple(w[j : j + 5])] > 1 for x in range(5)}
+        lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+        failed = len(w) < 10 or 100 * len(covered) > 20 * len(w)
+        want[i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(covered), failed] += 1
+    got = rules.rule_ledger(docs).collect()
+    assert want == Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got)
+    kept = {r.doc_id for r in got if r.kept}
+    assert kept.isdisjoint({100, 101, 102, 103, 104, 110, 111, 112, 113}) and {0, 1, 2, 108, 114} <= kept
+
+
+def test_rule_ablation(docs):
+    book = rules.ledger(docs)
+    total = book.count()
+    for r in rules.ablation(book, rules.STRICT).collect():
+        bit = rules.bit(rules.RULES, [r.rule])
+        mask = rules.bit(rules.RULES, rules.STRICT.rules)
+        rows = [x.failed & mask for x in book.collect()]
+        assert (r.fail, r.fail_alone, r.kept) == (sum(x & bit > 0 for x in rows), sum(x == bit for x in rows), sum(x == 0 for x in rows))
+    assert total == len(rows)
+
+
+def test_quality_learns(spark):
+    junk = [(i, ("word### " * 30 + str(i)) if i % 2 else " ".join(f"w{j * i % 97}" for j in range(60)), int(i % 2 == 0)) for i in range(300)]
+    table = spark.createDataFrame(junk, "doc_id long, text string, quality int")
+    model = quality.train(table, table, F.col("doc_id") % 5 != 0)
+    got = {r.doc_id: r.score for r in quality.quality_scores(table, model).collect()}
+    assert all((got[i] > 0.5) == bool(q) for i, _, q in junk if i % 5 == 0)
+    unfit = quality.train(table, table, F.lit(False))
+    assert {r.score for r in quality.quality_scores(table, unfit).collect()} == {0.5}
+
+
+def test_quality_pairs_explain_interaction():
+    r = np.random.default_rng(0)
+    x = np.pad(r.random((4000, 2)), ((0, 0), (0, 1)))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    score = quality.fit(x, y).score(x)
+    assert ((score > 0.5) == y).mean() > 0.95
+
+
+def test_language(docs, texts):
+    got = {r.doc_id: r for r in langid.identify(docs, F.lit(True)).collect()}
+    assert all(got[i].lang_pred == ["en", "fr", "de"][i % 3] for i in range(30)) and got[108].lang_pred == "fr"
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (100, 101, 102, 103))
+    assert all(0 <= r.score <= 1 for r in got.values())
+    assert langid.detect(docs, None).where("lang_pred != 'und'").count() == 0
+    assert langid.accepted(docs, F.lit(True)).columns == docs.columns
+
+
+@given(st.binary(max_size=60), st.binary(max_size=40))
+@settings(max_examples=60, deadline=None)
+def test_cross_parsing(sample, text):
+    model = langid.learn({"a": sample or b"x", "b": b"other"})
+    source, rest, n = (sample or b"x").translate(K.LOWER.tobytes()), text.translate(K.LOWER.tobytes()), 0
+    while rest:
+        k = next((j for j in range(len(rest), 0, -1) if rest[:j] in source), 1)
+        rest, n = rest[k:], n + 1
+    data = np.frombuffer(text, np.uint8)
+    assert langid.phrases(model, data, np.array([0, len(data)]))[0, 0] == n
+
+
+def test_tokens(docs, texts):
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    want, start = [], 0
+    for i, t in sorted(texts, key=lambda x: x[0]):
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [1]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = tokens.tokenize(docs, TOKENIZER).collect()
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got) == want
+
+
+@given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=1500), st.floats(1, 100))
+@settings(max_examples=40, deadline=None)
+def test_packing(values, percentile):
+    ids = np.array(values, np.uint32)
+    shard = packed.Shard(packed.pack(ids, np.array([7]), np.array([len(ids)]), percentile, 128))
+    assert (shard.ids() == ids).all() and list(shard.doc_ids) == [7]
+    if len(ids) > 256:
+        assert (shard.blocks(1, 2) == ids[128:256]).all()
+
+
+def test_mix(docs, texts):
+    from tests.llm.conftest import rows
+
+    size = {r[0]: len(WORD.findall(r[1] or "")) for r in rows()}
+    total = Counter()
+    for r in rows():
+        total[r[3]] += size[r[0]]
+    order = sorted(total, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    capped, goal = set(), {}
+    while True:
+        rest, share = 1.5 * sum(total.values()) - sum(2 * total[s] for s in capped), sum(weight[s] for s in order if s not in capped)
+        more = {s for s in order if s not in capped and rest * weight[s] / share > 2 * total[s]}
+        if not more:
+            break
+        capped |= more
+    goal = {s: 2 * total[s] if s in capped else rest * weight[s] / share for s in order}
+    got = mixing.mix(docs).collect()
+    again = mixing.mix(docs.repartition(5)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+    source, taken = {r[0]: r[3] for r in rows()}, Counter()
+    for r in got:
+        s = source[r.doc_id]
+        assert r.size == size[r.doc_id] and r.source_size == total[s] and r.target == pytest.approx(goal[s]) and r.taken <= 2 * r.size
+        taken[s] += r.taken
+    assert all(abs(taken[s] - goal[s]) <= 60 for s in order)
+    assert mixing.mixed_rows(docs).count() == sum(r.copies for r in got)
+
+
+def fingerprint(text: str | None) -> int:
+    w = WORD.findall(lower(text or ""))
+    grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+@pytest.mark.parametrize("tile", [simhash.TILE, 3])
+def test_simhash(docs, texts, tile, monkeypatch):
+    monkeypatch.setattr(simhash.links, "__defaults__", (2, tile))
+    prints = [(i, fingerprint(t)) for i, t in texts]
+    parent = {i: i for i, _ in texts}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in prints:
+        for j, b in prints:
+            if (a ^ b).bit_count() <= 2:
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    want = Counter((i, f"{f:016x}", root(i)) for i, f in prints)
+    assert want == Counter(map(tuple, simhash.near_duplicates(docs).collect()))
+    kept = [r.doc_id for r in simhash.representatives(docs).collect()]
+    assert sorted(kept) == sorted({root(i) for i, _ in texts})
+
+
+@given(st.lists(st.integers(0, 2**64 - 1).map(lambda x: x & 0xFF0F), min_size=1, max_size=80))
+@settings(max_examples=40, deadline=None)
+def test_forest(values):
+    v = np.array(values, np.uint64)
+    a, b = simhash.forest(v, np.zeros(len(v), int), np.zeros(len(v), int), 2, 16)
+    label = list(range(len(v)))
+    for _ in v:
+        for i in range(len(v)):
+            for j in range(len(v)):
+                if int(v[i] ^ v[j]).bit_count() <= 2:
+                    label[i] = min(label[i], label[j])
+    got = list(range(len(v)))
+    for i, j in zip(a, b):
+        got[i] = int(j)
+    assert got == label
+
+
+@given(st.binary(max_size=300), st.lists(st.tuples(st.integers(0, 300), st.integers(0, 300)), max_size=20))
+@settings(max_examples=40, deadline=None)
+def test_xxh64(data, cuts):
+    raw = np.frombuffer(data, np.uint8)
+    pairs = [(min(a, b, len(data)), min(max(a, b), len(data))) for a, b in cuts]
+    got = simhash.xxh64(raw, np.array([a for a, _ in pairs], np.int64), np.array([b for _, b in pairs], np.int64))
+    assert [int(x) for x in got] == [xxhash.xxh64_intdigest(data[a:b], 42) for a, b in pairs]
+
+
+@pytest.mark.parametrize(("piece", "strips"), [(1 << 18, 20_000), (1 << 18, 3), (3000, 20_000)])
+def test_suffixes(spark, docs, texts, piece, strips, monkeypatch):
+    monkeypatch.setattr(suffixes, "BUCKET_STRIPS", strips)
+    monkeypatch.setattr(suffixes, "PIECE", piece)
+    more = [(-1, "ab " * 100), (-2, "x" * 199), (-3, "y" * 200), (-4, "z" * 201), (-5, "q" + (texts[29][1] or "") + "r")]
+    more += [(-10 - i, f"{i * 7919} {i} " * (i % 5) + "common passage, " * 3 + "é".join(map(str, range(90))) + f"{i * 104729} tail" * 3) for i in range(25)]
+    every = [(i, (t or "").encode()) for i, t in texts + more]
+    seen = Counter(t[k : k + 200] for _, t in every for k in range(len(t) - 199))
+    want = Counter()
+    for i, t in every:
+        mark = bytearray(len(t))
+        for k in range(len(t) - 199):
+            if seen[t[k : k + 200]] > 1:
+                mark[k : k + 200] = b"\1" * 200
+        runs = sum(1 for k in range(len(t)) if mark[k] and (not k or not mark[k - 1]))
+        want[i, len(t), sum(mark), runs, hashlib.sha256(bytes(x for x, y in zip(t, mark) if not y)).hexdigest()] += 1
+    table = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    got = suffixes.remove_repeats(table).drop("spans").collect()
+    assert want == Counter(map(tuple, got))
+
+
+@given(st.lists(st.lists(st.integers(1, 3), min_size=1, max_size=12), min_size=1, max_size=6), st.lists(st.lists(st.integers(1, 3), min_size=1, max_size=4), min_size=1, max_size=5))
+@settings(max_examples=60, deadline=None)
+def test_fm_index(runs, patterns):
+    text = np.array([x for run in runs for x in [*run, 0]], np.int64)
+    index = fmindex.FMIndex(text, 2, sample=3)
+    grid = np.zeros((len(patterns), 4), np.int64)
+    for i, p in enumerate(patterns):
+        grid[i, : len(p)] = p
+    low, high = index.search(grid, np.array(list(map(len, patterns))))
+    flat = text.tolist()
+    for i, p in enumerate(patterns):
+        want = [k for k in range(len(flat)) if flat[k : k + len(p)] == p]
+        assert sorted(index.locate(np.arange(low[i], max(low[i], high[i]))).tolist()) == want
+
+
+@pytest.mark.parametrize("block_bytes", [8 << 20, 300])
+def test_decontamination(spark, docs, texts, block_bytes):
+    items = [(1, " ".join((texts[3][1] or "").split()[20:50])), (2, "word"), (3, None), (4, " .;"), (5, " ".join((texts[0][1] or "").split()[:14])), (6, " ".join((texts[0][1] or "").split()[:14]))]
+    word = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    split = lambda t: word.findall(lower(t or "").encode())
+    window: dict = {}
+    for i, t in items:
+        w = split(t)
+        for j in range(max(1, len(w) - 12) if w else 0):
+            window.setdefault(tuple(w[j : j + 13]), set()).add(str(i))
+    want = Counter()
+    for i, t in texts:
+        w, hit, found = split(t), set(), set()
+        for j in range(len(w)):
+            for m in {len(x) for x in window}:
+                if tuple(w[j : j + m]) in window and j + m <= len(w):
+                    hit.update(range(j, j + m))
+                    found |= window[tuple(w[j : j + m])]
+        want[i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)] += 1
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contamination(docs, bench, block_bytes=block_bytes).drop("byte_starts", "byte_ends").collect()
+    assert want == Counter(map(tuple, got)) and any(r.contaminated for r in got)
+    assert decontaminate.clean(docs, bench).count() == sum(not r.contaminated for r in got)
+
+
+def test_licences(spark):
+    table = spark.createDataFrame([(1, "x. Licensed under the Apache License, Version 2.0!\nfoo\nYou may not use this file except in compliance with the License. a. b\nYou may obtain a copy of the License at"), (2, None), (3, ""), (4, "All rights reserved. all RIGHTS reserved\nReleased under the MIT License.")], "doc_id long, text string")
+    got = {r.doc_id: r for r in licences.report(table).collect()}
+    assert (got[1].licences, got[1].rules) == ("Apache-2.0", "apache-header@1")
+    assert (got[4].licences, got[4].n_matches) == ("MIT,proprietary", 3)
+    assert got[2].n_matches == got[3].n_matches == 0
+    assert licences.report(table, gap=0).where("doc_id = 1").first().rules == "apache-short@1"
+
+
+def test_passages(docs):
+    got = passages.repeated_passages(docs).collect()
+    pairs = {(r.doc_id, r.other_doc_id) for r in got}
+    assert (114, 115) in pairs and (115, 114) in pairs
+    part = next(r for r in got if r.doc_id == 114 and r.other_doc_id == 115)
+    assert part.last_word - part.first_word >= 69 and part.identity > 0.95
+    assert {i for i, _ in pairs} == {0, 105, 106, 107, 114, 115}
+
+
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 60), st.integers(1, 6)), min_size=1, max_size=12))
+@settings(max_examples=60, deadline=None)
+def test_chain(runs):
+    chains = passages.chain(runs, max_gap=1000)
+
+    def worth(path):
+        return sum(n for _, _, n in path) - 0.25 * sum(y[0] - x[0] - x[2] + y[1] - x[1] - x[2] for x, y in zip(path, path[1:]))
+
+    best: dict = {}
+    for j in sorted(range(len(runs)), key=lambda i: runs[i]):
+        a, b, n = runs[j]
+        best[j] = n + max([0, *(best[i] - 0.25 * (a - x - m + b - y - m) for i, (x, y, m) in enumerate(runs) if i in best and x + m <= a and y + m <= b)])
+    assert max(map(worth, chains)) == pytest.approx(max(best.values()))
+    assert sorted(r for c in chains for r in c) == sorted(runs)
+    assert all(x[0] + x[2] <= y[0] and x[1] + x[2] <= y[1] for c in chains for x, y in zip(c, c[1:]))
+
+
+@pytest.mark.parametrize(
+    "operator",
+    [
+        lambda d: passages.repeated_passages(d), lambda d: quality.quality_scores(d, quality.AdditiveModel()), lambda d: rules.rule_ledger(d), lambda d: licences.report(d),
+        lambda d: langid.identify(d, F.lit(True)), lambda d: tokens.tokenize(d, TOKENIZER), lambda d: mixing.mix(d), lambda d: simhash.near_duplicates(d), lambda d: suffixes.remove_repeats(d),
+        lambda d: decontaminate.contamination(d, d.selectExpr("doc_id AS item_id", "text")),
+    ],
+)
+def test_empty_table(empty, operator):
+    assert operator(empty).count() == 0
+
+
+def test_operators_bear_awkward_rows(docs):
+    total = docs.count()
+    assert quality.quality_scores(docs, quality.AdditiveModel()).count() == total
+    assert licences.report(docs).count() == total
