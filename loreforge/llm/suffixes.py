@@ -168,10 +168,18 @@ def multikey_ties(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return rows, group
 
 
-def _suffixes(data: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
-    """The four tokens of the suffix at each start."""
-    step, one, two = LENGTH // 4, K.Prefix(data), K.Prefix(data, 1)
-    return [(two if i % 2 else one).hash(start + i * step, start + (i + 1) * step) for i in range(4)]
+def _suffixes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """All suffixes of strips: the strip, the start in ``data`` and the four tokens of each."""
+    strip, start, parts = [], [], []
+    step = LENGTH // 4
+    for first, _, part, offs in K.passes(data, offsets):
+        many = np.diff(offs) - LENGTH + 1
+        at = K.take_ragged(offs[:-1], many)
+        one, two = K.Prefix(part), K.Prefix(part, 1)
+        parts.append([(two if i % 2 else one).hash(at + i * step, at + (i + 1) * step) for i in range(4)])
+        strip.append(np.repeat(np.arange(first, first + len(many)), many))
+        start.append(at + offsets[first])
+    return np.concatenate(strip), np.concatenate(start), [np.concatenate(p) for p in zip(*parts)]
 
 
 def _binary(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
@@ -194,11 +202,9 @@ def _buckets(bodies: DataFrame, partitions: int) -> DataFrame:
         token, row, place = (table.column(c).to_numpy() for c in ("token", "row", "place"))
         still = table.column("open").to_numpy()
         data, offsets = K.text_bytes(table.column("body"))
-        many = (place >> 8) & 255
-        strip = np.repeat(np.arange(len(token)), many)
-        start = K.take_ragged(offsets[:-1], many)
+        strip, start, parts = _suffixes(data, offsets)
         repeated = np.zeros(len(start), bool)
-        repeated[multikey_ties(_suffixes(data, start))[0]] = True
+        repeated[multikey_ties(parts)[0]] = True
         begin = (place >> 16) - offsets[:-1]  # from a byte here to the byte of the text
         found = np.flatnonzero(repeated & still[strip])
         if len(found):
@@ -213,10 +219,14 @@ def _buckets(bodies: DataFrame, partitions: int) -> DataFrame:
         part, ends = data[K.take_ragged(offsets[edge], size)], np.concatenate([[0], np.cumsum(size)])
         doc, low, high, _, fine, _ = strips(part, ends, FINE)
         at = edge[doc]
+        # a fine strip whose suffixes are all found is only there for what is beside the bucket
+        alone = np.concatenate([[0], np.cumsum(~repeated)])
+        begins = np.searchsorted(strip, at) - ends[doc]
+        wanted = still[at] & (alone[begins + high + 1] > alone[begins + low])
         first = low - ends[doc] + (place[at] >> 16)
         for i in range(0, len(low), 50_000):
             k = slice(i, i + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(row[at[k]]), pa.array(first[k]), pa.array(first[k] + high[k] - low[k] + LENGTH), pa.array(K.signed(fine[k])), pa.array(still[at[k]]), _binary(part, low[k], high[k] - low[k] + LENGTH)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(row[at[k]]), pa.array(first[k]), pa.array(first[k] + high[k] - low[k] + LENGTH), pa.array(K.signed(fine[k])), pa.array(wanted[k]), _binary(part, low[k], high[k] - low[k] + LENGTH)], names)
 
     return dealt.mapInArrow(run, "row long, first long, last long, token long, open boolean, body binary")
 
@@ -231,9 +241,7 @@ def _across(edges: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             data, offsets = K.text_bytes(batch.column("body"))
-            many = np.diff(offsets) - LENGTH + 1
-            strip, start = np.repeat(np.arange(len(many)), many), K.take_ragged(offsets[:-1], many)
-            parts = _suffixes(data, start)
+            strip, start, parts = _suffixes(data, offsets)
             h1, h2 = K.mix(parts[0] + K.mix(parts[2])), K.mix(parts[1] + K.mix(parts[3]))
             first = batch.column("first").to_numpy()[strip] + start - offsets[strip]
             of = pa.array(strip)
