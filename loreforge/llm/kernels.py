@@ -27,7 +27,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 #: Bytes of text that one pass works on; a longer document makes one pass of its own.
-PASS_BYTES = 1 << 20
+PASS_BYTES = (1 << 20) - 4096
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +100,7 @@ class Prefix:
     """Hash of any substring of ``data`` in constant time."""
 
     def __init__(self, data: np.ndarray, which: int = 0):
-        size = 1 << max(PASS_BYTES + 1, len(data) + 1).bit_length()
+        size = (len(data) + (1 << 20)) >> 20 << 20
         up, self.down = _powers(_BASES[which], size)
         self.sums = np.empty(len(data) + 1, U64)
         self.sums[0] = 0

@@ -83,7 +83,7 @@ def learn(samples: dict[str, bytes]) -> Languages:
     names = sorted(samples)
     joined = b"".join(samples.values()).translate(K.LOWER.tobytes())
     used = sorted(set(joined))
-    classes = np.zeros(256, np.int32)
+    classes = np.zeros(256, np.int16)
     classes[used] = np.arange(1, len(used) + 1)
     classes[65:91] = classes[97:123]
     width, rows, roots = len(used) + 1, [np.zeros((1, len(used) + 1), np.int32)], []
@@ -167,7 +167,7 @@ def predict(model: Languages | None, text: pa.Array, lettered: np.ndarray) -> tu
     if model is None or not model.names:
         return np.full(n, UNDETERMINED, object), np.zeros(n)
     data, offsets = K.text_bytes(text)
-    counts = np.concatenate([phrases(model, part, offs) for _, _, part, offs in K.passes(data, offsets, 8 * K.PASS_BYTES)])
+    counts = np.concatenate([phrases(model, part, offs) for _, _, part, offs in K.passes(data, offsets, 4 * K.PASS_BYTES)])
     cost = counts * model.weights
     best = cost.argmin(axis=1)
     low = cost[np.arange(n), best]

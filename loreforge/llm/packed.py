@@ -27,40 +27,54 @@ def _bit_length(x: np.ndarray) -> np.ndarray:
     return np.frexp(x.astype(np.float64))[1].astype(np.uint8)
 
 
-def pack(ids: np.ndarray, doc_ids: np.ndarray, doc_sizes: np.ndarray, percentile: float = 95.0, block: int = BLOCK) -> bytes:
-    """Encode the ids of whole documents, in order, as one shard."""
-    n = -(-len(ids) // block)
-    padded = np.zeros(n * block, np.uint32)
-    padded[: len(ids)] = ids
-    if len(ids):
-        padded[len(ids) :] = ids[-1]
-    rows = padded.reshape(n, block)
-    low = rows.min(axis=1) if n else np.empty(0, np.uint32)
+_HEAD = np.dtype([("low", "<u4"), ("width", "u1"), ("over", "<u2"), ("start", "<u8")])
+_PATCH = np.dtype([("at", "<u2"), ("value", "<u4")])
+_DOC = np.dtype([("doc", "<i8"), ("size", "<u8")])
+
+
+def _pack_rows(rows: np.ndarray, percentile: float) -> tuple[np.ndarray, bytes, bytes]:
+    """Head, packed bits and exceptions of some blocks; starts count from the first of them."""
+    n, block = rows.shape
+    low = rows.min(axis=1)
     rest = rows - low[:, None]
     bits = _bit_length(rest)
-    rank = min(block - 1, int(np.ceil(block * percentile / 100)) - 1)
-    width = np.partition(bits, rank, axis=1)[:, rank] if n else np.empty(0, np.uint8)
+    rank = min(block - 1, max(0, int(np.ceil(block * percentile / 100)) - 1))
+    width = np.partition(bits, rank, axis=1)[:, rank]
     over = bits > width[:, None]
     sizes = (block * width.astype(np.int64) + 7) // 8
     starts = np.cumsum(sizes) - sizes
     packed = np.zeros(int(sizes.sum()), np.uint8)
-    for w in np.unique(width):
-        if not w:
-            continue
+    for w in np.unique(width[width > 0]):
         chosen = np.flatnonzero(width == w)
-        for part in np.array_split(chosen, -(-len(chosen) // 512)):
-            cells = ((rest[part][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8)
-            body = np.packbits(cells.reshape(len(part), -1), axis=1, bitorder="little")
-            packed[starts[part][:, None] + np.arange(body.shape[1])] = body
-    at = np.nonzero(over)
-    head = np.zeros(n, np.dtype([("low", "<u4"), ("width", "u1"), ("over", "<u2"), ("start", "<u8")]))
+        cells = ((rest[chosen][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8)
+        body = np.packbits(cells.reshape(len(chosen), -1), axis=1, bitorder="little")
+        packed[starts[chosen][:, None] + np.arange(body.shape[1])] = body
+    head = np.zeros(n, _HEAD)
     head["low"], head["width"], head["over"], head["start"] = low, width, over.sum(axis=1), starts
-    patch = np.zeros(len(at[0]), np.dtype([("at", "<u2"), ("value", "<u4")]))
+    at = np.nonzero(over)
+    patch = np.zeros(len(at[0]), _PATCH)
     patch["at"], patch["value"] = at[1], rest[at]
-    table = np.zeros(len(doc_ids), np.dtype([("doc", "<i8"), ("size", "<u8")]))
+    return head, packed.tobytes(), patch.tobytes()
+
+
+def pack(ids: np.ndarray, doc_ids: np.ndarray, doc_sizes: np.ndarray, percentile: float = 95.0, block: int = BLOCK) -> bytes:
+    """Encode the ids of whole documents, in order, as one shard; some hundred blocks are worked on at a time."""
+    heads, bodies, patches, size = [], [], [], 0
+    step = 256 * block
+    for first in range(0, len(ids), step):
+        part = ids[first : first + step].astype(np.uint32)
+        if len(part) % block:
+            part = np.concatenate([part, np.full(block - len(part) % block, part[-1], np.uint32)])
+        head, body, patch = _pack_rows(part.reshape(-1, block), percentile)
+        head["start"] += size
+        size += len(body)
+        heads.append(head.tobytes())
+        bodies.append(body)
+        patches.append(patch)
+    table = np.zeros(len(doc_ids), _DOC)
     table["doc"], table["size"] = doc_ids, doc_sizes
-    counts = np.array([block, n, len(doc_ids), len(patch)], "<u4")
-    return b"".join([MAGIC, counts.tobytes(), head.tobytes(), packed.tobytes(), patch.tobytes(), table.tobytes()])
+    counts = np.array([block, -(-len(ids) // block), len(doc_ids), sum(map(len, patches)) // _PATCH.itemsize], "<u4")
+    return b"".join([MAGIC, counts.tobytes(), *heads, *bodies, *patches, table.tobytes()])
 
 
 class Shard:
@@ -70,12 +84,12 @@ class Shard:
         if raw[:4] != MAGIC:
             raise ValueError("not a shard of packed ids")
         self.block, n, docs, over = (int(x) for x in np.frombuffer(raw, "<u4", 4, 4))
-        self.head = np.frombuffer(raw, np.dtype([("low", "<u4"), ("width", "u1"), ("over", "<u2"), ("start", "<u8")]), n, 20)
+        self.head = np.frombuffer(raw, _HEAD, n, 20)
         at = 20 + self.head.nbytes
         tail = len(raw) - docs * 16 - over * 6
         self.packed = np.frombuffer(raw, np.uint8, tail - at, at)
-        self.patch = np.frombuffer(raw, np.dtype([("at", "<u2"), ("value", "<u4")]), over, tail)
-        table = np.frombuffer(raw, np.dtype([("doc", "<i8"), ("size", "<u8")]), docs, tail + over * 6)
+        self.patch = np.frombuffer(raw, _PATCH, over, tail)
+        table = np.frombuffer(raw, _DOC, docs, tail + over * 6)
         self.doc_ids, self.sizes = table["doc"], table["size"].astype(np.int64)
         self.patch_from = np.concatenate([[0], np.cumsum(self.head["over"], dtype=np.int64)])
 

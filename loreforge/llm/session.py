@@ -41,8 +41,20 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of an Arrow batch where the session does not say: texts are long, and a batch is held as a whole.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in batches of BATCH_ROWS, unless the session sets a size of its own."""
+    if spark.conf.get(_BATCH, None) in (None, "10000"):
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that an operator reads, so that further columns of any name do no harm."""
+    short_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
@@ -65,6 +77,7 @@ def release(spark: SparkSession) -> None:
 
 def add_columns(docs: DataFrame, fields: str, work: Callable[[pa.RecordBatch], list[pa.Array]], keep: Sequence[str] | None = None) -> DataFrame:
     """Put the columns ``fields`` (DDL), which ``work`` makes from each Arrow batch, behind the columns ``keep`` (all, if not given)."""
+    short_batches(docs.sparkSession)
     names = docs.columns if keep is None else list(keep)
     schema = StructType([docs.schema[c] for c in names] + StructType.fromDDL(fields).fields)
     labels = schema.names

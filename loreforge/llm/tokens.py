@@ -47,7 +47,7 @@ _CLASS[[ord("'"), ord("<")]] = _WHOLE  # contractions and special tokens
 #: Stands for a null id in a shard.
 NO_ID = -(1 << 63)
 SLOTS = 1 << 21
-POOL_LIMIT = 24_000_000
+POOL_LIMIT = 8_000_000
 
 
 def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -110,7 +110,7 @@ class Encoder:
             sizes = np.fromiter(map(len, new), np.int32, len(new))
             total = self.used + int(sizes.sum())
             if total > len(self.pool):
-                grown = np.zeros(2 * total, self.pool.dtype)
+                grown = np.zeros(total + total // 2, self.pool.dtype)
                 grown[: self.used] = self.pool[: self.used]
                 self.pool = grown
             self.pool[self.used : total] = np.fromiter((i for ids in new for i in ids), self.pool.dtype, int(sizes.sum()))
