@@ -217,7 +217,9 @@ def _buckets(bodies: DataFrame, partitions: int) -> DataFrame:
         edge = np.flatnonzero((token == token.min()) | (token == token.max()))
         size = np.diff(offsets)[edge]
         part, ends = data[K.take_ragged(offsets[edge], size)], np.concatenate([[0], np.cumsum(size)])
-        doc, low, high, _, fine, _ = strips(part, ends, FINE)
+        doc, low, high, _, fine, whole = strips(part, ends, FINE)
+        _, once = np.unique(fine ^ K.mix(whole), return_index=True)  # equal strips of one bucket cross its boundary once
+        doc, low, high, fine = doc[once], low[once], high[once], fine[once]
         at = edge[doc]
         # a fine strip whose suffixes are all found is only there for what is beside the bucket
         alone = np.concatenate([[0], np.cumsum(~repeated)])
