@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loreforge.plans import registry
 
-for _name in ("retrieval", "graph", "curation"):
+for _name in ("retrieval", "graph", "curation", "etl"):
     importlib.import_module(f"loreforge.plans.{_name}")
 
 
