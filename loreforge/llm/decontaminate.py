@@ -30,7 +30,7 @@ from loreforge.llm import kernels as K
 from loreforge.llm.fmindex import FMIndex
 from loreforge.llm.session import add_columns, id_and_text
 
-SHARD_BYTES = 2 * K.PASS_BYTES
+SHARD_BYTES = K.PASS_BYTES
 #: Bytes outside words of lower-cased text: all ASCII but digits and letters.
 NO_WORD = np.zeros(256, bool)
 NO_WORD[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True

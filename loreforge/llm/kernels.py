@@ -12,6 +12,8 @@ independent ones.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 from collections.abc import Iterator
 
@@ -81,7 +83,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-@functools.lru_cache(maxsize=4)
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on between tasks, and its allocators keep what it once held."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+@functools.lru_cache(maxsize=2)
 def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     def ladder(x: int) -> np.ndarray:
         out = np.full(size, x, U64)

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from loreforge.llm import kernels as K
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a temporary one is made only where that is unset."""
@@ -58,6 +60,16 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """``mapInArrow`` whose tasks give freed memory back at their end."""
+
+    def whole(batches):
+        yield from run(batches)
+        K.give_back()
+
+    return df.mapInArrow(whole, schema)
+
+
 def map_texts(docs: DataFrame, columns: str, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> DataFrame:
     """Apply ``work`` to each Arrow batch of (doc_id, text, ...); it yields batches of doc_id and ``columns``."""
 
@@ -66,7 +78,7 @@ def map_texts(docs: DataFrame, columns: str, work: Callable[[pa.RecordBatch], It
             if batch.num_rows:
                 yield from work(batch)
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {columns}")
+    return mapped(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {columns}")
 
 
 def release(spark: SparkSession) -> None:
@@ -87,4 +99,4 @@ def add_columns(docs: DataFrame, fields: str, work: Callable[[pa.RecordBatch], l
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *work(batch)], labels)
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)

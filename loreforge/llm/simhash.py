@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from loreforge.llm import kernels as K
 from loreforge.llm.graph import components
-from loreforge.llm.session import add_columns, cut, id_and_text
+from loreforge.llm.session import add_columns, cut, id_and_text, mapped
 
 TILE = 4096
 _P = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
@@ -232,7 +232,7 @@ def links(distinct: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
         if held:
             yield compare(pa.Table.from_batches(held))
 
-    return groups.mapInArrow(run, "u long, v long")
+    return mapped(groups, run, "u long, v long")
 
 
 def classes(docs: DataFrame, radius: int = 2) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loreforge.llm import kernels as K
-from loreforge.llm.session import cut, drop_table, id_and_text
+from loreforge.llm.session import cut, drop_table, id_and_text, mapped
 
 LENGTH = 200
 TOKEN = 100
@@ -120,8 +120,8 @@ def _strip_table(docs: DataFrame, counting: bool) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(K.signed(token)), pa.array(K.signed(whole)), pa.array(row[first + doc]), pa.array(place)], ["token", "strip", "row", "place"])
 
     if counting:
-        return docs.select("text").mapInArrow(run, "token long")
-    return docs.select("row", "text").mapInArrow(run, "token long, strip long, row long, place long")
+        return mapped(docs.select("text"), run, "token long")
+    return mapped(docs.select("row", "text"), run, "token long, strip long, row long, place long")
 
 
 def _strip_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def _strip_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             column = _binary(data, offsets[doc] + (place >> 16), length)
             yield pa.RecordBatch.from_arrays([flat.field("token"), batch.column("row").take(pa.array(doc)), flat.field("place"), flat.field("open"), column], ["token", "row", "place", "open", "body"])
 
-    return docs.select("row", "text").join(lists, "row").mapInArrow(run, "token long, row long, place long, open boolean, body binary")
+    return mapped(docs.select("row", "text").join(lists, "row"), run, "token long, row long, place long, open boolean, body binary")
 
 
 def multikey_ties(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -230,7 +230,7 @@ def _buckets(bodies: DataFrame, partitions: int) -> DataFrame:
             k = slice(i, i + 50_000)
             yield pa.RecordBatch.from_arrays([pa.array(row[at[k]]), pa.array(first[k]), pa.array(first[k] + high[k] - low[k] + LENGTH), pa.array(K.signed(fine[k])), pa.array(wanted[k]), _binary(part, low[k], high[k] - low[k] + LENGTH)], names)
 
-    return dealt.mapInArrow(run, "row long, first long, last long, token long, open boolean, body binary")
+    return mapped(dealt, run, "row long, first long, last long, token long, open boolean, body binary")
 
 
 def _across(edges: DataFrame) -> DataFrame:
@@ -249,7 +249,7 @@ def _across(edges: DataFrame) -> DataFrame:
             of = pa.array(strip)
             yield pa.RecordBatch.from_arrays([batch.column("row").take(of), pa.array(first), batch.column("open").take(of), pa.array(K.signed(h1)), pa.array(K.signed(h2))], ["row", "first", "open", "h1", "h2"])
 
-    suffixes = cut(met.mapInArrow(run, "row long, first long, open boolean, h1 long, h2 long"))
+    suffixes = cut(mapped(met, run, "row long, first long, open boolean, h1 long, h2 long"))
     equal = suffixes.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
     return suffixes.where("open").join(equal, ["h1", "h2"], "left_semi").select("row", "first", (F.col("first") + LENGTH).alias("last"))
 
@@ -317,4 +317,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(removed), pa.array(runs), pa.array(sha, pa.string()), pa.array(spans_of, pa.list_(pa.int64()))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+    return mapped(joined, run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from loreforge.llm import kernels as K
 from loreforge.llm.packed import Shard, pack
-from loreforge.llm.session import id_and_text, shared_folder
+from loreforge.llm.session import id_and_text, mapped, shared_folder
 
 #: Classes of bytes: white space, letter, digit, other printable ASCII, and the rest, which keeps a piece whole.
 _WHITE, _LETTER, _DIGIT, _OTHER, _WHOLE = range(5)
@@ -165,16 +165,19 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
         if not sizes:
             return
         number = TaskContext.get().partitionId()
+        total = sum(map(len, ids))
         body = pack(np.concatenate(ids), np.concatenate(names), np.concatenate(sizes))
+        ids.clear()
         store, path = fs.FileSystem.from_uri(folder)
         target = posixpath.join(path, f"shard-{number:06d}.lfp")
         own = f"{target}.{uuid.uuid4().hex}.part"
         with store.open_output_stream(own) as out:
             out.write(body)
         store.move(own, target)
-        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([int(sum(map(len, ids)))], pa.int64())], ["shard", "n_tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([total], pa.int64())], ["shard", "n_tokens"])
 
-    return ordered.mapInArrow(run, "shard int, n_tokens long")
+
+    return mapped(ordered, run, "shard int, n_tokens long")
 
 
 def read_shards(spark: SparkSession, folder: str, base: dict[int, int], per_document: Callable[[np.ndarray], int]) -> DataFrame:
@@ -190,10 +193,11 @@ def read_shards(spark: SparkSession, folder: str, base: dict[int, int], per_docu
                 ids = shard.ids()
                 for i, (a, b) in enumerate(zip(ends - shard.sizes, ends)):
                     digest[i] = per_document(ids[a:b])
+                del ids
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, mask=shard.doc_ids == NO_ID), pa.array(base[number] + ends - shard.sizes), pa.array(shard.sizes), pa.array(digest)], ["doc_id", "start", "n_tokens", "digest"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.lfp").load(folder).select("path", "content")
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, digest long")
+    return mapped(files, run, "doc_id long, start long, n_tokens long, digest long")
 
 
 def crc(ids: np.ndarray) -> int:
