@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 
 def as_double(vector: Column | str) -> Column:
@@ -61,13 +62,13 @@ def centroid_vector(df: DataFrame, key: str, vector: str) -> DataFrame:
     return long.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "mean"))), lambda s: s["mean"]).alias("centroid"))
 
 
-@pandas_udf("binary")
+@pandas_udf(BinaryType())
 def encode_f32(vectors: pd.Series) -> pd.Series:
     """Array to little-endian float32 bytes."""
     return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
 
 
-@pandas_udf("array<float>")
+@pandas_udf(ArrayType(FloatType()))
 def decode_f32(blobs: pd.Series) -> pd.Series:
     """Little-endian float32 bytes to array; trailing odd bytes are dropped."""
     return blobs.map(lambda b: None if b is None else np.frombuffer(b[: len(b) // 4 * 4], "<f4"))

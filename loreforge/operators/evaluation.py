@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 PROBE_BLOCK = 512
@@ -84,7 +85,7 @@ def accepts(base_hit: float, base_fp: float) -> Column:
     return (F.col("hit_rate") >= base_hit) & (F.col("fp_rate") <= base_fp)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def churn(before: pd.Series, after: pd.Series) -> pd.Series:
     """Share of words that differ between two texts: changed words over the longer text."""
     import difflib

@@ -13,7 +13,11 @@ from loreforge.plans.registry import query
 
 NOW = 1_735_689_600
 NORM = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
-MS = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+
+
+def _seconds():
+    return F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+
 
 GROUPS = f"""g AS (SELECT {NORM.format('p_name')} AS key, min('p' || p_partkey) AS survivor, count(*)::BIGINT AS n, count(DISTINCT p_brand)::BIGINT AS kinds, count(DISTINCT coalesce(p_type, ''))::BIGINT AS summaries,
  max(length(coalesce(p_type, ''))) AS longest FROM part GROUP BY 1 HAVING count(*) > 1 AND {NORM.format('p_name')} <> '')"""
@@ -51,7 +55,7 @@ TIMELINE = """tl AS (SELECT 'e' || event_id AS id, (CASE WHEN s < 100000000000 T
 
 def _timeline(read):
     ident = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string")).alias("id")
-    e = read("events").select(ident("e", "event_id"), T.millis(MS, T.TIMELINE_SECONDS_BELOW).alias("at_ms"), C.event_kind(F.col("event_type")).alias("kind"))
+    e = read("events").select(ident("e", "event_id"), T.millis(_seconds(), T.TIMELINE_SECONDS_BELOW).alias("at_ms"), C.event_kind(F.col("event_type")).alias("kind"))
     seconds = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', o_orderdate)")
     o = read("orders").select(ident("o", "o_orderkey"), (seconds * 1000).alias("at_ms"), F.lit("agent_access").alias("kind"))
     d = read("documents").select(ident("d", "doc_id"), ((F.col("doc_id") + 1_700_000_000) * 1000).alias("at_ms"), F.lit("ingested").alias("kind"))

@@ -150,12 +150,16 @@ def longest_prefix_rule(read):
 
 #: Changes: events on records, some deletions.
 CH = "ch AS (SELECT event_id AS id, user_id AS record, CASE WHEN event_id % 6 = 0 THEN 'DELETE' WHEN event_id % 2 = 0 THEN 'UPDATE' ELSE 'INSERT' END AS op, epoch_us(ts) // 1000000 AS tm, props AS payload FROM events)"
-AT = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+
+
+def _seconds():
+    return F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+
 
 
 def _changes(e):
     op = F.when(F.col("event_id") % 6 == 0, "DELETE").when(F.col("event_id") % 2 == 0, "UPDATE").otherwise("INSERT")
-    return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("record"), op.alias("op"), AT.alias("at"), F.col("props").alias("payload"))
+    return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("record"), op.alias("op"), _seconds().alias("at"), F.col("props").alias("payload"))
 
 
 def _stream(read, table):
@@ -214,7 +218,7 @@ def strike_counts(read):
 
 @query("respawn_cap", """SELECT key, count(*)::BIGINT AS capped FROM (SELECT user_id AS key, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000 RANGE BETWEEN 35999 PRECEDING AND CURRENT ROW) AS recent FROM events) WHERE recent > 3 GROUP BY 1""")
 def respawn_cap(read):
-    e = read("events").select(F.col("user_id").alias("key"), AT.alias("at_s"))
+    e = read("events").select(F.col("user_id").alias("key"), _seconds().alias("at_s"))
     return monitors.respawns(e, seconds=36_000).where("capped").groupBy("key").agg(F.count("*").alias("capped"))
 
 
