@@ -87,4 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Scores, XXH64 fingerprints, hash-ordered copies, token ids and alignments have no SQL form; tests hold those against brute force."""
+    from loreforge.llm import sql
+
+    return {"op3_rule_ledger": sql.OP3, "op4_licence_rules": sql.OP4, "op9_suffix_dedup": sql.OP9, "op10_decontaminate": sql.OP10}
