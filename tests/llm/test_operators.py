@@ -308,3 +308,24 @@ def test_operators_bear_awkward_rows(docs):
     total = docs.count()
     assert quality.quality_scores(docs, quality.AdditiveModel()).count() == total
     assert licences.report(docs).count() == total
+
+
+def test_null_ids_and_long_texts(spark):
+    from tests.llm.conftest import prose
+
+    long = prose("en", 400_000, 3)
+    rows = [(None, "a b c d e f g h i j k l"), (None, None), (None, long[:5000]), (1, long), (2, "x " + long[:3000]), (None, "a b c d e f g h i j k l")]
+    table = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    n = len(rows)
+    for result in (quality.quality_scores(table, quality.AdditiveModel()), rules.rule_ledger(table), licences.report(table), langid.identify(table, F.lit(True)), mixing.mix(table), simhash.near_duplicates(table)):
+        assert result.count() == n
+    bench = spark.createDataFrame([(None, "a b"), (3, None), (4, " ".join(long.split()[500:520]))], "item_id long, text string")
+    hit = {r.doc_id: r.n_hit for r in decontaminate.contamination(table, bench).where("doc_id = 1").collect()}
+    assert hit == {1: 20}
+    removed = {r.doc_id: r.n_removed for r in suffixes.remove_repeats(table).where("doc_id IS NOT NULL").collect()}
+    assert removed == {1: 5000, 2: 3000}
+    ids = {r.doc_id: r.n_tokens for r in tokens.tokenize(table, TOKENIZER).collect()}
+    assert ids[1] == len(Tokenizer.from_file(TOKENIZER).encode(long, add_special_tokens=False).ids) + 1 and None in ids
+    found = {(r.doc_id, r.other_doc_id) for r in passages.repeated_passages(table).collect()}
+    assert (1, 2) in found or (2, 1) in found
+    assert simhash.representatives(table).count() == simhash.near_duplicates(table).select("fingerprint").distinct().count()
