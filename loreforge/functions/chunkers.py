@@ -14,7 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Sizes of chunks, fixed values: target, overlap, words of a prose chunk, words of an AST chunk, characters of an embedding window.
+from loreforge.functions.text import STRATEGY
+
+# Target and overlap of a chunk, words of a prose chunk and of a symbol chunk, bytes of an embedding window.
 TARGET, OVERLAP, PROSE_WORDS, AST_WORDS, WINDOW = 1600, 120, 100, 400, 7000
 Chunk = tuple[str, int, int, "str | None", str]
 
@@ -26,18 +28,19 @@ def line_of(text: str, at: int) -> int:
 def sentences(text: str) -> list[tuple[int, int]]:
     """Spans of sentences: . ! ? ends one if what follows is nothing or, past white space, an upper-case letter.
 
-    A full stop between digits, or behind a short capitalised word or al or vs, ends none.
+    A full stop between digits, or behind one to three letters, digits or dashes that start upper-case or are al or
+    vs, ends none.
     """
     out, start = [], 0
     for m in re.finditer(r"[.!?]", text):
         i = m.start()
+        rest = text[i + 1 : i + 65].lstrip() or text[i + 1 :].lstrip()
         if m.group() == ".":
-            if text[i - 1 : i].isdigit() and text[i + 1 : i + 2].isdigit():
+            if text[i - 1 : i].isdigit() and rest[:1].isdigit():
                 continue
-            word = re.search(r"[\w-]*$", text[max(0, i - 40) : i]).group()
-            if (1 <= len(word) <= 3 and word[0].isupper()) or word in ("al", "vs"):
+            word = re.search(r"(?:[^\W_]|-)*$", text[max(0, i - 40) : i]).group()
+            if 1 <= len(word) <= 3 and (word[0].isupper() or word.lower() in ("al", "vs")):
                 continue
-        rest = text[i + 1 :].lstrip() if i + 1 < len(text) and text[i + 1].isspace() else text[i + 1 : i + 2]
         if rest and not rest[0].isupper():
             continue
         out.append((start, i + 1))
@@ -70,10 +73,11 @@ def split_long(text: str, start: int, end: int, window: int = TARGET, overlap: i
     """Windows of a long span that end at a line break or blank where there is one, each overlapping the one before."""
     while end - start > window:
         stop = start + window
-        back = max(text.rfind("\n", start + overlap + 1, stop), text.rfind(" ", start + overlap + 1, stop))
+        back = text.rfind("\n", start, stop)
+        back = back if back >= 0 else text.rfind(" ", start, stop)
         stop = back + 1 if back > start else stop
         yield start, stop
-        start = max(start + 1, stop - overlap)
+        start = stop - overlap if stop - overlap > start else stop
     if end > start:
         yield start, end
 
@@ -176,27 +180,29 @@ def references(text: str) -> list[tuple[str, str]]:
 def autodetect(path: str, text: str) -> list[Chunk]:
     """Chunk by the strategy of the path's extension; sources without symbols are chunked as code."""
     kind = path.rsplit(".", 1)[-1].lower() if "." in path else ""
-    if kind in ("md", "txt", "rst", "adoc", "pdf", "docx"):
+    way = next((name for name, kinds in STRATEGY.items() if kind in kinds), "Fallback")
+    if way == "Prose":
         return prose(text)
-    if kind in ("py",):
+    if kind == "py":
         return python_symbols(text) or code_like(text)
-    if kind in ("json", "yaml", "yml", "toml", "xml"):
-        return declarative(text, kind)
-    if kind in ("rs", "ts", "tsx", "js", "jsx", "go", "java", "c", "h", "cpp", "hpp", "cs", "rb", "php", "swift", "kt", "sh", "sql"):
+    if way in ("AstSymbol", "CodeLike"):
         return code_like(text)
-    return fallback(text)
+    return declarative(text, kind) if way == "Declarative" else fallback(text)
 
 
 def windows(text: str, limit: int = WINDOW) -> list[str]:
-    """Cuts of at most ``limit`` characters, at white space in the second half where there is some."""
-    out, start = [], 0
-    while len(text) - start > limit:
-        half = text[start + limit // 2 : start + limit]
-        back = max((m.end() for m in re.finditer(r"\s", half)), default=0)
-        stop = start + limit // 2 + back if back else start + limit
-        out.append(text[start:stop])
+    """Cuts of at most ``limit`` bytes of UTF-8, behind the last white space of the second half where there is some."""
+    raw, out, start = text.encode(), [], 0
+    while len(raw) - start > limit:
+        stop = start + limit
+        while raw[stop] & 0xC0 == 0x80:
+            stop -= 1
+        half = raw[start + limit // 2 : stop].decode(errors="ignore")
+        tail = re.search(r"\S*\Z", half).group()
+        stop = stop - len(tail.encode()) if len(tail) < len(half) else stop
+        out.append(raw[start:stop].decode())
         start = stop
-    return [*out, text[start:]]
+    return [*out, raw[start:].decode()]
 
 
 def chunk_documents(docs: DataFrame, chunker: Callable[[str, str], list[Chunk]] = autodetect) -> DataFrame:

@@ -5,19 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Extensions by chunking strategy (fixed values).
+# Extensions by chunking strategy, and the extractable binary formats.
 STRATEGY = {
-    "Prose": ("md", "txt", "pdf", "docx", "rst", "adoc"),
-    "AstSymbol": ("rs", "ts", "tsx", "js", "jsx", "py", "go"),
-    "CodeLike": ("java", "c", "h", "cpp", "hpp", "cs", "rb", "php", "swift", "kt", "sh", "sql"),
-    "Declarative": ("json", "yaml", "yml", "toml", "xml"),
+    "Prose": ("md", "markdown", "txt", "rst", "org"),
+    "AstSymbol": ("rs", "ts", "tsx", "js", "jsx", "mjs", "cjs", "py", "go"),
+    "CodeLike": ("java", "kt", "swift", "c", "h", "cpp", "hpp", "cs", "rb", "php", "vue", "svelte"),
+    "Declarative": ("yaml", "yml", "json", "jsonc", "toml", "xml"),
 }
-#: Directories that a walk leaves out anywhere, and those it leaves out at the top (fixed values).
-EXCLUDED_DIRS = (".brain", "target", "node_modules", ".git", "dist", "build", "__pycache__", ".venv", "venv", ".cache")
+BINARY = ("pdf", "docx")
+# Directories left out anywhere and at the top, files left out by name, suffix, prefix and path segment.
+EXCLUDED_DIRS = (
+    ".brain", "target", "node_modules", "dist", "dist-newstyle", ".git", ".github", ".next", ".turbo", ".cache",
+    "coverage", "build", "out", ".venv", "venv", "__pycache__", ".idea", ".vscode", ".fastembed_cache",
+)
 EXCLUDED_TOP = ("records", "archive", "backups")
+EXCLUDED_NAMES = (
+    "package-lock.json", "pnpm-lock.yaml", "yarn.lock", "Cargo.lock", "poetry.lock", "uv.lock", "CHANGELOG.md", "CHANGELOG.md.generated",
+    ".confirmations.jsonl", ".attestations.jsonl", ".denials.jsonl", "4913",
+)
 EXCLUDED_SUFFIXES = ("~", ".tmp", ".swp", ".swx")
-EXCLUDED_NAMES = ("package-lock.json", "pnpm-lock.yaml", "yarn.lock", "Cargo.lock", "4913")
-#: Timestamps below these are seconds: the repair of stored rows, and the timeline's own reading (fixed values).
+EXCLUDED_PREFIXES = (".#", "#")
+EXCLUDED_SEGMENTS = ("drizzle/meta/", "gen/schemas/")
+# Fixed value: the instruction that stands before a text in the instr1 scheme.
+INSTRUCTION = "Instruct: Given a web search query, retrieve relevant passages that answer the query\nQuery:"
+# Timestamps below these are seconds, in the repair of stored rows and in the timeline's own reading.
 STORED_SECONDS_BELOW = 1_000_000_000_000
 TIMELINE_SECONDS_BELOW = 100_000_000_000
 
@@ -61,17 +72,32 @@ def excluded(rel: Column) -> Column:
     out = F.arrays_overlap(dirs, F.array(*(F.lit(d) for d in EXCLUDED_DIRS))) | F.coalesce(F.get(dirs, F.lit(0)).isin(*EXCLUDED_TOP), F.lit(False)) | name.isin(*EXCLUDED_NAMES)
     for suffix in EXCLUDED_SUFFIXES:
         out = out | name.endswith(suffix)
-    return out | name.startswith(".#") | name.startswith("#")
+    for prefix in EXCLUDED_PREFIXES:
+        out = out | name.startswith(prefix)
+    for segment in EXCLUDED_SEGMENTS:
+        out = out | rel.contains(segment)
+    return out
 
 
-def strip_tags(html: Column) -> Column:
-    """Tags to spaces, block ends to paragraph breaks, runs of blanks to one."""
-    paragraphs = F.regexp_replace(html, r"(?i)</(p|div|h[1-6]|li|tr)>|<br */?>", "\n\n")
-    flat = F.regexp_replace(F.regexp_replace(paragraphs, r"<[^>]*>", " "), r"[ \t\r]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(flat, r" ?\n ?", "\n"), r"\n{3,}", "\n\n"))
+def admitted(path: Column) -> Column:
+    """Whether files of this extension are ingested."""
+    return extension(path).isin(*(e for kinds in STRATEGY.values() for e in kinds), *BINARY)
+
 
+def embedding_text(title: Column, body: Column, scheme: str) -> Column:
+    """What is embedded for an entry: title, blank line, body, behind the instruction in instr1."""
+    plain = F.concat(title, F.lit("\n\n"), body)
+    if scheme == "raw":
+        return plain
+    if scheme == "instr1":
+        return F.concat(F.lit(INSTRUCTION), plain)
+    raise ValueError(f"unknown scheme {scheme}")
 
-FRONT = r"(?s)\A\x{FEFF}?---\r?\n(.*?)(?:\r?\n)?---(?:\r?\n|\z)"
+
+def strip_tags(html: Column) -> Column:
+    """Each tag a space, what follows an unclosed one nothing, and of a run of blanks its first: a line break or a space."""
+    flat = F.regexp_replace(F.regexp_replace(html, r"<[^>]*>|>", " "), r"<[^>]*\z", "")
+    return F.regexp_replace(F.regexp_replace(flat, r"([ \t\n\r\f])[ \t\n\r\f]*", "$1"), r"[\t\r\f]", " ")
 
 
 def front_matter(text: Column) -> tuple[Column, Column]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,7 +52,7 @@ def longest_prefix(paths: DataFrame, rules: DataFrame) -> DataFrame:
 
     Each path lists its own ancestors, which meet the rules by an equi-join; no path is tested against every rule.
     """
-    parts = F.split("path", "/")
+    parts = F.split(F.regexp_replace(F.translate("path", "\\", "/"), r"^(?:\./)+", ""), "/")
     ancestors = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.struct(F.array_join(F.slice(parts, 1, i), "/").alias("folder"), i.alias("depth")))
     above = paths.where(F.size(parts) > 1).select("path", F.explode(ancestors).alias("a")).select("path", "a.folder", "a.depth")
     best = above.join(rules, "folder").groupBy("path", "depth").agg(F.min("value").alias("low"), F.max("value").alias("high"))
@@ -59,10 +61,10 @@ def longest_prefix(paths: DataFrame, rules: DataFrame) -> DataFrame:
     return paths.join(deepest, "path", "left").select("path", state.alias("state"), F.col("b.low").alias("low"), F.col("b.high").alias("high"))
 
 
-def tier(rel: Column) -> Column:
-    """Partition of a chunk by the first folder of its path."""
-    first = F.get(F.split(rel, "/"), F.lit(0))
-    return F.when(first == "documents", "tier_fact").otherwise(F.concat(F.lit("tier_working::"), F.substring(F.sha2(first, 256), 1, 16)))
+def tier(rel: Column, root: str) -> Column:
+    """Partition of a chunk by the first folder of its path below the root; working chunks share one per root."""
+    own = f"tier_working::{hashlib.sha256(root.encode()).hexdigest()[:16]}"
+    return F.when(F.get(F.split(rel, "/"), F.lit(0)) == "documents", "tier_fact").otherwise(F.lit(own))
 
 
 def assemble(chunks: DataFrame) -> DataFrame:

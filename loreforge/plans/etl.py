@@ -38,12 +38,9 @@ def frontmatter_split(read):
     return d.select("doc_id", full.alias("t")).select("doc_id", F.sha2(body, 256).alias("body"), removed.alias("removed"))
 
 
-KINDS = "['md', 'py', 'yaml', 'sql', 'bin', 'TS']"
-
-
 @query("classify_strategy", f"SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Prose' WHEN 1 THEN 'AstSymbol' WHEN 2 THEN 'Declarative' WHEN 3 THEN 'CodeLike' WHEN 4 THEN 'Fallback' ELSE 'AstSymbol' END AS strategy FROM documents")
 def classify_strategy(read):
-    kinds = F.array(*(F.lit(k) for k in ("md", "py", "yaml", "sql", "bin", "TS")))
+    kinds = F.array(*(F.lit(k) for k in ("md", "py", "yaml", "php", "bin", "TS")))
     path = F.concat(F.lit("/a.b/f"), F.col("doc_id").cast("string"), F.lit("."), F.get(kinds, (F.col("doc_id") % 6).cast("int")))
     return read("documents").select("doc_id", T.strategy(path).alias("strategy"))
 
@@ -54,7 +51,7 @@ def excluded_paths(read):
     return read("documents").select("doc_id", T.excluded(F.get(rel, (F.col("doc_id") % 8).cast("int"))).alias("excluded"))
 
 
-@query("html_strip", r"""SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?i)</(p|div|h[1-6]|li|tr)>|<br */?>', E'\n\n', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r]+', ' ', 'g'), ' ?\n ?', E'\n', 'g'), '\n{3,}', E'\n\n', 'g'))) AS text FROM pages""")
+@query("html_strip", r"""SELECT page_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>|>', ' ', 'g'), '<[^>]*$', ''), '([ \t\n\r\f])[ \t\n\r\f]*', '\1', 'g'), '[\t\r\f]', ' ', 'g')) AS text FROM pages""")
 def html_strip(read):
     return read("pages").select("page_id", F.sha2(T.strip_tags(F.col("html")), 256).alias("text"))
 
@@ -133,10 +130,10 @@ def dirty_docs(read):
     return I.dirty(d, done, "m1")
 
 
-@query("tier_routing", "SELECT doc_id, CASE WHEN source = 'src1' THEN 'tier_fact' ELSE 'tier_working::' || substr(sha256(source), 1, 16) END AS tier FROM documents")
+@query("tier_routing", "SELECT doc_id, CASE WHEN source = 'src1' THEN 'tier_fact' ELSE 'tier_working::' || substr(sha256('/vault'), 1, 16) END AS tier FROM documents")
 def tier_routing(read):
     rel = F.concat(F.when(F.col("source") == "src1", "documents").otherwise(F.col("source")), F.lit("/a.md"))
-    return read("documents").select("doc_id", I.tier(rel).alias("tier"))
+    return read("documents").select("doc_id", I.tier(rel, "/vault").alias("tier"))
 
 
 @query("longest_prefix_rule", f"""WITH p AS (SELECT {PATH} AS path, source, lang FROM documents) SELECT path, CASE WHEN source = 'src1' AND lang = 'fr' THEN 'Tie' WHEN source IN ('src1', 'src2') THEN 'Match' ELSE 'NoMatch' END AS state,

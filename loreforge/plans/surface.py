@@ -82,10 +82,10 @@ def truncated_query_text(read):
     return read("documents").select("doc_id", F.sha2(F.substring("text", 1, 2000), 256).alias("hash"))
 
 
-@query("embedding_text", r"SELECT doc_id, sha256(source || E'\n\n' || text) AS raw, sha256('Represent: ' || source || E'\n\n' || text) AS instr1 FROM documents")
+@query("embedding_text", r"SELECT doc_id, sha256(source || E'\n\n' || text) AS raw, sha256('Instruct: Given a web search query, retrieve relevant passages that answer the query' || chr(10) || 'Query:' || source || E'\n\n' || text) AS instr1 FROM documents")
 def embedding_text(read):
-    body = F.concat("source", F.lit("\n\n"), "text")
-    return read("documents").select("doc_id", F.sha2(body, 256).alias("raw"), F.sha2(F.concat(F.lit("Represent: "), body), 256).alias("instr1"))
+    text = lambda scheme: F.sha2(T.embedding_text(F.col("source"), F.col("text"), scheme), 256).alias(scheme)
+    return read("documents").select("doc_id", text("raw"), text("instr1"))
 
 
 @query("graph_neighbors_capped", f"WITH {TYPED} SELECT node, type, n > 20 AS truncated FROM (SELECT src AS node, type, count(*) OVER () AS n FROM typed WHERE dst = 'n3' ORDER BY src) ORDER BY node LIMIT 20")
