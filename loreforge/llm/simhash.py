@@ -197,14 +197,14 @@ def links(distinct: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
     banded = distinct.select("fp", keys.alias("k")).select("fp", "k.band", "k.key")
     counts = banded.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     dealt = banded.join(counts, ["band", "key"])
-    alone = dealt.where(F.col("n") <= tile).select("fp", "band", "key", F.lit(0).alias("pair"), F.lit(0).alias("side"))
+    alone = dealt.where(F.col("n") <= tile).select("fp", "band", "key", F.lit(0).cast("long").alias("pair"), F.lit(0).alias("side"))
     # a large block: tiles by population count and hash, one group per pair of tiles within the radius
     hot = dealt.where(F.col("n") > tile).withColumn("parts", F.ceil(F.col("n") / tile).cast("int"))
     own = hot.withColumn("own", F.bit_count("fp") * 100_000 + F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     other = F.expr(f"flatten(transform(sequence({-radius}, {radius}), d -> transform(sequence(0, parts - 1), t -> (own div 100000 + d) * 100000 + t)))")
     pairs = own.select("fp", "band", "key", "own", F.explode(other).alias("other"))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    hot = pairs.select("fp", "band", "key", F.hash(low, high).alias("pair"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    hot = pairs.select("fp", "band", "key", (low.cast("long") * (1 << 31) + high).alias("pair"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     groups = alone.union(hot).select("fp", "side", F.xxhash64("band", "key", "pair").alias("g"))
     groups = groups.repartition("g").sortWithinPartitions("g", "fp")
 
