@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -275,10 +276,64 @@ def test_passages(docs):
     assert {i for i, _ in pairs} == {0, 105, 106, 107, 114, 115}
 
 
+def test_edited_passages(spark):
+    r = random.Random(11)
+    pick = lambda n: [f"w{r.randrange(20_000)}" for _ in range(n)]
+    rows, place = [], {}
+    for _ in range(12):
+        base = pick(80)
+        for _ in range(r.choice([2, 3, 12])):
+            copy = []
+            for word in base:
+                u = r.random()
+                copy += pick(1) if u < 0.02 else [] if u < 0.03 else [word, *pick(1)] if u < 0.04 else [word]
+            before = pick(r.randint(10, 150))
+            place[len(rows)] = (len(before), len(before) + len(copy))
+            rows.append((len(rows), " ".join(before + copy + pick(r.randint(10, 150)))))
+    found: dict[int, set] = {i: set() for i in place}
+    for p in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        assert p.identity >= 0.8 and min(p.last_word - p.first_word, p.other_last_word - p.other_first_word) >= 50
+        found[p.doc_id] |= set(range(p.first_word, p.last_word))
+    for i, (a, b) in place.items():
+        assert len(found[i] & set(range(a, b))) >= 0.8 * (b - a)
+        assert len(found[i] - set(range(a - 5, b + 5))) == 0
+
+
+def _subsequence(x, y):
+    table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, a in enumerate(x):
+        for j, b in enumerate(y):
+            table[i + 1][j + 1] = table[i][j] + 1 if a == b else max(table[i][j + 1], table[i + 1][j])
+    return table[-1][-1]
+
+
+@given(st.lists(st.integers(0, 4), max_size=20), st.lists(st.integers(0, 4), max_size=20))
+@settings(max_examples=100, deadline=None)
+def test_alignment_of_gaps_and_ends(x, y):
+    assert passages.common(x, y) == _subsequence(x, y)
+    ends = passages._ends([np.array(x)], -1), passages._ends([np.array(y)], -2)
+    i, j, n = (int(v[0]) for v in passages.extend(*ends))
+    score = {(0, 0): 0}
+    for a in range(len(x) + 1):
+        for b in range(len(y) + 1):
+            ways = [score[a - 1, b] - 3] if a else []
+            ways += [score[a, b - 1] - 3] if b else []
+            ways += [score[a - 1, b - 1] + (1 if x[a - 1] == y[b - 1] else -3)] if a and b else []
+            score[a, b] = max(ways, default=0)
+    assert score[i, j] == max(score.values()) and n <= _subsequence(x[:i], y[:j])
+
+
+def test_chain_without_identity_is_cut_at_its_worst_gap():
+    x = np.arange(200)
+    y = np.concatenate([np.arange(60), np.arange(1000, 1040), np.arange(100, 200)])
+    assert sorted(passages.pieces(x, y, [(0, 0, 60), (100, 100, 100)], 0.9)) == [(0, 60, 0, 60, 60), (100, 200, 100, 200, 100)]
+    assert passages.pieces(x, y, [(0, 0, 60), (100, 100, 100)], 0.8) == [(0, 200, 0, 200, 160)]
+
+
 @given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 60), st.integers(1, 6)), min_size=1, max_size=12))
 @settings(max_examples=60, deadline=None)
 def test_chain(runs):
-    chains = passages.chain(runs, max_gap=1000)
+    chains = passages.chain(runs, gap_cost=0.25, max_gap=1000)
 
     def worth(path):
         return sum(n for _, _, n in path) - 0.25 * sum(y[0] - x[0] - x[2] + y[1] - x[1] - x[2] for x, y in zip(path, path[1:]))
