@@ -299,6 +299,26 @@ def test_edited_passages(spark):
         assert len(found[i] - set(range(a - 5, b + 5))) == 0
 
 
+def test_exact_passage_whose_seeds_are_common(spark):
+    r = random.Random(5)
+    pick = lambda n: [f"w{r.randrange(50_000)}" for _ in range(n)]
+    shared, rows = [], []
+    for _ in range(20):
+        base = pick(50)
+        shared.append(base)
+        for _ in range(2):
+            rows.append(pick(40) + base + pick(40))
+        for _ in range(20):  # stretches of it, never more than 12 words in a row, each between other words
+            rows.append([x for at in range(0, 50, 6) for x in base[at : at + 12] + pick(12)])
+    table = spark.createDataFrame([(i, " ".join(words)) for i, words in enumerate(rows)], "doc_id long, text string").repartition(3)
+    found = Counter()
+    for p in passages.repeated_passages(table).collect():
+        assert p.identity >= 0.8 and rows[p.doc_id] != rows[p.other_doc_id]
+        if p.first_word <= 40 and p.last_word >= 90:
+            found[p.doc_id] += 1
+    assert {i for i in range(len(rows)) if i % 22 < 2} <= set(found)
+
+
 def _subsequence(x, y):
     table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i, a in enumerate(x):
