@@ -1,16 +1,18 @@
 """Licence recognition from known sentences and ordered rules.
 
-A text is cut into sentences at line breaks and sentence ends.  Sentences are
+A text is cut into parts at line breaks and sentence ends; a known sentence may
+go on over any number of line breaks, not over a sentence end.  Parts are
 normalised (lower case, every run of characters other than letters and digits
 one space) and looked up among the known licence sentences; the identifiers
 found, in order, make a sequence.  A rule is an ordered list of identifiers; it
-matches where they occur in that order with at most ``gap`` unknown sentences
+matches where they occur in that order with at most ``gap`` unknown parts
 between two of them.  Longer rules win over the rules whose sentences they
 contain at the same place.
 
 Everything is DataFrame expressions inside a row: no text is exploded or
 shuffled.  Known sentences and rules are a fixed list of the caller's, compiled
-into the plan.
+into the plan.  The SQL of the query knows SENTENCES and RULES on one line each;
+the unabridged notices and wrapped sentences go beyond it.
 
 Defined results: null, empty and sentence-free texts give empty lists; a
 sentence that occurs again is matched again; equal rules are merged by name;
@@ -71,14 +73,114 @@ RULES: tuple[LicenceRule, ...] = (
 )
 
 
+_FREE = "{} is free software you can redistribute it and or modify it under the terms of "
+_GNU = {"GPL": "gnu general public license", "LGPL": "gnu lesser general public license", "AGPL": "gnu affero general public license"}
+_SPDX = {
+    "MIT": ["mit"], "Apache-2.0": ["apache 2 0"], "BSD": ["bsd 2 clause"], "BSD-3-Clause": ["bsd 3 clause"], "ISC": ["isc"], "MPL-2.0": ["mpl 2 0"], "CC0-1.0": ["cc0 1 0"],
+    "CC-BY-4.0": ["cc by 4 0"], "CC-BY-SA-4.0": ["cc by sa 4 0"], "CC-BY-NC-4.0": ["cc by nc 4 0"],
+    **{f"{x.upper()}-{v}.{n}": [f"{x} {v} {n}{end}" for end in ("", " only", " or later")] for x, v, n in (("gpl", 2, 0), ("gpl", 3, 0), ("lgpl", 2, 1), ("lgpl", 3, 0), ("agpl", 3, 0))},
+}
+
+
+def _gnu() -> dict[str, tuple[str, str]]:
+    out = {}
+    for kind, v in (("GPL", "2 0"), ("GPL", "3 0"), ("LGPL", "2 1"), ("LGPL", "3 0"), ("AGPL", "3 0")):
+        name, short = _GNU[kind], v.removesuffix(" 0")
+        forms = [
+            f"the {name} as published by the free software foundation either version {short} of the license or at your option any later version",
+            f"the {name} as published by the free software foundation version {short} of the license",
+            f"the {name} version {short} as published by the free software foundation",
+            f"version {short} of the {name} as published by the free software foundation",
+        ]
+        for subject in ("program", "library", "file", "software"):
+            for i, form in enumerate(forms):
+                out[f"{kind.lower()}-{v.replace(' ', '.')}-{subject}-{i}"] = (f"{kind}-{v.replace(' ', '.')}", _FREE.format(f"this {subject}") + form)
+    return out
+
+
+#: Sentences of the unabridged notices that state a licence on their own: licence and sentence by identifier.
+_ALONE: dict[str, tuple[str, str]] = {
+    **_gnu(),
+    **{f"spdx-{x.replace(' ', '-')}": (licence, f"spdx license identifier {x}") for licence, ids in _SPDX.items() for x in ids},
+    "mpl-2-header": ("MPL-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    "mpl-2-header-comma": ("MPL-2.0", "this source code form is subject to the terms of the mozilla public license version 2 0"),
+    "isc-permission": ("ISC", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    "isc-permission-and": ("ISC", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    "cc-by-sa-4-work": ("CC-BY-SA-4.0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    "cc-by-4-work": ("CC-BY-4.0", "this work is licensed under a creative commons attribution 4 0 international license"),
+    "cc-by-nc-4-work": ("CC-BY-NC-4.0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    "cc-by-sa-4-grant": ("CC-BY-SA-4.0", "licensed under cc by sa 4 0"),
+    "cc0-1-grant": ("CC0-1.0", "licensed under cc0 1 0"),
+}
+_APACHE = "you may obtain a copy of the license at {} www apache org licenses license 2 0"
+_BSD_NAME = "neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+
+#: Sentences of the unabridged notices, beside SENTENCES.
+STANDARD_SENTENCES: dict[str, str] = {
+    **{name: sentence for name, (_, sentence) in _ALONE.items()},
+    "mit-permission-full": SENTENCES["mit-permission"] + " the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+    "mit-notice-next": "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software",
+    "mit-warranty": SENTENCES["as-is"] + " express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+    "apache-2-header": SENTENCES["apache-2-grant"] + " the license " + SENTENCES["apache-2-limits"],
+    "apache-2-copy-http": _APACHE.format("http"),
+    "apache-2-copy-https": _APACHE.format("https"),
+    "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "bsd-name": _BSD_NAME.format("the copyright holder"),
+    "bsd-name-holders": _BSD_NAME.format("the copyright holders"),
+    "bsd-name-author": _BSD_NAME.format("the author"),
+    "bsd-name-university": _BSD_NAME.format("the university"),
+}
+
+STANDARD_RULES: tuple[LicenceRule, ...] = (
+    *(LicenceRule(name, licence, (name,)) for name, (licence, _) in _ALONE.items()),
+    *(LicenceRule(f"mit-unabridged{end}", "MIT", ("mit-permission-full", f"mit-notice{end}", "mit-warranty")) for end in ("", "-next")),
+    LicenceRule("apache-header-line", "Apache-2.0", ("apache-2-header",)),
+    *(LicenceRule(f"apache-header-{copy}", "Apache-2.0", ("apache-2-header", f"apache-2-{copy}")) for copy in ("copy", "copy-http", "copy-https")),
+    LicenceRule("bsd-conditions", "BSD", ("bsd-redistribution", "bsd-source", "bsd-binary")),
+    *(LicenceRule(f"bsd-3{end}", "BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", f"bsd-name{end}")) for end in ("", "-holders", "-author", "-university")),
+)
+
+
 def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, in order; a sentence ends at a line break or at . ! ? before white space."""
+    """Normalised parts of a text (s, at, ended), in order, but empty ones; a part ends at a line break or at . ! ? before white space."""
     parts = F.split(text, r"\n+|(?<=[.!?])[\x20\x09-\x0D]+")
-    return F.transform(parts, lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " ")))
+    ended = lambda p: p.endswith(".") | p.endswith("!") | p.endswith("?")
+    made = F.transform(parts, lambda p, i: F.struct(F.trim(F.regexp_replace(F.lower(p), r"[^\p{L}\p{N}]+", " ")).alias("s"), i.alias("at"), ended(p).alias("ended")))
+    return F.filter(made, lambda x: x["s"] != "")
+
+
+def _known(s: Column, known: Mapping[str, str]) -> Column:
+    """Structs (id, at, end, n, m) of the known sentences: first and last part, counted in the text and among parts that are not empty.
+
+    A sentence may go on over line breaks.  Only parts that begin one are joined with those behind them; the longest wins.
+    """
+    split = {name: sentence.split(" ") for name, sentence in known.items()}
+    begin = sorted({" ".join(words[:i]) for words in split.values() for i in range(1, len(words) + 1)})
+    most = max(map(len, split.values()))
+    table = F.array(*(F.struct(F.lit(len(sentence)).alias("size"), F.lit(name).alias("id"), F.lit(sentence + " ").alias("sentence")) for name, sentence in known.items()))
+    begun = F.filter(F.transform(s, lambda x, n: F.struct(x["s"].alias("s"), n.alias("n"))), lambda x: x["s"].isin(begin))
+    ends = F.transform(s, lambda y: F.concat(y["s"], F.when(y["ended"], "\x01").otherwise("\n")))
+    joined = F.transform(begun, lambda x: F.struct(x["n"].alias("n"), F.array_join(F.slice(ends, x["n"] + 1, F.lit(most)), "").alias("j")))
+
+    def fits(j: Column, k: Column) -> Column:
+        """The sentence, a blank where a line ends or goes on, and then the end of a part."""
+        here = F.substring(j, F.lit(1), k["size"] + 1)
+        return (F.translate(here, "\n\x01", "  ") == k["sentence"]) & ~here.endswith(" ") & (F.instr(F.substring(j, F.lit(1), k["size"]), "\x01") == 0)
+
+    best = F.transform(joined, lambda x: F.struct(x["n"].alias("n"), x["j"].alias("j"), F.array_max(F.filter(table, lambda k: fits(x["j"], k))).alias("k")))
+    hit = F.filter(best, lambda x: x["k"].isNotNull())
+
+    def last(x: Column) -> Column:
+        here = F.substring(x["j"], F.lit(1), x["k"]["size"])
+        return x["n"] + F.length(here) - F.length(F.translate(here, "\n", ""))
+
+    placed = F.transform(hit, lambda x: F.struct(x["k"]["id"].alias("id"), x["n"].alias("n"), last(x).alias("m")))
+    return F.transform(placed, lambda x: F.struct(x["id"].alias("id"), s[x["n"]]["at"].alias("at"), s[x["m"]]["at"].alias("end"), x["n"].alias("n"), x["m"].alias("m")))
 
 
 def _places(ids: Column, name: str) -> Column:
-    return F.transform(F.filter(ids, lambda x: x["id"] == name), lambda x: x["at"])
+    return F.transform(F.filter(ids, lambda x: x["id"] == name), lambda x: F.struct(x["n"].alias("n"), x["m"].alias("m"), x["at"].alias("at"), x["end"].alias("end")))
 
 
 def _rule_matches(ids: Column, rule: LicenceRule, gap: int) -> Column:
@@ -86,32 +188,30 @@ def _rule_matches(ids: Column, rule: LicenceRule, gap: int) -> Column:
 
     def extend(spans: Column, places: Column) -> Column:
         def one(span: Column) -> Column:
-            near = F.filter(places, lambda at: (at > span["last"]) & (at <= span["last"] + gap + 1))
-            return F.struct(span["first"].alias("first"), F.array_min(near).alias("last"))
+            near = F.filter(places, lambda x: (x["n"] > span["m"]) & (x["n"] <= span["m"] + gap + 1))
+            nearest = F.array_min(near)
+            return F.struct(span["first"].alias("first"), nearest["end"].alias("last"), nearest["m"].alias("m"))
 
         return F.filter(F.transform(spans, one), lambda span: span["last"].isNotNull())
 
-    spans = F.transform(_places(ids, rule.sentences[0]), lambda at: F.struct(at.alias("first"), at.alias("last")))
+    spans = F.transform(_places(ids, rule.sentences[0]), lambda x: F.struct(x["at"].alias("first"), x["end"].alias("last"), x["m"].alias("m")))
     for name in rule.sentences[1:]:
         spans = extend(spans, _places(ids, name))
     return F.transform(spans, lambda span: F.struct(F.lit(rule.name).alias("rule"), F.lit(rule.licence).alias("licence"), span["first"].alias("first"), span["last"].alias("last")))
 
 
 def _matches(ids: Column, rules: Sequence[LicenceRule], gap: int) -> Column:
-    """Structs (rule, licence, first, last) of every rule match in ``ids``, structs (id, at) in order of place."""
+    """Structs (rule, licence, first, last) of every rule match in ``ids``, structs (id, at, end, n, m) in order of place."""
     return F.flatten(F.array(*(_rule_matches(ids, rule, gap) for rule in rules)))
 
 
-def scan(docs: DataFrame, known: Mapping[str, str] = SENTENCES, rules: Sequence[LicenceRule] = RULES, gap: int = 2) -> DataFrame:
+def scan(docs: DataFrame, known: Mapping[str, str] = SENTENCES | STANDARD_SENTENCES, rules: Sequence[LicenceRule] = RULES + STANDARD_RULES, gap: int = 2) -> DataFrame:
     """doc_id, the identifier sequence, the rule matches and the licences of every document."""
     unknown = {name for rule in rules for name in rule.sentences} - set(known)
     if unknown:
         raise ValueError(f"rules name unknown sentences: {sorted(unknown)}")
     if not rules:
         raise ValueError("no rules")
-    table = F.create_map(*(F.lit(x) for name, sentence in known.items() for x in (sentence, name)))
-    listed = F.transform(F.col("s"), lambda s, i: F.struct(table[s].alias("id"), i.alias("at")))
-    sequence = F.filter(listed, lambda x: x["id"].isNotNull())
     every = _matches(F.col("ids"), rules, gap)
 
 
@@ -119,7 +219,7 @@ def scan(docs: DataFrame, known: Mapping[str, str] = SENTENCES, rules: Sequence[
         return F.exists("every", lambda o: (o["first"] <= m["first"]) & (o["last"] >= m["last"]) & (o["last"] - o["first"] > m["last"] - m["first"]))
 
     return (
-        id_and_text(docs).select("doc_id", sentences(F.coalesce("text", F.lit(""))).alias("s")).select("doc_id", sequence.alias("ids"))
+        id_and_text(docs).select("doc_id", sentences(F.coalesce("text", F.lit(""))).alias("s")).select("doc_id", _known(F.col("s"), known).alias("ids"))
         .withColumn("every", every).withColumn("matches", F.filter("every", lambda m: ~inside(m)))
         .select("doc_id", F.transform("ids", lambda x: x["id"]).alias("sequence"), "matches", F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["licence"]))).alias("licences"))
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -267,6 +268,40 @@ def test_licences(spark):
     assert licences.report(table, gap=0).where("doc_id = 1").first().rules == "apache-short@1"
 
 
+NOTICES = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0""",
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.""",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+}
+
+
+def test_unabridged_and_wrapped_notices(spark):
+    rows = []
+    for licence, notice in NOTICES.items():
+        for width in (9999, 72, 30):
+            for lead in ("", "# "):
+                lines = [lead + line for block in notice.split("\n\n") for line in [*textwrap.wrap(block, width), ""]]
+                rows.append((licence, "import os\n" + "\n".join(lines) + "\nx = 1"))
+    rows += [("GPL-2.0", "// SPDX-License-Identifier: GPL-2.0-or-later\nint x;"), ("", "Released under the. MIT License. It was released under the MIT\nLicense")]
+    table = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.licences for r in licences.report(table).collect()}
+    assert got == {i: licence for i, (licence, _) in enumerate(rows)}
+
+
 def test_passages(docs):
     got = passages.repeated_passages(docs).collect()
     pairs = {(r.doc_id, r.other_doc_id) for r in got}
