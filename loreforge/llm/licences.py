@@ -1,27 +1,32 @@
 """Licence recognition from known sentences and ordered rules.
 
-A text is cut into parts at line breaks and sentence ends; a known sentence may
-go on over any number of line breaks, not over a sentence end.  Parts are
-normalised (lower case, every run of characters other than letters and digits
-one space) and looked up among the known licence sentences; the identifiers
-found, in order, make a sequence.  A rule is an ordered list of identifiers; it
-matches where they occur in that order with at most ``gap`` unknown parts
-between two of them.  Longer rules win over the rules whose sentences they
-contain at the same place.
+A text is normalised (lower case, every run of characters other than letters and
+digits one space) and cut into parts at line breaks, blank lines and sentence
+ends; lines of comment marks alone count as blank.  A known sentence begins where
+a part begins, goes on over any number of wrapped lines, though not over a blank
+line or a sentence end, and ends where a part ends; of several the longest is
+taken, and a list mark such as ``1.`` or ``(b)`` may stand before it.  Known
+sentences have identifiers, and those found, in order, make a sequence.  A rule
+is an ordered list of identifiers; it matches where they occur in that order with
+at most ``gap`` unknown parts between two of them.  A match gives way to a longer
+one whose span holds it.
 
 Everything is DataFrame expressions inside a row: no text is exploded or
-shuffled.  Known sentences and rules are a fixed list of the caller's, compiled
-into the plan.  The SQL of the query knows SENTENCES and RULES on one line each;
-the unabridged notices and wrapped sentences go beyond it.
+shuffled.  The sentences are compiled into one pattern that branches word by word
+and runs once over a text, so the work grows with the text; the pattern grows
+with the caller's list.  Every known sentence holds one of a few key words; a text
+without any of them holds no known sentence and is not normalised.
 
 Defined results: null, empty and sentence-free texts give empty lists; a
-sentence that occurs again is matched again; equal rules are merged by name;
-repeated rows get equal rows; extra columns are ignored.
+sentence that occurs again is matched again; rules of equal sentences all match;
+a rule with a sentence that is not known, and an empty list of rules, is an
+error; repeated rows get equal rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -29,24 +34,14 @@ from pyspark.sql import functions as F
 
 from loreforge.llm.session import id_and_text
 
-#: Known sentences by identifier, normalised.
-SENTENCES: dict[str, str] = {
-    "mit-grant": "released under the mit license",
-    "mit-permission": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
-    "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "as-is": "the software is provided as is without warranty of any kind",
-    "apache-2-grant": "licensed under the apache license version 2 0",
-    "apache-2-limits": "you may not use this file except in compliance with the license",
-    "apache-2-copy": "you may obtain a copy of the license at",
-    "gpl-3-grant": "this work is licensed under the gnu general public license version 3",
-    "gpl-3-program": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license",
-    "gpl-warranty": "this program is distributed in the hope that it will be useful but without any warranty",
-    "cc-by-nc-4-grant": "licensed under cc by nc 4 0",
-    "cc-by-4-grant": "licensed under cc by 4 0",
-    "bsd-redistribution": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "rights-reserved": "all rights reserved",
-    "public-domain": "this work is in the public domain",
-}
+#: Between parts: a line that may be wrapped, and the end of a sentence or a block.
+LINE, STOP = "\n", "\x01"
+
+
+def parts_of(text: str) -> list[str]:
+    """The sentences of an unwrapped notice, normalised."""
+    text = re.sub(r"(?<=[.!?])(?<!\sv\.)\s+|\n\s*\n", STOP, text.lower())
+    return [s for s in (re.sub(r"[\W_]+", " ", part).strip() for part in text.split(STOP)) if s]
 
 
 @dataclass(frozen=True)
@@ -58,169 +53,205 @@ class LicenceRule:
     sentences: tuple[str, ...]
 
 
-RULES: tuple[LicenceRule, ...] = (
-    LicenceRule("mit-short", "MIT", ("mit-grant",)),
-    LicenceRule("mit-full", "MIT", ("mit-permission", "mit-notice", "as-is")),
-    LicenceRule("apache-short", "Apache-2.0", ("apache-2-grant",)),
-    LicenceRule("apache-header", "Apache-2.0", ("apache-2-grant", "apache-2-limits", "apache-2-copy")),
-    LicenceRule("gpl-3-short", "GPL-3.0", ("gpl-3-grant",)),
-    LicenceRule("gpl-3-notice", "GPL-3.0", ("gpl-3-program", "gpl-warranty")),
-    LicenceRule("cc-by-nc-short", "CC-BY-NC-4.0", ("cc-by-nc-4-grant",)),
-    LicenceRule("cc-by-short", "CC-BY-4.0", ("cc-by-4-grant",)),
-    LicenceRule("bsd", "BSD", ("bsd-redistribution",)),
-    LicenceRule("reserved", "proprietary", ("rights-reserved",)),
-    LicenceRule("public-domain", "public-domain", ("public-domain",)),
-)
-
-
-_FREE = "{} is free software you can redistribute it and or modify it under the terms of "
-_GNU = {"GPL": "gnu general public license", "LGPL": "gnu lesser general public license", "AGPL": "gnu affero general public license"}
-_SPDX = {
-    "MIT": ["mit"], "Apache-2.0": ["apache 2 0"], "BSD": ["bsd 2 clause"], "BSD-3-Clause": ["bsd 3 clause"], "ISC": ["isc"], "MPL-2.0": ["mpl 2 0"], "CC0-1.0": ["cc0 1 0"],
-    "CC-BY-4.0": ["cc by 4 0"], "CC-BY-SA-4.0": ["cc by sa 4 0"], "CC-BY-NC-4.0": ["cc by nc 4 0"],
-    **{f"{x.upper()}-{v}.{n}": [f"{x} {v} {n}{end}" for end in ("", " only", " or later")] for x, v, n in (("gpl", 2, 0), ("gpl", 3, 0), ("lgpl", 2, 1), ("lgpl", 3, 0), ("agpl", 3, 0))},
+#: One-line statements: identifier, licence, name of the rule, forms.
+STATEMENTS: tuple[tuple[str, str, str, tuple[str, ...]], ...] = (
+    ("mit-grant", "MIT", "mit-short", ("Released under the MIT License", "Licensed under the MIT License", "This project is licensed under the MIT License")),
+    ("apache-2-grant", "Apache-2.0", "apache-short", ("Licensed under the Apache License Version 2 0", "Released under the Apache License Version 2 0", "Licensed under the Apache License 2 0")),
+    ("gpl-3-grant", "GPL-3.0", "gpl-3-short", ("This work is licensed under the GNU General Public License version 3", "Licensed under the GNU General Public License version 3", "Released under the GNU General Public License version 3")),
+    ("gpl-2-grant", "GPL-2.0", "gpl-2-short", ("This work is licensed under the GNU General Public License version 2", "Licensed under the GNU General Public License version 2", "Released under the GNU General Public License version 2")),
+    ("bsd-2-grant", "BSD-2-Clause", "bsd-2-short", ("Released under the BSD 2 Clause License", "Licensed under the BSD 2 Clause License")),
+    ("bsd-3-grant", "BSD-3-Clause", "bsd-3-short", ("Released under the BSD 3 Clause License", "Licensed under the BSD 3 Clause License")),
+    ("isc-grant", "ISC", "isc-short", ("Released under the ISC License", "Licensed under the ISC License")),
+    ("mpl-2-grant", "MPL-2.0", "mpl-2-short", ("Released under the Mozilla Public License Version 2 0", "Licensed under the Mozilla Public License Version 2 0")),
+    *(
+        (f"cc-{kind}-4-grant", f"CC-{kind.upper()}-4.0", f"cc-{kind}-short", (
+            f"Licensed under CC {kind} 4 0", f"This work is licensed under CC {kind} 4 0", f"This work is licensed under a Creative Commons {name} 4 0 International License",
+            f"This work is licensed under the Creative Commons {name} 4 0 International License", f"This work is licensed under Creative Commons {name} 4 0 International",
+        ))
+        for kind, name in (("by", "Attribution"), ("by-sa", "Attribution ShareAlike"), ("by-nc", "Attribution NonCommercial"), ("by-nd", "Attribution NoDerivatives"), ("by-nc-sa", "Attribution NonCommercial ShareAlike"), ("by-nc-nd", "Attribution NonCommercial NoDerivatives"))
+    ),
+    ("cc0-grant", "CC0-1.0", "cc0-short", ("Licensed under CC0 1 0", "This work is licensed under CC0 1 0", "This work is dedicated to the public domain under CC0 1 0", "To the extent possible under law the author has waived all copyright and related or neighboring rights to this work")),
+    ("rights-reserved", "proprietary", "reserved", ("All rights reserved",)),
+    ("public-domain", "public-domain", "public-domain", ("This work is in the public domain", "This file is in the public domain")),
+)
+
+#: Names of the identifier line of source files and the licence that each means.
+SPDX: dict[str, str] = {
+    "MIT": "MIT", "MIT-0": "MIT-0", "Apache-2.0": "Apache-2.0", "BSD-2-Clause": "BSD-2-Clause", "BSD-3-Clause": "BSD-3-Clause", "0BSD": "0BSD", "ISC": "ISC", "Zlib": "Zlib",
+    "MPL-2.0": "MPL-2.0", "EPL-2.0": "EPL-2.0", "BSL-1.0": "BSL-1.0", "Unlicense": "Unlicense", "CC0-1.0": "CC0-1.0", "CC-BY-4.0": "CC-BY-4.0", "CC-BY-SA-4.0": "CC-BY-SA-4.0", "CC-BY-NC-4.0": "CC-BY-NC-4.0",
+    **{f"{kind}-{v}{end}": f"{kind}-{v}" for kind, v in (("GPL", "2.0"), ("GPL", "3.0"), ("LGPL", "2.1"), ("LGPL", "3.0"), ("AGPL", "3.0")) for end in ("", "-only", "-or-later", "+")},
 }
 
-
-def _gnu() -> dict[str, tuple[str, str]]:
-    out = {}
-    for kind, v in (("GPL", "2 0"), ("GPL", "3 0"), ("LGPL", "2 1"), ("LGPL", "3 0"), ("AGPL", "3 0")):
-        name, short = _GNU[kind], v.removesuffix(" 0")
-        forms = [
-            f"the {name} as published by the free software foundation either version {short} of the license or at your option any later version",
-            f"the {name} as published by the free software foundation version {short} of the license",
-            f"the {name} version {short} as published by the free software foundation",
-            f"version {short} of the {name} as published by the free software foundation",
-        ]
-        for subject in ("program", "library", "file", "software"):
-            for i, form in enumerate(forms):
-                out[f"{kind.lower()}-{v.replace(' ', '.')}-{subject}-{i}"] = (f"{kind}-{v.replace(' ', '.')}", _FREE.format(f"this {subject}") + form)
-    return out
-
-
-#: Sentences of the unabridged notices that state a licence on their own: licence and sentence by identifier.
-_ALONE: dict[str, tuple[str, str]] = {
-    **_gnu(),
-    **{f"spdx-{x.replace(' ', '-')}": (licence, f"spdx license identifier {x}") for licence, ids in _SPDX.items() for x in ids},
-    "mpl-2-header": ("MPL-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    "mpl-2-header-comma": ("MPL-2.0", "this source code form is subject to the terms of the mozilla public license version 2 0"),
-    "isc-permission": ("ISC", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    "isc-permission-and": ("ISC", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    "cc-by-sa-4-work": ("CC-BY-SA-4.0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
-    "cc-by-4-work": ("CC-BY-4.0", "this work is licensed under a creative commons attribution 4 0 international license"),
-    "cc-by-nc-4-work": ("CC-BY-NC-4.0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
-    "cc-by-sa-4-grant": ("CC-BY-SA-4.0", "licensed under cc by sa 4 0"),
-    "cc0-1-grant": ("CC0-1.0", "licensed under cc0 1 0"),
-}
-_APACHE = "you may obtain a copy of the license at {} www apache org licenses license 2 0"
-_BSD_NAME = "neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
-
-#: Sentences of the unabridged notices, beside SENTENCES.
-STANDARD_SENTENCES: dict[str, str] = {
-    **{name: sentence for name, (_, sentence) in _ALONE.items()},
-    "mit-permission-full": SENTENCES["mit-permission"] + " the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
-    "mit-notice-next": "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software",
-    "mit-warranty": SENTENCES["as-is"] + " express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
-    "apache-2-header": SENTENCES["apache-2-grant"] + " the license " + SENTENCES["apache-2-limits"],
-    "apache-2-copy-http": _APACHE.format("http"),
-    "apache-2-copy-https": _APACHE.format("https"),
-    "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-    "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    "bsd-name": _BSD_NAME.format("the copyright holder"),
-    "bsd-name-holders": _BSD_NAME.format("the copyright holders"),
-    "bsd-name-author": _BSD_NAME.format("the author"),
-    "bsd-name-university": _BSD_NAME.format("the university"),
-}
-
-STANDARD_RULES: tuple[LicenceRule, ...] = (
-    *(LicenceRule(name, licence, (name,)) for name, (licence, _) in _ALONE.items()),
-    *(LicenceRule(f"mit-unabridged{end}", "MIT", ("mit-permission-full", f"mit-notice{end}", "mit-warranty")) for end in ("", "-next")),
-    LicenceRule("apache-header-line", "Apache-2.0", ("apache-2-header",)),
-    *(LicenceRule(f"apache-header-{copy}", "Apache-2.0", ("apache-2-header", f"apache-2-{copy}")) for copy in ("copy", "copy-http", "copy-https")),
-    LicenceRule("bsd-conditions", "BSD", ("bsd-redistribution", "bsd-source", "bsd-binary")),
-    *(LicenceRule(f"bsd-3{end}", "BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", f"bsd-name{end}")) for end in ("", "-holders", "-author", "-university")),
+_AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+_LIABLE = """IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_NAME = "Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_AS_IS = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+_BSD_LIABLE = """IN NO EVENT SHALL THE COPYRIGHT {} OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ISC = "Permission to use, copy, modify, {} distribute this software for any purpose with or without fee is hereby granted"
+_ISC_AS_IS = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""
+_APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License."""
+_APACHE_END = """Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+_GNU = {"GPL": "GNU General Public License", "LGPL": "GNU Lesser General Public License", "AGPL": "GNU Affero General Public License"}
+_GNU_FORMS = (
+    "the {name} as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version.",
+    "the {name} as published by the Free Software Foundation, version {v} of the License.",
+    "the {name} version {v} as published by the Free Software Foundation.",
+    "version {v} of the {name} as published by the Free Software Foundation.",
 )
 
+#: Notices by rule name: the licence and alternatives for each of their stretches, in order.
+NOTICES: dict[str, tuple[str, tuple[tuple[str, ...], ...]]] = {
+    "mit-core": ("MIT", ((_MIT + ", subject to the following conditions:",),)),
+    "mit-full": ("MIT", (
+        (_MIT + ", subject to the following conditions:",),
+        ("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software."),
+        (_AS_IS,),
+    )),
+    "mit-0": ("MIT-0", ((_MIT + ".",), (_AS_IS,))),
+    "bsd-2": ("BSD-2-Clause", ((_BSD,),)),
+    "bsd-3": ("BSD-3-Clause", ((_BSD,), tuple(_BSD_NAME.format(who) for who in ("the copyright holder", "the copyright holders", "the author", "the authors", "the project", "the organization", "the <organization>", "the university", "copyright holder"))), ),
+    "isc": ("ISC", (tuple(_ISC.format(join) + ", provided that the above copyright notice and this permission notice appear in all copies." for join in ("and/or", "and")),)),
+    "isc-full": ("ISC", (tuple(_ISC.format(join) + ", provided that the above copyright notice and this permission notice appear in all copies." for join in ("and/or", "and")), (_ISC_AS_IS,))),
+    "0bsd": ("0BSD", (tuple(_ISC.format(join) + "." for join in ("and/or", "and")), (_ISC_AS_IS,))),
+    "apache-core": ("Apache-2.0", ((_APACHE,),)),
+    "apache-notice": ("Apache-2.0", ((_APACHE,), ("You may obtain a copy of the License at",), ("http://www.apache.org/licenses/LICENSE-2.0", "https://www.apache.org/licenses/LICENSE-2.0"))),
+    "apache-one-line": ("Apache-2.0", ((_APACHE,), ("You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"))),
+    "apache-header": ("Apache-2.0", (("Licensed under the Apache License, Version 2.0",), ("you may not use this file except in compliance with the License.",), ("You may obtain a copy of the License at",))),
+    **{
+        f"{kind.lower()}-{v}-{i}": (f"{kind}-{v}", (tuple(f"This {what} is free software: you can redistribute it and/or modify it under the terms of " + form.format(name=_GNU[kind], v=v.removesuffix(".0")) for what in ("program", "library", "file", "software")),))
+        for kind, v in (("GPL", "2.0"), ("GPL", "3.0"), ("LGPL", "2.1"), ("LGPL", "3.0"), ("AGPL", "3.0")) for i, form in enumerate(_GNU_FORMS)
+    },
+    "mpl-2": ("MPL-2.0", (("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, Version 2.0."),)),
+    "epl-2": ("EPL-2.0", (("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0 which is available at"),)),
+    "bsl-1": ("BSL-1.0", (("Distributed under the Boost Software License, Version 1.0.",),)),
+    "unlicense": ("Unlicense", (("This is free and unencumbered software released into the public domain.",),)),
+    "zlib": ("Zlib", (("Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",),)),
+}
 
-def sentences(text: Column) -> Column:
-    """Normalised parts of a text (s, at, ended), in order, but empty ones; a part ends at a line break or at . ! ? before white space."""
-    parts = F.split(text, r"\n+|(?<=[.!?])[\x20\x09-\x0D]+")
-    ended = lambda p: p.endswith(".") | p.endswith("!") | p.endswith("?")
-    made = F.transform(parts, lambda p, i: F.struct(F.trim(F.regexp_replace(F.lower(p), r"[^\p{L}\p{N}]+", " ")).alias("s"), i.alias("at"), ended(p).alias("ended")))
-    return F.filter(made, lambda x: x["s"] != "")
-
-
-def _known(s: Column, known: Mapping[str, str]) -> Column:
-    """Structs (id, at, end, n, m) of the known sentences: first and last part, counted in the text and among parts that are not empty.
-
-    A sentence may go on over line breaks.  Only parts that begin one are joined with those behind them; the longest wins.
+#: Sentences that stand with notices and state no licence by themselves.
+EXTRAS: tuple[str, ...] = (_LIABLE, _BSD_AS_IS, _BSD_LIABLE.format("HOLDER"), _BSD_LIABLE.format("HOLDERS"), _BSD_LIABLE.format("OWNER"), _APACHE_END)
+
+
+def _notice_rules() -> tuple[dict[str, str], list[LicenceRule]]:
+    """Known sentences (sentence to identifier) and rules of STATEMENTS, SPDX, NOTICES and EXTRAS."""
+    ids: dict[str, str] = {}
+    rules = []
+    for name, licence, rule, forms in STATEMENTS:
+        for form in forms:
+            ids[" ".join(parts_of(form))] = name
+        rules.append(LicenceRule(rule, licence, (name,)))
+    for tag, licence in SPDX.items():
+        name = f"spdx-{tag.lower()}"
+        ids.setdefault(f"spdx license identifier {' '.join(parts_of(tag))}", name)
+        rules.append(LicenceRule(name, licence, (ids[f"spdx license identifier {' '.join(parts_of(tag))}"],)))
+    for name, (licence, stretches) in NOTICES.items():
+        sequences: list[tuple[str, ...]] = [()]
+        for i, alternatives in enumerate(stretches):
+            named = [tuple(ids.setdefault(s, f"{name}/{i}.{j}.{k}") for k, s in enumerate(parts_of(text))) for j, text in enumerate(alternatives)]
+            sequences = [s + more for s in sequences for more in dict.fromkeys(named)]
+        rules += [LicenceRule(name, licence, s) for s in sequences]
+    for i, text in enumerate(EXTRAS):
+        for k, s in enumerate(parts_of(text)):
+            ids.setdefault(s, f"extra/{i}.{k}")
+    return ids, list(dict.fromkeys(rules))
+
+
+SENTENCES, _RULES = _notice_rules()
+RULES: tuple[LicenceRule, ...] = tuple(_RULES)
+
+#: Parts of words of which every known sentence should hold one; a sentence without any adds its longest word.
+KEYS: tuple[str, ...] = ("licen", "permission", "redistribution", "warrant", "rights", "domain", "software", "liab", "copyright")
+
+
+def keys_of(known: Iterable[str], keys: Sequence[str] = KEYS) -> list[str]:
+    """The key words that the sentences need, so that each of them holds one."""
+    own = [max(s.split(" "), key=len) for s in known if not any(k in s for k in keys)]
+    return sorted({*(k for k in keys if any(k in s for s in known)), *own})
+
+
+def pattern_of(known: Iterable[str]) -> str:
+    """A pattern, branching word by word, whose matches are the parts of a normalised text; its group is a known sentence."""
+    tree: dict = {}
+    for sentence in known:
+        node = tree
+        for word in sentence.split(" "):
+            node = node.setdefault(word, {})
+        node[""] = {}
+
+    def branch(node: dict) -> str:
+        """What may follow a word, the longer before the shorter."""
+        words = sorted(w for w in node if w)
+        ways = [re.escape(w) + branch(node[w]) for w in words]
+        if not ways:
+            return ""
+        one = f"[ {LINE}]" + ways[0] if len(ways) == 1 else f"[ {LINE}](?:{'|'.join(ways)})"
+        return f"(?:{one})?" if "" in node else one
+
+    heads = "|".join(re.escape(w) + branch(tree[w]) for w in sorted(tree))
+    return rf"(?:[\p{{L}}\p{{N}}]{{1,2}} )?({heads})(?=[{LINE}{STOP}]|\z)|[^{LINE}{STOP}]+"
+
+
+def normalised(low: Column) -> Column:
+    """Letters and digits of a lower-case text, LINE between lines, STOP between sentences and blocks."""
+    out = F.regexp_replace(low, r"(?<=[.!?])(?<!\sv\.)[\x20\x09-\x0D]+", STOP)
+    out = F.regexp_replace(out, rf"[^\p{{L}}\p{{N}}{LINE}{STOP}]+", " ")
+    out = F.regexp_replace(out, rf" *{LINE} *", LINE)
+    return F.regexp_replace(out, rf"[ {LINE}]*{STOP}[ {LINE}{STOP}]*|{LINE}{LINE}+", STOP)
+
+
+def parts(low: Column, known: Mapping[str, str]) -> Column:
+    """The parts of a lower-case text in order: the known sentence, or an empty string."""
+    found = F.regexp_extract_all(F.trim(normalised(low)), F.lit(pattern_of(known)), 1)
+    return F.transform(found, lambda p: F.translate(p, LINE, " "))
+
+
+def scan(docs: DataFrame, known: Mapping[str, str] = SENTENCES, rules: Sequence[LicenceRule] = RULES, gap: int = 2) -> DataFrame:
+    """doc_id, the identifier sequence, the rule matches and the licences of every document.
+
+    ``known`` maps normalised sentences to identifiers.  A match is (rule, licence, first, last): the places of
+    its first and last sentence among the parts of the text.
     """
-    split = {name: sentence.split(" ") for name, sentence in known.items()}
-    begin = sorted({" ".join(words[:i]) for words in split.values() for i in range(1, len(words) + 1)})
-    most = max(map(len, split.values()))
-    table = F.array(*(F.struct(F.lit(len(sentence)).alias("size"), F.lit(name).alias("id"), F.lit(sentence + " ").alias("sentence")) for name, sentence in known.items()))
-    begun = F.filter(F.transform(s, lambda x, n: F.struct(x["s"].alias("s"), n.alias("n"))), lambda x: x["s"].isin(begin))
-    ends = F.transform(s, lambda y: F.concat(y["s"], F.when(y["ended"], "\x01").otherwise("\n")))
-    joined = F.transform(begun, lambda x: F.struct(x["n"].alias("n"), F.array_join(F.slice(ends, x["n"] + 1, F.lit(most)), "").alias("j")))
-
-    def fits(j: Column, k: Column) -> Column:
-        """The sentence, a blank where a line ends or goes on, and then the end of a part."""
-        here = F.substring(j, F.lit(1), k["size"] + 1)
-        return (F.translate(here, "\n\x01", "  ") == k["sentence"]) & ~here.endswith(" ") & (F.instr(F.substring(j, F.lit(1), k["size"]), "\x01") == 0)
-
-    best = F.transform(joined, lambda x: F.struct(x["n"].alias("n"), x["j"].alias("j"), F.array_max(F.filter(table, lambda k: fits(x["j"], k))).alias("k")))
-    hit = F.filter(best, lambda x: x["k"].isNotNull())
-
-    def last(x: Column) -> Column:
-        here = F.substring(x["j"], F.lit(1), x["k"]["size"])
-        return x["n"] + F.length(here) - F.length(F.translate(here, "\n", ""))
-
-    placed = F.transform(hit, lambda x: F.struct(x["k"]["id"].alias("id"), x["n"].alias("n"), last(x).alias("m")))
-    return F.transform(placed, lambda x: F.struct(x["id"].alias("id"), s[x["n"]]["at"].alias("at"), s[x["m"]]["at"].alias("end"), x["n"].alias("n"), x["m"].alias("m")))
-
-
-def _places(ids: Column, name: str) -> Column:
-    return F.transform(F.filter(ids, lambda x: x["id"] == name), lambda x: F.struct(x["n"].alias("n"), x["m"].alias("m"), x["at"].alias("at"), x["end"].alias("end")))
-
-
-def _rule_matches(ids: Column, rule: LicenceRule, gap: int) -> Column:
-    """Start at each occurrence of the first sentence and take the nearest place of each further one."""
-
-    def extend(spans: Column, places: Column) -> Column:
-        def one(span: Column) -> Column:
-            near = F.filter(places, lambda x: (x["n"] > span["m"]) & (x["n"] <= span["m"] + gap + 1))
-            nearest = F.array_min(near)
-            return F.struct(span["first"].alias("first"), nearest["end"].alias("last"), nearest["m"].alias("m"))
-
-        return F.filter(F.transform(spans, one), lambda span: span["last"].isNotNull())
-
-    spans = F.transform(_places(ids, rule.sentences[0]), lambda x: F.struct(x["at"].alias("first"), x["end"].alias("last"), x["m"].alias("m")))
-    for name in rule.sentences[1:]:
-        spans = extend(spans, _places(ids, name))
-    return F.transform(spans, lambda span: F.struct(F.lit(rule.name).alias("rule"), F.lit(rule.licence).alias("licence"), span["first"].alias("first"), span["last"].alias("last")))
-
-
-def _matches(ids: Column, rules: Sequence[LicenceRule], gap: int) -> Column:
-    """Structs (rule, licence, first, last) of every rule match in ``ids``, structs (id, at, end, n, m) in order of place."""
-    return F.flatten(F.array(*(_rule_matches(ids, rule, gap) for rule in rules)))
-
-
-def scan(docs: DataFrame, known: Mapping[str, str] = SENTENCES | STANDARD_SENTENCES, rules: Sequence[LicenceRule] = RULES + STANDARD_RULES, gap: int = 2) -> DataFrame:
-    """doc_id, the identifier sequence, the rule matches and the licences of every document."""
-    unknown = {name for rule in rules for name in rule.sentences} - set(known)
+    unknown = {name for rule in rules for name in rule.sentences} - set(known.values())
     if unknown:
         raise ValueError(f"rules name unknown sentences: {sorted(unknown)}")
     if not rules:
         raise ValueError("no rules")
-    every = _matches(F.col("ids"), rules, gap)
+    relevant = F.lit(False)
+    for key in keys_of(known):
+        relevant = relevant | F.col("low").contains(key)
+    book = F.map_from_arrays(F.array(*map(F.lit, known)), F.array(*map(F.lit, known.values())))
+    listed = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.licence).alias("licence"), F.array(*map(F.lit, r.sentences)).alias("s")) for r in rules))
+
+    def next_one(at: Column, name: Column) -> Column:
+        near = F.slice("ids", at["n"] + 1, F.lit(gap + 1))
+        return F.get(F.filter(near, lambda y: (y["id"] == name) & (y["at"] <= at["at"] + gap + 1)), F.lit(0))
+
+    def matches(rule: Column) -> Column:
+        begun = F.filter("ids", lambda x: x["id"] == rule["s"][0])
+        ended = F.transform(begun, lambda x: F.struct(x.alias("a"), F.aggregate(F.slice(rule["s"], 2, F.greatest(F.size(rule["s"]), F.lit(1))), x, next_one).alias("z")))
+        return F.transform(F.filter(ended, lambda m: m["z"].isNotNull()), lambda m: F.struct(rule["rule"].alias("rule"), rule["licence"].alias("licence"), m["a"]["at"].alias("first"), m["z"]["at"].alias("last")))
 
+    places = F.filter(F.transform("p", lambda p, i: F.struct(p.alias("s"), i.alias("at"))), lambda x: x["s"] != "")
+    ids = F.transform(places, lambda x, i: F.struct(F.try_element_at(book, x["s"]).alias("id"), x["at"].alias("at"), (i + 1).alias("n")))
+    started = F.filter(listed, lambda r: F.array_contains(F.transform("ids", lambda x: x["id"]), r["s"][0]))
 
     def inside(m: Column) -> Column:
-        return F.exists("every", lambda o: (o["first"] <= m["first"]) & (o["last"] >= m["last"]) & (o["last"] - o["first"] > m["last"] - m["first"]))
+        return F.exists("wide", lambda o: (o["first"] <= m["first"]) & (o["last"] >= m["last"]) & (o["last"] - o["first"] > m["last"] - m["first"]))
 
+    none = F.array().cast("array<string>")
     return (
-        id_and_text(docs).select("doc_id", sentences(F.coalesce("text", F.lit(""))).alias("s")).select("doc_id", _known(F.col("s"), known).alias("ids"))
-        .withColumn("every", every).withColumn("matches", F.filter("every", lambda m: ~inside(m)))
+        id_and_text(docs).select("doc_id", F.lower("text").alias("low"))
+        .select("doc_id", F.coalesce(F.when(relevant, parts(F.col("low"), known)), none).alias("p"))
+        .select("doc_id", ids.alias("ids"))
+        .select("doc_id", "ids", F.flatten(F.transform(started, matches)).alias("every"))
+        .select("doc_id", "ids", "every", F.filter("every", lambda m: m["last"] > m["first"]).alias("wide"))
+        .select("doc_id", "ids", F.filter("every", lambda m: ~inside(m)).alias("matches"))
         .select("doc_id", F.transform("ids", lambda x: x["id"]).alias("sequence"), "matches", F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["licence"]))).alias("licences"))
     )
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from loreforge.llm import licences
-
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP3 = rf"""
@@ -20,25 +18,24 @@ f AS (SELECT *, ((n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed, 'strict-1' AS policy, failed & 3 <> 0 AS base_failed, failed = 0 AS kept FROM f"""
 
 
-def _values(rows: list[tuple]) -> str:
-    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in row) + ")" for row in rows)
-
-
-OP4 = f"""
-WITH known(id, sentence) AS (VALUES {_values(list(licences.SENTENCES.items()))}),
-rules(rule, licence, s1, s2, s3) AS (VALUES {_values([(r.name, r.licence, *(r.sentences + ('', ''))[:3]) for r in licences.RULES])}),
-parts AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) - 1 AS at_place FROM (
-  SELECT doc_id, regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?])[\\x20\\x09-\\x0D]+', E'\\\\1\\n', 'g'), '\\n+') AS ps FROM documents)),
-ids AS (SELECT doc_id, k.id, at_place FROM parts JOIN known k ON k.sentence = trim(regexp_replace(lower(p), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))),
-one AS (SELECT doc_id, rule, licence, s2, s3, at_place AS first, at_place AS last FROM ids JOIN rules ON ids.id = s1),
-two AS (SELECT doc_id, rule, licence, s3, first, CASE WHEN s2 = '' THEN last ELSE (SELECT min(i.at_place) FROM ids i WHERE i.doc_id = one.doc_id AND i.id = s2 AND i.at_place > last AND i.at_place <= last + 3) END AS last FROM one),
-three AS (SELECT doc_id, rule, licence, first, CASE WHEN s3 = '' THEN last ELSE (SELECT min(i.at_place) FROM ids i WHERE i.doc_id = two.doc_id AND i.id = s3 AND i.at_place > last AND i.at_place <= last + 3) END AS last FROM two WHERE last IS NOT NULL),
-found AS (SELECT * FROM three t WHERE last IS NOT NULL AND NOT EXISTS (SELECT 1 FROM three o WHERE o.doc_id = t.doc_id AND o.last IS NOT NULL AND o.first <= t.first AND o.last >= t.last AND o.last - o.first > t.last - t.first)),
-place(rule, nth) AS (VALUES {_values([(r.name, i) for i, r in enumerate(licences.RULES)])})
-SELECT d.doc_id, coalesce((SELECT string_agg(id, ',' ORDER BY at_place) FROM ids WHERE ids.doc_id = d.doc_id), '') AS sentence_ids,
-  coalesce((SELECT string_agg(DISTINCT licence, ',' ORDER BY licence) FROM found WHERE found.doc_id = d.doc_id), '') AS licences,
-  (SELECT count(*) FROM found WHERE found.doc_id = d.doc_id)::BIGINT AS n_matches,
-  coalesce((SELECT string_agg(found.rule || '@' || first, ',' ORDER BY nth, first) FROM found JOIN place ON place.rule = found.rule WHERE found.doc_id = d.doc_id), '') AS rules FROM documents d"""
+#: One-line statements as the documents hold them, typed here and not taken from the operator: sentence, identifier, licence, rule.
+OP4 = r"""
+WITH known(sentence, id, licence, rule) AS (VALUES
+ ('released under the mit license', 'mit-grant', 'MIT', 'mit-short'), ('licensed under the mit license', 'mit-grant', 'MIT', 'mit-short'),
+ ('licensed under the apache license version 2 0', 'apache-2-grant', 'Apache-2.0', 'apache-short'), ('released under the apache license version 2 0', 'apache-2-grant', 'Apache-2.0', 'apache-short'),
+ ('this work is licensed under the gnu general public license version 3', 'gpl-3-grant', 'GPL-3.0', 'gpl-3-short'), ('licensed under the gnu general public license version 3', 'gpl-3-grant', 'GPL-3.0', 'gpl-3-short'),
+ ('this work is licensed under the gnu general public license version 2', 'gpl-2-grant', 'GPL-2.0', 'gpl-2-short'), ('licensed under the gnu general public license version 2', 'gpl-2-grant', 'GPL-2.0', 'gpl-2-short'),
+ ('licensed under cc by 4 0', 'cc-by-4-grant', 'CC-BY-4.0', 'cc-by-short'), ('licensed under cc by sa 4 0', 'cc-by-sa-4-grant', 'CC-BY-SA-4.0', 'cc-by-sa-short'), ('licensed under cc by nc 4 0', 'cc-by-nc-4-grant', 'CC-BY-NC-4.0', 'cc-by-nc-short'),
+ ('licensed under cc by nd 4 0', 'cc-by-nd-4-grant', 'CC-BY-ND-4.0', 'cc-by-nd-short'), ('licensed under cc0 1 0', 'cc0-grant', 'CC0-1.0', 'cc0-short'),
+ ('all rights reserved', 'rights-reserved', 'proprietary', 'reserved'), ('this work is in the public domain', 'public-domain', 'public-domain', 'public-domain')),
+ rank(rule, nth) AS (VALUES ('mit-short', 1), ('apache-short', 2), ('gpl-3-short', 3), ('gpl-2-short', 4), ('cc-by-short', 5), ('cc-by-sa-short', 6), ('cc-by-nc-short', 7), ('cc-by-nd-short', 8), ('cc0-short', 9), ('reserved', 10), ('public-domain', 11)),
+ lines AS (SELECT doc_id, regexp_split_to_array(regexp_replace(regexp_replace(coalesce(text, ''), '([\x20\x09-\x0D][vV][.])[\x20\x09]+', '\1_', 'g'), '([.!?])[\x20\x09-\x0D]+', E'\\1\n', 'g'), '\n+') AS ls FROM documents),
+ norm AS (SELECT doc_id, list_filter(list_transform(ls, lambda x: regexp_replace(trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g')), '^[\p{L}\p{N}]{1,2} (released under|licensed under|this work|all rights)', '\1')), lambda x: x <> '') AS ps FROM lines),
+ hit AS (SELECT doc_id, at_place, k.* FROM (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) - 1 AS at_place FROM norm) JOIN known k ON k.sentence = p)
+SELECT d.doc_id, coalesce((SELECT string_agg(id, ',' ORDER BY at_place) FROM hit WHERE hit.doc_id = d.doc_id), '') AS sentence_ids,
+  coalesce((SELECT string_agg(DISTINCT licence, ',' ORDER BY licence) FROM hit WHERE hit.doc_id = d.doc_id), '') AS licences,
+  (SELECT count(*) FROM hit WHERE hit.doc_id = d.doc_id)::BIGINT AS n_matches,
+  coalesce((SELECT string_agg(hit.rule || '@' || at_place, ',' ORDER BY nth, at_place) FROM hit JOIN rank ON rank.rule = hit.rule WHERE hit.doc_id = d.doc_id), '') AS rules FROM documents d"""
 
 OP9 = """
 WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS t FROM documents),

@@ -286,6 +286,18 @@ http://www.apache.org/licenses/LICENSE-2.0""",
 
 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.""",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+   * Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+   (b) Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful.",
+    "0BSD": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.""",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
 
@@ -302,6 +314,21 @@ def test_unabridged_and_wrapped_notices(spark):
     assert got == {i: licence for i, (licence, _) in enumerate(rows)}
 
 
+def test_licence_gaps_and_repeats(spark):
+    part = "Licensed under the Apache License, Version 2.0!\nYou may not use this file except in compliance with the License.\n{}You may obtain a copy of the License at\n\n"
+    rows = [part.format("a\n\n" * k) for k in range(5)] + [part.format("") * 300, "x\n" * 50_000 + "All rights\nreserved", "rights " * 50_000]
+    got = [r for r in licences.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert [[(m.rule, m.first, m.last) for m in r.matches] for r in got[:5]] == [[("apache-header", 0, 2 + k)] if k < 3 else [("apache-short", 0, 0)] for k in range(5)]
+    assert [(m.first, m.last) for m in got[5].matches] == [(3 * k, 3 * k + 2) for k in range(300)]
+    assert [(m.rule, m.first) for m in got[6].matches] == [("reserved", 50_000)] and got[7].matches == []
+    with pytest.raises(ValueError):
+        licences.scan(spark.createDataFrame([], "doc_id long, text string"), rules=[])
+    with pytest.raises(ValueError):
+        licences.scan(spark.createDataFrame([], "doc_id long, text string"), known={"all rights reserved": "a"}, rules=[licences.LicenceRule("r", "L", ("b",))])
+    own = licences.scan(spark.createDataFrame([(1, "Foo bar\nbaz qux")], "doc_id long, text string"), {"foo bar baz": "f", "foo bar baz qux": "g", "quux": "h"}, [licences.LicenceRule("x", "X", ("g",)), licences.LicenceRule("y", "Y", ("g",))])
+    assert [(m.rule, m.licence) for m in own.first().matches] == [("x", "X"), ("y", "Y")]
+
+
 def test_passages(docs):
     got = passages.repeated_passages(docs).collect()
     pairs = {(r.doc_id, r.other_doc_id) for r in got}
