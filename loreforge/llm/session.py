@@ -16,23 +16,29 @@ from loreforge.llm import kernels as K
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one is made only where that is unset."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one is made only where that is unset and all tasks run on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='loreforge-')}")
             known = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = known.get()
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once, write it to the shared folder and go on from there, without its lineage."""
+def cut(df: DataFrame, small: bool = False) -> DataFrame:
+    """Compute ``df`` once, write it to the shared folder and go on from there, without its lineage.
+
+    A ``small`` table leaves no shuffle files that are worth asking for.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    release(spark)
+    if not small:
+        release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -54,6 +60,23 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """Whole rows as the one column ``row``, so that columns put beside it clash with none of theirs."""
+    short_batches(docs.sparkSession)
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
+def unwrapped(rows: DataFrame) -> DataFrame:
+    """The rows of ``wrapped`` again."""
+    return rows.select("row.*")
+
+
+def texts_of(batch: pa.RecordBatch) -> pa.Array:
+    """The texts of a batch of (text, ...) or of wrapped rows."""
+    text = batch.column("text") if "text" in batch.schema.names else batch.column("row").field("text")
+    return text if pa.types.is_string(text.type) or pa.types.is_large_string(text.type) else text.cast(pa.string())
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that an operator reads, so that further columns of any name do no harm."""
     short_batches(docs.sparkSession)
