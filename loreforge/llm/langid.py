@@ -8,11 +8,15 @@ the cross-entropy; the language with the fewest normalised phrases wins.
 
 The automata are stored as one dense transition table, and a whole batch of
 texts is parsed in lock step, one byte of every text and language at a time.  So
-that one very long text does not stretch the loop, texts are parsed in blocks of
-``BLOCK`` bytes; a phrase ends with its block, and all blocks of a text count.
+that one very long text does not stretch the loop, texts are first parsed in
+blocks of ``BLOCK`` bytes at once; then the parse of each block is carried into
+the next until the two meet at a phrase.  The phrases are those of the text parsed
+from its start to its end.
 
 The sample is bounded by ``docs_per_lang`` documents and ``bytes_per_lang``
-bytes of each language.  Everything else reads whole texts.
+bytes of each language, of each document a stretch at a place chosen by the hash
+of its id; with ``n`` languages the table takes up to ``2 * n * bytes_per_lang``
+rows.  Everything else reads whole texts.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0,
 as is any text when nothing could be learned; equal phrase counts go to the
@@ -30,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loreforge.llm import kernels as K
-from loreforge.llm.session import add_columns, id_and_text
+from loreforge.llm.session import add_columns, id_and_text, texts_of, unwrapped, wrapped
 
 BLOCK = 1024
 UNDETERMINED = "und"
@@ -102,40 +106,75 @@ def learn(samples: dict[str, bytes]) -> Languages:
 
 
 def phrases(model: Languages, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Phrases of each document of a pass against each language."""
-    n = len(offsets) - 1
-    length = np.diff(offsets)
-    blocks = -(-length // BLOCK)
+    """Phrases of each document of a pass against each language.
+
+    All blocks are parsed at once, each as if a phrase began with it.  Then the parse of every block goes on into the
+    next one, from the state in which it really enters it, until both begin a phrase at the same byte: from there on
+    they are the same.  A parse that goes through a block without meeting it is carried into the one behind.
+    """
+    n, k = len(offsets) - 1, len(model.names)
+    blocks = -(-np.diff(offsets) // BLOCK)
     doc = np.repeat(np.arange(n), blocks)
     if not len(doc):
-        return np.zeros((n, len(model.names)), np.int64)
+        return np.zeros((n, k), np.int64)
     nth = np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     start = offsets[doc] + nth * BLOCK
-    size = np.minimum(BLOCK, offsets[doc + 1] - start)
-    order = np.argsort(-size, kind="stable")
-    start, size, doc = start[order], size[order], doc[order]
-    code = model.classes[data]
+    stop = np.minimum(start + BLOCK, offsets[doc + 1])
+    order = np.argsort(start - stop, kind="stable")
+    begin, size = start[order], (stop - start)[order]
+    code = model.classes[data].astype(np.int64)
     lanes = np.searchsorted(-size, -np.arange(1, size[0] + 1), "right")
-    k = len(model.names)
     root = model.roots[:, None]
     state = np.repeat(root, len(doc), axis=1)
-    count = np.zeros((k, len(doc)), np.int32)
+    marks = np.zeros((k, len(data)), bool)  # where a phrase begins
     for i, live in enumerate(lanes):
-        c = code[start[:live] + i]
+        at = begin[:live] + i
+        c = code[at]
         old = state[:, :live]
         now = model.step[old + c]
         dead = now == 0
-        count[:, :live] += dead | (old == root)  # a byte that cannot go on, or that stands at a root, starts a phrase
+        marks[:, at] = dead | (old == root)  # a byte that cannot go on, or that stands at a root, starts a phrase
         if dead.any():
-            lane, at = np.nonzero(dead)
-            now[lane, at] = model.step[model.roots[lane] + c[at]]
-            still = now[lane, at] == 0
-            now[lane[still], at[still]] = model.roots[lane[still]]
+            lane, j = np.nonzero(dead)
+            again = model.step[model.roots[lane] + c[j]]
+            now[lane, j] = np.where(again == 0, model.roots[lane], again)
         state[:, :live] = now
-    out = np.zeros((n, k), np.int64)
-    for j in range(k):
-        out[:, j] = K.per_group(doc, n, count[j])
-    return out
+    left = np.empty_like(state)  # the state behind each block
+    left[:, order] = state
+    behind = np.flatnonzero(nth > 0)
+    lang, block = np.repeat(np.arange(k), len(behind)), np.tile(behind, k)
+    while len(block):
+        lang, block = _carried(model, code, marks, left, lang, block, start, stop)
+        block = block + 1
+        inside = (block < len(doc)) & (nth[np.minimum(block, len(doc) - 1)] > 0)
+        lang, block = lang[inside], block[inside]
+    counts = np.concatenate([np.zeros((k, 1), np.int64), np.cumsum(marks, axis=1)], axis=1)
+    return (counts[:, offsets[1:]] - counts[:, offsets[:-1]]).T
+
+
+def _carried(model: Languages, code: np.ndarray, marks: np.ndarray, left: np.ndarray, lang: np.ndarray, block: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Carry parses into ``block`` from the one before it; returns those that went through it and changed the state behind it."""
+    state, at, roots = left[lang, block - 1], start[block], model.roots[lang]
+    through = []
+    while len(at):
+        c = code[at]
+        now = model.step[state + c]
+        dead = now == 0
+        begins = dead | (state == roots)
+        now = np.where(dead, model.step[roots + c], now)
+        now = np.where(now == 0, roots, now)
+        going = ~(begins & marks[lang, at])
+        marks[lang[going], at[going]] = begins[going]
+        lang, block, state, at, roots = lang[going], block[going], now[going], at[going] + 1, roots[going]
+        end = at == stop[block]
+        if end.any():
+            changed = end & (left[lang, block] != state)
+            left[lang[changed], block[changed]] = state[changed]
+            through.append((lang[changed], block[changed]))
+            lang, block, state, at, roots = lang[~end], block[~end], state[~end], at[~end], roots[~end]
+    if not through:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*through))
 
 
 def sample(docs: DataFrame, usable: Column, lang: str = "lang", docs_per_lang: int = 96, bytes_per_lang: int = 24_576, floor: int = 16) -> dict[str, bytes]:
@@ -147,7 +186,8 @@ def sample(docs: DataFrame, usable: Column, lang: str = "lang", docs_per_lang: i
     for name, n in sizes.items():
         share = min(1.0, docs_per_lang / n)
         drawn = drawn | ((F.col("lang") == name) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1)))
-    rows = labelled.where(drawn).select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, each).alias("t"))
+    begin = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.length("text") - each, F.lit(0)) + 1) + 1
+    rows = labelled.where(drawn).select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", begin.cast("int"), F.lit(each)).alias("t"))
     rows = rows.orderBy("h", "t").limit(4 * docs_per_lang * max(1, len(sizes))).collect()
     out: dict[str, bytes] = {}
     parts: dict[str, list[bytes]] = {}
@@ -176,29 +216,31 @@ def predict(model: Languages | None, text: pa.Array, lettered: np.ndarray) -> tu
     return np.where(lettered, np.array(model.names, object)[best], UNDETERMINED), np.where(lettered, lead, 0.0)
 
 
-def _lettered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_lettered", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+def _lettered(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("lettered")
+
+
+def _predictions(batch: pa.RecordBatch, model: Languages | None) -> tuple[np.ndarray, np.ndarray]:
+    return predict(model, texts_of(batch), batch.column("lettered").to_numpy(zero_copy_only=False))
 
 
 def detect(docs: DataFrame, model: Languages | None) -> DataFrame:
     """lang_pred and score of every document; the score is the winner's lead, 0 to 1."""
 
     def work(batch):
-        names, score = predict(model, batch.column("text"), batch.column("_lettered").to_numpy(zero_copy_only=False))
+        names, score = _predictions(batch, model)
         return [pa.array(names, pa.string()), pa.array(score)]
 
-    return add_columns(_lettered(id_and_text(docs)), "lang_pred string, score double", work, keep=["doc_id"])
+    return add_columns(id_and_text(docs).select("doc_id", "text", _lettered(F.col("text"))), "lang_pred string, score double", work, keep=["doc_id"])
 
 
 def accepted(docs: DataFrame, usable: Column) -> DataFrame:
     """The rows of ``docs``, all columns, whose language could be told; what is ``und`` goes."""
     texts = sample(docs, usable)
     model = learn(texts) if texts else None
-
-    def work(batch):
-        return [pa.array(predict(model, batch.column("text"), batch.column("_lettered").to_numpy(zero_copy_only=False))[0], pa.string())]
-
-    return add_columns(_lettered(docs), "_lang_pred string", work, keep=docs.columns).where(F.col("_lang_pred") != UNDETERMINED).select(*docs.columns)
+    rows = wrapped(docs).select("row", _lettered(F.col("row.text").cast("string")))
+    told = add_columns(rows, "lang_pred string", lambda batch: [pa.array(_predictions(batch, model)[0], pa.string())], keep=["row"])
+    return unwrapped(told.where(F.col("lang_pred") != UNDETERMINED))
 
 
 def identify(docs: DataFrame, usable: Column, train_on: DataFrame | None = None) -> DataFrame:
