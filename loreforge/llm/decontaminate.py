@@ -9,12 +9,17 @@ else.  Windows are searched backwards through wavelet ranks, occurrences are
 located from sampled suffix positions, and overlapping ones are merged into
 spans.  Documents are never shuffled.
 
-The benchmark reaches tasks in broadcast blocks of at most ``block_bytes`` of
-text; if it is larger, documents pass through one step per block.
+The benchmark reaches tasks in broadcast blocks of about ``block_bytes`` of text.
+If there are several, each is a job of its own that writes the spans of the texts
+it hits, by two hashes of the text, and its block is let go before the next; the
+spans are put together at the end.  So a task holds one block, however large the
+benchmark is.
 
 Defined results: null, empty and wordless texts have no words, no hits and are
-not contaminated; items without words match nothing; equal items all count;
-repeated rows get equal rows; extra columns are ignored.
+not contaminated; items without words match nothing; equal items all count; an
+item without id hits words like any other, and is not among the items named or
+counted; repeated rows get equal rows; an empty benchmark hits nothing; extra
+columns of any name are kept or ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from pyspark.sql import functions as F
 
 from loreforge.llm import kernels as K
 from loreforge.llm.fmindex import FMIndex
-from loreforge.llm.session import add_columns, id_and_text
+from loreforge.llm.session import add_columns, cut, id_and_text, texts_of, unwrapped, wrapped
 
 SHARD_BYTES = K.PASS_BYTES
 #: Bytes outside words of lower-cased text: all ASCII but digits and letters.
@@ -47,6 +52,7 @@ class Phrases:
     item_from: np.ndarray
     item_of: np.ndarray
     items: np.ndarray
+    named: np.ndarray
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -56,7 +62,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return start, end, K.owner(offsets, start), K.Prefix(low).hash(start, end)
 
 
-def phrases(rows: list[tuple[str, str]], size: int = 13) -> Phrases:
+def phrases(rows: list[tuple[str | None, str]], size: int = 13) -> Phrases:
     """Windows of the items (id, text) of one block."""
     data, offsets = K.text_bytes(pa.array([text for _, text in rows], pa.string()))
     _, _, item, word = words_of(data, offsets)
@@ -76,7 +82,7 @@ def phrases(rows: list[tuple[str, str]], size: int = 13) -> Phrases:
     pairs = grid[:, :-1] * (len(vocabulary) + 1) + grid[:, 1:]
     order = np.argsort(back, kind="stable")
     item_from = np.searchsorted(back[order], np.arange(len(patterns) + 1))
-    return Phrases(vocabulary, patterns, (patterns > 0).sum(axis=1), np.unique(pairs[grid[:, 1:] > 0]), item_from, of[order], np.array([i for i, _ in rows], object))
+    return Phrases(vocabulary, patterns, (patterns > 0).sum(axis=1), np.unique(pairs[grid[:, 1:] > 0]), item_from, of[order], np.array([i for i, _ in rows], object), np.array([i is not None for i, _ in rows], bool))
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -119,27 +125,33 @@ def _lists(values: np.ndarray | pa.Array, counts: np.ndarray) -> pa.Array:
 _FOUND = {"_n_words": "long", "_starts": "array<long>", "_ends": "array<long>", "_byte_starts": "array<long>", "_byte_ends": "array<long>", "_items": "array<string>"}
 
 
-def _scan(docs: DataFrame, book, keep: list[str]) -> DataFrame:
-    first = "_starts" not in docs.columns
+def _scan(docs: DataFrame, book, keep: list[str], given: bool = False) -> DataFrame:
+    """The columns ``keep`` and _FOUND: what the broadcast ``book`` hits, or the spans that are ``given``, put together."""
 
     def work(batch):
-        found = book.value
-        data, offsets = K.text_bytes(batch.column("text"))
+        found = book.value if book is not None else None
+        data, offsets = K.text_bytes(texts_of(batch))
         out = []
         for a, b, part, offs in K.passes(data, offsets, SHARD_BYTES):
             n = b - a
             start, end, doc, word = words_of(part, offs)
-            at, window = occurrences(found, doc, word)
             cover = np.zeros(len(word) + 1, np.int32)
-            np.add.at(cover, at, 1)
-            np.add.at(cover, at + found.lengths[window], -1)
             count = K.per_group(doc, n)
             begin = np.cumsum(count) - count
-            if not first:  # spans from earlier blocks
+            if given:
                 for lists, sign in (("_starts", 1), ("_ends", -1)):
                     old = batch.column(lists).slice(a, n)
-                    size = np.asarray(old.value_lengths())
-                    np.add.at(cover, old.flatten().to_numpy() + np.repeat(begin, size), sign)
+                    sizes = np.asarray(old.value_lengths().fill_null(0))
+                    np.add.at(cover, old.flatten().to_numpy() + np.repeat(begin, sizes), sign)
+                items = batch.column("_items").slice(a, n).fill_null([])
+            else:
+                at, window = occurrences(found, doc, word)
+                np.add.at(cover, at, 1)
+                np.add.at(cover, at + found.lengths[window], -1)
+                reps = found.item_from[window + 1] - found.item_from[window]
+                pairs = np.unique(np.stack([np.repeat(doc[at], reps), found.item_of[K.take_ragged(found.item_from[window], reps)]], 1), axis=0) if len(at) else np.empty((0, 2), np.int64)
+                pairs = pairs[found.named[pairs[:, 1]]]
+                items = _lists(pa.array(found.items[pairs[:, 1]], pa.string()), K.per_group(pairs[:, 0], n))
             hit = np.cumsum(cover[:-1]) > 0
             new = np.ones(len(hit), bool)
             new[1:] = ~hit[:-1] | (doc[1:] != doc[:-1])
@@ -147,12 +159,6 @@ def _scan(docs: DataFrame, book, keep: list[str]) -> DataFrame:
             old[:-1] = ~hit[1:] | (doc[1:] != doc[:-1])
             s, e = np.flatnonzero(hit & new), np.flatnonzero(hit & old) + 1
             spans = K.per_group(doc[s], n)
-            reps = found.item_from[window + 1] - found.item_from[window]
-            pairs = np.unique(np.stack([np.repeat(doc[at], reps), found.item_of[K.take_ragged(found.item_from[window], reps)]], 1), axis=0) if len(at) else np.empty((0, 2), np.int64)
-            items = _lists(pa.array(found.items[pairs[:, 1]], pa.string()), K.per_group(pairs[:, 0], n))
-            if not first:
-                earlier = batch.column("_items").slice(a, n).to_pylist()
-                items = pa.array([x + y for x, y in zip(earlier, items.to_pylist())], pa.list_(pa.string()))
             shift = begin[doc[s]]
             out.append([pa.array(count), _lists(s - shift, spans), _lists(e - shift, spans), _lists(start[s] - offs[doc[s]], spans), _lists(end[e - 1] - offs[doc[s]], spans), items])
         return [pa.concat_arrays(c) for c in zip(*out)]
@@ -160,17 +166,32 @@ def _scan(docs: DataFrame, book, keep: list[str]) -> DataFrame:
     return add_columns(docs, ", ".join(f"{name} {kind}" for name, kind in _FOUND.items()), work, keep=keep)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], size: int = 13, block_bytes: int = 8 << 20) -> DataFrame:
-    """The columns ``keep`` of docs, then words, merged spans by word and by byte, and the items found (_FOUND)."""
+def find(docs: DataFrame, text: Column, benchmark: DataFrame, keep: list[str], size: int = 13, block_bytes: int = 8 << 20) -> DataFrame:
+    """The columns ``keep`` of docs, then words, merged spans by word and by byte, and the items found (_FOUND).
+
+    ``text`` is the column of the text, which tasks find as ``text`` or in the struct ``row``.
+    """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL AND item IS NOT NULL")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item")), F.lit(0)).alias("n")).first()["n"]
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("item"), F.lit(0))), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-int(total) // block_bytes))
-    for k in range(blocks):
+
+    def book(k: int):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        book = spark.sparkContext.broadcast(phrases([(r["item"], r["text"]) for r in part.collect()], size))
-        docs = _scan(docs, book, keep if k == blocks - 1 else [c for c in docs.columns if c not in _FOUND])
-    return docs
+        return spark.sparkContext.broadcast(phrases([(r["item"], r["text"]) for r in part.collect()], size))
+
+    if blocks == 1:
+        return _scan(docs, book(0), keep)
+    one, two = F.xxhash64(text).alias("_one"), F.xxhash64(F.lit("second"), text).alias("_two")
+    texts, hits = docs.select(one, two, text.alias("text")), None
+    for k in range(blocks):
+        held = book(k)
+        hit = _scan(texts, held, ["_one", "_two"]).where(F.size("_starts") > 0).select("_one", "_two", "_starts", "_ends", "_items").dropDuplicates(["_one", "_two"])
+        hit = cut(hit)
+        held.destroy()
+        hits = hit if hits is None else hits.union(hit)
+    merged = hits.groupBy("_one", "_two").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("_starts", "_ends", "_items")))  # a row a block at most
+    return _scan(docs.select("*", one, two).join(merged, ["_one", "_two"], "left"), None, keep, given=True)
 
 
 def _hits() -> tuple[Column, Column]:
@@ -181,7 +202,7 @@ def _hits() -> tuple[Column, Column]:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the byte spans to remove."""
-    found = find(id_and_text(docs), benchmark, ["doc_id"], size, block_bytes)
+    found = find(id_and_text(docs), F.col("text"), benchmark, ["doc_id"], size, block_bytes)
     hit, contaminated = _hits()
     items = F.array_sort(F.array_distinct("_items"))
     return found.select(
@@ -193,4 +214,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_b
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_bytes: int = 8 << 20) -> DataFrame:
     """The rows of ``docs``, all columns, that are not contaminated."""
-    return find(docs, benchmark, docs.columns, size, block_bytes).where(~_hits()[1]).select(*docs.columns)
+    return unwrapped(find(wrapped(docs), F.col("row.text").cast("string"), benchmark, ["row"], size, block_bytes).where(~_hits()[1]))

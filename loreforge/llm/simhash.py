@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from loreforge.llm import kernels as K
 from loreforge.llm.graph import components
-from loreforge.llm.session import add_columns, cut, id_and_text, mapped
+from loreforge.llm.session import add_columns, cut, id_and_text, mapped, unwrapped, wrapped
 
 TILE = 4096
 _P = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
@@ -251,7 +251,15 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def representatives(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """The rows of ``docs``, all columns, that stand for their components: of each, the one with the smallest id."""
-    first = classes(docs, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("row").alias("_row"))
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    return keyed.join(first.select("_row"), "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    """The rows of ``docs``, all columns, that stand for their components: of each, one with the smallest id.
+
+    The choice is made on hashes of id and text; whole rows are joined once, and only rows that are equal in both are
+    brought together.
+    """
+    least = classes(docs, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "row").agg(F.count("*").alias("n"))
+    chosen = cut(least.groupBy("root").agg(F.min(F.struct(F.col("row").alias("key"), "n")).alias("least")).select("least.*").distinct())
+    rows = wrapped(docs).select("row", F.xxhash64("row.doc_id", F.col("row.text").cast("string")).alias("key")).join(chosen, "key")
+    if chosen.where("n > 1").isEmpty():
+        return unwrapped(rows.select("row"))
+    repeated = rows.where("n > 1").groupBy("key").agg(F.first("row").alias("row"))
+    return unwrapped(rows.where("n = 1").select("row").union(repeated.select("row")))

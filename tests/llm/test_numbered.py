@@ -82,16 +82,54 @@ def test_language(docs, texts):
     assert langid.accepted(docs, F.lit(True)).columns == docs.columns
 
 
+def _parsed(source: bytes, rest: bytes) -> int:
+    n = 0
+    while rest:
+        k = next((j for j in range(len(rest), 0, -1) if rest[:j] in source), 1)
+        rest, n = rest[k:], n + 1
+    return n
+
+
 @given(st.binary(max_size=60), st.binary(max_size=40))
 @settings(max_examples=60, deadline=None)
 def test_cross_parsing(sample, text):
     model = langid.learn({"a": sample or b"x", "b": b"other"})
-    source, rest, n = (sample or b"x").translate(K.LOWER.tobytes()), text.translate(K.LOWER.tobytes()), 0
-    while rest:
-        k = next((j for j in range(len(rest), 0, -1) if rest[:j] in source), 1)
-        rest, n = rest[k:], n + 1
+    source, rest = (sample or b"x").translate(K.LOWER.tobytes()), text.translate(K.LOWER.tobytes())
     data = np.frombuffer(text, np.uint8)
-    assert langid.phrases(model, data, np.array([0, len(data)]))[0, 0] == n
+    assert langid.phrases(model, data, np.array([0, len(data)]))[0, 0] == _parsed(source, rest)
+
+
+@given(st.text("ab", min_size=1, max_size=80), st.lists(st.text("abc", max_size=120), min_size=1, max_size=4), st.sampled_from([1, 2, 5, 16]))
+@settings(max_examples=150, deadline=None)
+def test_cross_parsing_goes_on_over_blocks(sample, texts, block):
+    model = langid.learn({"a": sample.encode(), "b": b"abcabcaa"})
+    before, langid.BLOCK = langid.BLOCK, block
+    try:
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        got = langid.phrases(model, np.frombuffer("".join(texts).encode(), np.uint8), offsets)
+    finally:
+        langid.BLOCK = before
+    assert got.tolist() == [[_parsed(sample.encode(), t.encode()), _parsed(b"abcabcaa", t.encode())] for t in texts]
+
+
+def test_language_of_long_texts_by_brute_force(spark, texts):
+    model = langid.learn({"x": (texts[1][1] or "").encode(), "y": (texts[2][1] or "").encode()})
+    rows = [(i, ((texts[(i * 7) % 30][1] or "") + " ") * n) for i, n in enumerate([1, 2, 40, 200])]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.detect(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for i, text in rows:
+        raw = text.encode().translate(K.LOWER.tobytes())
+        cost = [_parsed_fast(s.encode().translate(K.LOWER.tobytes()), raw) * np.log2(len(s.encode())) for s in (texts[1][1], texts[2][1])]
+        assert got[i][0] == "xy"[int(cost[1] < cost[0])] and got[i][1] == pytest.approx(1 - min(cost) / sum(cost))
+
+
+def _parsed_fast(source: bytes, text: bytes) -> int:
+    at, n = 0, 0
+    while at < len(text):
+        k = 1
+        while at + k < len(text) and text[at : at + k + 1] in source:
+            k += 1
+        at, n = at + k, n + 1
+    return n
 
 
 def test_tokens(docs, texts):
@@ -144,6 +182,48 @@ def test_mix(docs, texts):
     assert mixing.mixed_rows(docs).count() == sum(r.copies for r in got)
 
 
+def test_mix_tilts_documents_by_size(spark):
+    r = random.Random(3)
+    cells = [(s, size, 1, r.randint(1, 9)) for s in ("a", "b", None) for size in r.sample(range(1, 3000), 200)]
+    table = spark.createDataFrame(cells, "source string, size long, rows long, n long")
+    total = {s: sum(size * n for t, size, _, n in cells if t == s) for s in ("a", "b", None)}
+    goals = spark.createDataFrame([(s, total[s], f * total[s]) for s, f in (("a", 0.3), ("b", 1.9), (None, 1.2))], "source string, source_size long, target double")
+    rated = mixing.rates(table, goals).collect()
+    assert len(rated) == len(cells)
+    for s, f in (("a", 0.3), ("b", 1.9), (None, 1.2)):
+        own = sorted((x.size, x.rate, x.n) for x in rated if x.source == s)
+        assert abs(sum(size * rate * n for size, rate, n in own) / (f * total[s]) - 1) < 1e-6
+        steps = np.diff([rate for _, rate, _ in own])
+        assert (steps > 0).all() if f > 1 else (steps < 0).all()  # the longer, the further from 1
+        assert max(abs(rate - f) for _, rate, _ in own) > 0.05  # no quotient of target and size would do
+        lam, mean = next((x["lambda"], x["mean"]) for x in rated if x.source == s)
+        assert all(rate == pytest.approx(2 / (1 + np.exp(-lam * size / mean))) for size, rate, _ in own)
+    whole = {(x.source, x.size): (x.copies, x.n) for x in mixing.copies(mixing.rates(table, goals)).collect()}
+    assert all(0 <= c <= 2 * n for c, n in whole.values())
+    for s, f in (("a", 0.3), ("b", 1.9), (None, 1.2)):  # off by less than the shortest document
+        assert abs(sum(c * size for (t, size), (c, _) in whole.items() if t == s) - f * total[s]) <= min(size for t, size in whole if t == s)
+
+
+def test_mix_of_many_sizes_in_one_source(spark):
+    cells = spark.range(200_000).selectExpr("'a' AS source", "id + 1 AS size", "1L AS rows", "1L AS n")
+    goal = spark.createDataFrame([("a", 20_000_100_000, 14_000_070_000.0)], "source string, source_size long, target double")
+    found = mixing.copies(mixing.rates(cells, goal)).selectExpr("sum(copies * size) AS taken", "count(*) AS n").first()
+    assert found.n == 200_000 and abs(found.taken - 14_000_070_000) <= 1
+
+
+def test_mix_counts_equal_rows_alike_and_keeps_columns(spark):
+    rows = [(1, "a b c", "s", 7)] * 900 + [(i, "w " * (i % 50), "s", 8) for i in range(2, 400)] + [(None, "x y", None, 9)] * 3
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, size long").selectExpr("*", "1 AS copies", "2 AS key", "3 AS time", "struct(4 AS row) AS row").repartition(4)
+    got = mixing.mix(table).collect()
+    assert len(got) == len(rows) and len({r.copies for r in got if r.doc_id == 1}) == 1
+    for size in {r.source_size for r in got}:
+        own = [r for r in got if r.source_size == size]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 1350
+    mixed = mixing.mixed_rows(table)
+    assert mixed.columns == table.columns
+    assert Counter(r.doc_id for r in mixed.collect()) == Counter({i: n for i in {r.doc_id for r in got} if (n := sum(r.copies for r in got if r.doc_id == i))})
+
+
 def fingerprint(text: str | None) -> int:
     w = WORD.findall(lower(text or ""))
     grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
@@ -236,14 +316,14 @@ def test_fm_index(runs, patterns):
 
 @pytest.mark.parametrize("block_bytes", [8 << 20, 300])
 def test_decontamination(spark, docs, texts, block_bytes):
-    items = [(1, " ".join((texts[3][1] or "").split()[20:50])), (2, "word"), (3, None), (4, " .;"), (5, " ".join((texts[0][1] or "").split()[:14])), (6, " ".join((texts[0][1] or "").split()[:14]))]
+    items = [(1, " ".join((texts[3][1] or "").split()[20:50])), (None, " ".join((texts[6][1] or "").split()[9:30])), (None, "line here"), (2, "word"), (3, None), (4, " .;"), (5, " ".join((texts[0][1] or "").split()[:14])), (6, " ".join((texts[0][1] or "").split()[:14]))]
     word = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     split = lambda t: word.findall(lower(t or "").encode())
     window: dict = {}
     for i, t in items:
         w = split(t)
         for j in range(max(1, len(w) - 12) if w else 0):
-            window.setdefault(tuple(w[j : j + 13]), set()).add(str(i))
+            window.setdefault(tuple(w[j : j + 13]), set()).update([] if i is None else [str(i)])
     want = Counter()
     for i, t in texts:
         w, hit, found = split(t), set(), set()
@@ -256,7 +336,38 @@ def test_decontamination(spark, docs, texts, block_bytes):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.contamination(docs, bench, block_bytes=block_bytes).drop("byte_starts", "byte_ends").collect()
     assert want == Counter(map(tuple, got)) and any(r.contaminated for r in got)
-    assert decontaminate.clean(docs, bench).count() == sum(not r.contaminated for r in got)
+    kept = decontaminate.clean(docs, bench, block_bytes=block_bytes)
+    assert kept.columns == docs.columns and kept.count() == sum(not r.contaminated for r in got)
+    assert next(r.n_hit for r in decontaminate.contamination(spark.createDataFrame([(1, "alpha beta gamma delta")], "doc_id long, text string"), spark.createDataFrame([(None, "Alpha. beta gamma")], "item_id long, text string")).collect()) == 3
+
+
+def test_decontamination_holds_one_block(docs, spark, monkeypatch):
+    """Forty blocks: each job broadcasts one, of bounded size, and lets it go before the next."""
+    words = [f"q{i}" for i in range(3000)]
+    bench = spark.createDataFrame([(i, " ".join(words[i : i + 15])) for i in range(0, 2900, 5)] + [(9999, "the common words of one")], "item_id long, text string")
+    made, live, size = decontaminate.phrases, [], []
+
+    def counted(rows, n):
+        size.append(sum(len(t) for _, t in rows))
+        return made(rows, n)
+
+    real = spark.sparkContext.broadcast
+
+    def broadcast(value):
+        held = real(value)
+        live.append(held)
+        destroy = held.destroy
+        monkeypatch.setattr(held, "destroy", lambda: (live.remove(held), destroy()), raising=False)
+        assert len(live) <= 1
+        return held
+
+    monkeypatch.setattr(decontaminate, "phrases", counted)
+    monkeypatch.setattr(spark.sparkContext, "broadcast", broadcast)
+    total = sum(len(t) + 4 for _, t in bench.collect())
+    table = spark.createDataFrame([(1, " ".join(words[100:160])), (2, "x the common words of one y"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.contamination(table, bench, block_bytes=total // 40).collect()}
+    assert len(size) >= 40 and max(size) < total / 5 and not live
+    assert got == {1: (60, 60, sum(len(set(words[i : i + 15]) & set(words[100:160])) >= 13 for i in range(0, 2900, 5))), 2: (7, 5, 1), 3: (0, 0, 0)}
 
 
 def test_licences(spark):
