@@ -3,8 +3,10 @@
 Rows are range-partitioned by document id and sorted, so shard k holds the ids
 of a contiguous range of documents and all shards follow in ascending order.
 Each task tokenizes its rows and writes one shard to the shared folder, under a
-name of its own that is renamed once complete, so a task that runs again after
-a lost executor replaces its shard with the same bytes.
+name of its own that is renamed once complete; a task that runs again after a lost
+executor makes the same bytes, so where the shard is already there its own is
+dropped.  There are as many shards as keep each at about ``SHARD_BYTES`` of text,
+and no fewer than the session's shuffle partitions; a task holds one shard.
 
 Tokenizing goes by units: texts are cut at white space and, where a piece is
 plain printable ASCII, between runs of letters, digits and other characters.
@@ -15,7 +17,8 @@ tokenizers library.
 
 Defined results: a null or empty text is a document with the end id alone;
 repeated rows and equal ids each get a place of their own, ordered by text hash;
-null ids come first; extra columns are ignored; an empty table writes no shard.
+null ids come first; extra columns are ignored; an empty table writes no shard; a
+folder that is not empty is an error.
 """
 
 from __future__ import annotations
@@ -46,6 +49,8 @@ _CLASS[[ord("'"), ord("<")]] = _WHOLE  # contractions and special tokens
 
 #: Stands for a null id in a shard.
 NO_ID = -(1 << 63)
+#: Text of one shard; a longer document still makes one shard.
+SHARD_BYTES = 64 << 20
 SLOTS = 1 << 21
 POOL_LIMIT = 8_000_000
 
@@ -145,10 +150,31 @@ def with_end(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.ndarra
     return out, sizes + 1
 
 
+def _put(store, own: str, target: str) -> None:
+    """Give a complete shard its name, unless another run of the task has done so; not every store replaces on renaming."""
+    from pyarrow import fs
+
+    try:
+        if store.get_file_info(target).type == fs.FileType.NotFound:
+            store.move(own, target)
+            return
+    except OSError:
+        if store.get_file_info(target).type == fs.FileType.NotFound:
+            raise
+    if store.get_file_info(own).type != fs.FileType.NotFound:
+        store.delete_file(own)
+
+
+def shard_number(path: str) -> int:
+    """The number in a shard's name, however many digits it has."""
+    return int(path.rsplit("shard-", 1)[1].split(".", 1)[0])
+
+
 def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1) -> DataFrame:
     """Write one shard per partition under ``folder``; returns shard and n_tokens of each (lazy)."""
     ordered = id_and_text(docs).withColumn("tie", F.xxhash64("text"))
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
     ordered = ordered.repartitionByRange(partitions, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     def run(batches):
@@ -173,10 +199,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
         own = f"{target}.{uuid.uuid4().hex}.part"
         with store.open_output_stream(own) as out:
             out.write(body)
-        store.move(own, target)
+        _put(store, own, target)
         yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([total], pa.int64())], ["shard", "n_tokens"])
 
-
     return mapped(ordered, run, "shard int, n_tokens long")
 
 
@@ -187,7 +212,7 @@ def read_shards(spark: SparkSession, folder: str, base: dict[int, int], per_docu
         for batch in batches:
             for path, raw in zip(batch.column("path").to_pylist(), batch.column("content")):
                 shard = Shard(raw.as_buffer())
-                number = int(path.rsplit("shard-", 1)[1][:6])
+                number = shard_number(path)
                 ends = np.cumsum(shard.sizes)
                 digest = np.empty(len(ends), np.int64)
                 ids = shard.ids()
@@ -210,7 +235,10 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder: str
     spark = docs.sparkSession
     folder = folder or f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
     place = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(place)
+    if len(store.listStatus(place)):
+        raise ValueError(f"{folder} is not empty")
     written = sorted((r["shard"], r["n_tokens"]) for r in write_shards(docs, tokenizer_path, folder, end_id).collect())
     base, total = {}, 0
     for shard, n in written:

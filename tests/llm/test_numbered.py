@@ -143,6 +143,28 @@ def test_tokens(docs, texts):
     assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got) == want
 
 
+def test_token_shards(docs, texts, spark, tmp_path, monkeypatch):
+    """Shards by bytes of text, runs that come again, and numbers of any length."""
+    import os
+
+    from pyarrow import fs
+
+    monkeypatch.setattr(tokens, "SHARD_BYTES", 3000)
+    total = sum(len((t or "").encode()) for _, t in texts)
+    first = sorted(map(tuple, tokens.tokenize(docs, TOKENIZER, folder=f"file://{tmp_path}/a").collect()))
+    names = [n for n in os.listdir(tmp_path / "a") if n.endswith(".lfp")]
+    assert 10 < len(names) <= -(-total // 3000) and not [n for n in os.listdir(tmp_path / "a") if n.endswith(".part")]
+    assert first == sorted(map(tuple, tokens.tokenize(docs, TOKENIZER, folder=f"file://{tmp_path}/b").collect()))
+    with pytest.raises(ValueError):
+        tokens.tokenize(docs, TOKENIZER, folder=f"file://{tmp_path}/a")
+    store = fs.LocalFileSystem()
+    for name in ("first", "second"):
+        (tmp_path / name).write_bytes(b"body")
+        tokens._put(store, str(tmp_path / name), str(tmp_path / "shard-1.lfp"))
+    assert (tmp_path / "shard-1.lfp").read_bytes() == b"body" and not (tmp_path / "first").exists() and not (tmp_path / "second").exists()
+    assert [tokens.shard_number(f"/x/shard-{n}.lfp") for n in ("000007", "1000001", "12345678")] == [7, 1_000_001, 12_345_678]
+
+
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=1500), st.floats(1, 100))
 @settings(max_examples=40, deadline=None)
 def test_packing(values, percentile):
