@@ -109,3 +109,15 @@ def front_matter(text: Column) -> tuple[Column, Column]:
 def millis(at: Column, below: int = STORED_SECONDS_BELOW) -> Column:
     """Epoch milliseconds from milliseconds or seconds."""
     return F.when(at < below, at * 1000).otherwise(at)
+
+
+def like_literal(part: str) -> str:
+    """A LIKE pattern of what holds ``part`` as it stands: wild cards and the escape itself are escaped."""
+    for c in ("\\", "%", "_"):
+        part = part.replace(c, "\\" + c)
+    return f"%{part}%"
+
+
+def holds(low: Column, part: str) -> Column:
+    """Whether a lower-case text holds ``part``, in any case, wild cards taken as they are."""
+    return low.like(like_literal(part.lower()))

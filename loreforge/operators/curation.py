@@ -68,34 +68,38 @@ def breaker(counts: DataFrame) -> DataFrame:
     return counts.withColumn("budget", budget).withColumn("verdict", verdict)
 
 
+#: Leading words of quotes that are put into the plan; of more quotes they meet the texts in a join.
+PLANNED_QUOTES = 20_000
+
+
 def quotes(items: DataFrame, texts: DataFrame, short: int = 60, k: int = 6) -> DataFrame:
     """Where quotes (id, quote) stand in texts (doc, text): state and, if unique, the doc.
 
     Both sides are normalised and padded.  A whole match in one text is a hit, in several ambiguous.  Else, for
     quotes of ``short`` characters or more, the prefix of ``short`` decides; if several have it and the quote has over
-    twice as many, the suffix.  A text can only hold a quote if it holds the quote's leading words, so quotes meet
-    texts through an equi-join on ``k`` words and are compared only there; quotes of fewer words join on their own
-    word count.  Empty quotes match nothing.
+    twice as many, the suffix.  A text can only hold a quote if it holds the quote's leading words, at most ``k``, so
+    each text looks for hashes of those among its own and is compared only with the quotes that it finds.  Empty
+    quotes match nothing.
     """
     q = items.select("id", merge_key(F.col("quote")).alias("q")).where("q != ''").withColumn("qw", F.split("q", " "))
-    # the last word of a prefix may be cut, so join on whole words that lie inside it
+    # the last word of a prefix may be cut, so look for whole words that lie inside it
     whole = F.size(F.split(F.substring(F.col("q"), 1, short), " ")) - F.when(F.length("q") > short, 1).otherwise(0)
-    q = q.withColumn("n", F.greatest(F.lit(1), F.least(F.lit(k), whole))).withColumn("gram", F.array_join(F.slice("qw", 1, F.col("n")), " "))
-    sizes = [r["n"] for r in q.select("n").distinct().collect()]
-    t = texts.select("doc", merge_key(F.col("text")).alias("t")).where("t != ''").withColumn("w", F.split("t", " "))
-    parts = None
-    for n in sizes:
-        gram = F.explode(F.array_distinct(_grams(n)))
-        met = t.where(F.size("w") >= n).select("doc", gram.alias("gram")).join(q.where(F.col("n") == n).select("id", "gram"), "gram").select("id", "doc")
-        parts = met if parts is None else parts.union(met)
-    if parts is None:
+    q = q.withColumn("n", F.greatest(F.lit(1), F.least(F.lit(k), whole))).select("id", "q", "n", F.xxhash64(F.slice("qw", 1, F.col("n"))).alias("head"))
+    keys = q.select("n", "head").distinct()
+    sizes = sorted(r["n"] for r in keys.select("n").distinct().collect())  # at most k
+    if not sizes:
         return items.limit(0).select("id", F.lit("none").alias("state"), F.lit(None).cast("long").alias("doc"))
+    planned = [r["head"] for r in keys.select("head").limit(PLANNED_QUOTES + 1).collect()]
+    t = texts.select("doc", merge_key(F.col("text")).alias("t")).where("t != ''").select("doc", "t", F.split("t", " ").alias("w"))
+    heads = F.flatten(F.array(*(_heads(n) for n in sizes)))
+    if len(planned) <= PLANNED_QUOTES:
+        heads = F.filter(heads, lambda h: h.isin(planned))
+    met = t.select("doc", "t", F.array_distinct(heads).alias("heads")).select("doc", F.concat(F.lit(" "), "t", F.lit(" ")).alias("t"), F.explode_outer("heads").alias("head"))  # outer: no filter on what is exploded is pushed below and repeats its work
     space = F.lit(" ")
-    pairs = parts.distinct().join(q.select("id", "q"), "id").join(t.select("doc", F.concat(space, "t", space).alias("t")), "doc")
     full = F.col("t").contains(F.concat(space, "q", space))
     prefix = (F.length("q") >= short) & F.col("t").contains(F.concat(space, F.substring(F.col("q"), 1, short)))
     suffix = (F.length("q") > 2 * short) & F.col("t").contains(F.concat(F.expr(f"right(q, {short})"), space))
-    flags = pairs.select("id", "doc", full.alias("full"), prefix.alias("prefix"), (prefix & suffix).alias("both"))
+    flags = met.join(q, "head").select("id", "doc", full.alias("full"), prefix.alias("prefix"), (prefix & suffix).alias("both"))
     n = flags.groupBy("id").agg(
         *(F.count_if(c).alias(f"n_{c}") for c in ("full", "prefix", "both")), *(F.min(F.when(F.col(c), F.col("doc"))).alias(f"d_{c}") for c in ("full", "prefix", "both"))
     )
@@ -108,8 +112,10 @@ def quotes(items: DataFrame, texts: DataFrame, short: int = 60, k: int = 6) -> D
     return found.select("id", state.alias("state"), doc.alias("doc"))
 
 
-def _grams(n: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice(F.col("w"), i, F.lit(n)), " "))
+def _heads(n: int) -> Column:
+    """Hashes of every ``n`` words in a row."""
+    last = F.size("w") - (n - 1)
+    return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(F.col("w"), i, F.lit(n))))).otherwise(F.array().cast("array<bigint>"))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], last_wins: bool = True) -> DataFrame:
@@ -118,6 +124,14 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], last_wins: bool
     return keep.unionByName(more.join(keep.select(*keys), list(keys), "left_anti"))
 
 
+def promoted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """key, role and state after new rows (key, role) meet a table: unknown keys go in, and a trigger takes the place of evidence."""
+    both = old.select(key, F.col("role").alias("was")).join(new.select(key, F.col("role").alias("comes")), key, "full_outer")
+    up = (F.col("was") == "evidence") & (F.col("comes") == "trigger")
+    role = F.when((F.col("was") == "trigger") | (F.col("comes") == "trigger"), "trigger").otherwise("evidence")
+    return both.select(key, role.alias("role"), F.when(F.col("was").isNull(), "inserted").when(up, "promoted").otherwise("kept").alias("state"))
+
+
 def confirmation_queue(facts: DataFrame, evidence: DataFrame, denials: DataFrame, now: int) -> DataFrame:
     """One row per live, stable fact that nobody confirmed: its first evidence, unless that one is denied; age in days.
 

@@ -12,58 +12,54 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
-PROBE_BLOCK = 512
+#: Probes and vectors that a task compares at once.
+PROBE_BLOCK, SLICE = 512, 20_000
+
+
+def probes(embeddings: DataFrame, step: int, rest: int) -> DataFrame:
+    """The query set: vectors with id % step = rest."""
+    return embeddings.where(F.col("vec_id") % step == rest)
 
 
 def ranked(embeddings: DataFrame, step: int, rest: int, k: int) -> DataFrame:
     """The k best other vectors (qid, qlabel, vec_id, label, score, r) of each probe, a vector with id % step = rest.
 
-    Probes go to the tasks in blocks; each task scores its vectors against a block at once and keeps
-    the k best per probe, so what is shuffled is k rows per probe and task.
+    Probes are dealt into blocks and vectors into slices by hash; a task gets one block and one slice, scores them by
+    one matrix product and keeps the k best per probe.  Neither passes through the driver, and what is shuffled behind
+    that is k rows per probe and slice.
     """
-    probes = embeddings.where(F.col("vec_id") % step == rest).select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    found = None
-    for block in _blocks(probes):
-        ids, labels = np.array([r["vec_id"] for r in block]), [r["label"] for r in block]
-        grid = np.array([r["v"] for r in block])
-        grid = grid / np.maximum(np.linalg.norm(grid, axis=1, keepdims=True), 1e-300)
-
-        def best(batches, ids=ids, labels=labels, grid=grid):
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                score = np.round(np.clip(grid @ x.T, -1, 1), 6)
-                own, label = pdf["vec_id"].to_numpy(), pdf["label"].to_numpy()
-                for i in range(len(ids)):
-                    at = np.flatnonzero(own != ids[i])
-                    at = at[np.lexsort((own[at], -score[i, at]))[:k]]
-                    yield pd.DataFrame({"qid": ids[i], "qlabel": labels[i], "vec_id": own[at], "label": label[at], "score": score[i, at]})
-
-        part = embeddings.select("vec_id", "label", "embedding").mapInPandas(best, "qid long, qlabel int, vec_id long, label int, score double")
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = embeddings.limit(0).select(F.col("vec_id").alias("qid"), F.col("label").alias("qlabel"), "vec_id", "label", F.lit(0.0).alias("score"))
+    chosen = probes(embeddings, step, rest).select(F.col("vec_id").alias("qid"), F.col("label").alias("qlabel"), "embedding")
+    blocks = max(1, -(-chosen.count() // PROBE_BLOCK))
+    slices = max(1, -(-embeddings.count() // SLICE))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = chosen.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).withColumn("slice", all_of(slices))
+    right = embeddings.select("vec_id", "label", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int").alias("slice")).withColumn("block", all_of(blocks))
+
+    def unit(column: pd.Series) -> np.ndarray:
+        x = np.stack(column.to_numpy()).astype(np.float64)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+    def best(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(queries) and len(rows):
+            score = np.round(np.clip(unit(queries["embedding"]) @ unit(rows["embedding"]).T, -1, 1), 6)
+            own, label = rows["vec_id"].to_numpy(), rows["label"].to_numpy()
+            for i, (qid, qlabel) in enumerate(zip(queries["qid"], queries["qlabel"])):
+                at = np.flatnonzero(own != qid)
+                at = at[np.lexsort((own[at], -score[i, at]))[:k]]
+                out.append(pd.DataFrame({"qid": qid, "qlabel": qlabel, "vec_id": own[at], "label": label[at], "score": score[i, at]}))
+        return pd.concat(out) if out else pd.DataFrame({"qid": [], "qlabel": [], "vec_id": [], "label": [], "score": []})
+
+    found = left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInPandas(best, "qid long, qlabel int, vec_id long, label int, score double")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
 
 
-def _blocks(probes: DataFrame):
-    rows = []
-    for row in probes.orderBy("vec_id").toLocalIterator():
-        rows.append(row)
-        if len(rows) == PROBE_BLOCK:
-            yield rows
-            rows = []
-    if rows:
-        yield rows
-
-
-def recall(top: DataFrame) -> DataFrame:
-    """Queries with a relevant row among their results, over all queries."""
+def recall(top: DataFrame, queries: DataFrame) -> DataFrame:
+    """Queries (qid) with a relevant row among their results, over all queries; one without results is a miss."""
     hit = top.groupBy("qid").agg(F.max((F.col("label") == F.col("qlabel")).cast("int")).alias("hit"))
-    return hit.agg(F.count("*").alias("n_queries"), F.sum("hit").alias("hits"), F.round(F.sum("hit") / F.count("*"), 6).alias("recall"))
+    every = queries.select("qid").distinct().join(hit, "qid", "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
+    return every.agg(F.count("*").alias("n_queries"), F.sum("hit").alias("hits"), F.round(F.sum("hit") / F.count("*"), 6).alias("recall"))
 
 
 def floor_sweep(top: DataFrame, floors: Sequence[float], k: int) -> DataFrame:

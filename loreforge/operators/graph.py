@@ -6,19 +6,18 @@ result is written to the checkpoint folder when the loop has no fixed bound.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loreforge.streaming.cdc import shared_root
+
 
 def settled(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iteration with a reliable checkpoint."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="loreforge-"))
+    shared_root(df.sparkSession)
     return df.checkpoint()
 
 
@@ -46,7 +45,7 @@ def reach(edges: DataFrame, roots: DataFrame, hops: int, out: bool = True) -> Da
         found = front.join(step, "node").where("next != root").groupBy("root", "next").agg(F.min_by("rel", priority).alias("rel")).withColumnRenamed("next", "node")
         if seen is not None:
             found = found.join(seen.select("root", "node"), ["root", "node"], "left_anti")
-        found = found.withColumn("depth", F.lit(depth).cast("long"))
+        found = settled(found.withColumn("depth", F.lit(depth).cast("long")))  # later rounds read it, and do not run it again
         seen = found if seen is None else seen.unionByName(found)
         front = found.select("root", "node")
     return seen

@@ -47,18 +47,22 @@ def dirty(docs: DataFrame, done: DataFrame, model: str) -> DataFrame:
     return docs.join(done, "doc_id", "left").where(~same).select("doc_id")
 
 
-def longest_prefix(paths: DataFrame, rules: DataFrame) -> DataFrame:
-    """The deepest folder rule (folder, value) above each path: Match, NoMatch or, with different values at one depth, Tie.
+def deepest(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """path and the distinct values of the deepest folder rules (folder, value) above it, null if there are none.
 
     Each path lists its own ancestors, which meet the rules by an equi-join; no path is tested against every rule.
     """
     parts = F.split(F.regexp_replace(F.translate("path", "\\", "/"), r"^(?:\./)+", ""), "/")
     ancestors = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.struct(F.array_join(F.slice(parts, 1, i), "/").alias("folder"), i.alias("depth")))
     above = paths.where(F.size(parts) > 1).select("path", F.explode(ancestors).alias("a")).select("path", "a.folder", "a.depth")
-    best = above.join(rules, "folder").groupBy("path", "depth").agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    deepest = best.groupBy("path").agg(F.max_by(F.struct("low", "high"), "depth").alias("b"))
-    state = F.when(F.col("b").isNull(), "NoMatch").when(F.col("b.low") != F.col("b.high"), "Tie").otherwise("Match")
-    return paths.join(deepest, "path", "left").select("path", state.alias("state"), F.col("b.low").alias("low"), F.col("b.high").alias("high"))
+    best = above.join(rules, "folder").groupBy("path", "depth").agg(F.array_sort(F.collect_set("value")).alias("values"))
+    return paths.join(best.groupBy("path").agg(F.max_by("values", "depth").alias("values")), "path", "left")
+
+
+def longest_prefix(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """The deepest folder rule (folder, value) above each path: Match, NoMatch or, with different values at one depth, Tie."""
+    state = F.when(F.col("values").isNull(), "NoMatch").when(F.size("values") > 1, "Tie").otherwise("Match")
+    return deepest(paths, rules).select("path", state.alias("state"), F.array_min("values").alias("low"), F.array_max("values").alias("high"))
 
 
 def tier(rel: Column, root: str) -> Column:

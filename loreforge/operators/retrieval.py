@@ -108,15 +108,18 @@ def collapse_vectors(chunks: DataFrame, ident: str, vector: str = "embedding") -
     return chunks.join(first.select(ident), ident, "left_semi")
 
 
-def keyword_rank(entries: DataFrame, terms: Sequence[str], k: int) -> DataFrame:
-    """Overlap of terms (two bytes or more, repeats counted) with the text, by ASCII case-insensitive containment."""
-    text = F.lower("text")
+def keyword_rank(entries: DataFrame, terms: Sequence[str], k: int, ident: str = "id") -> DataFrame:
+    """Overlap of terms (two bytes or more, repeats counted) with title or body, without regard to case.
+
+    Ties go by confidence and time, both descending, then by id.
+    """
+    title, body = F.lower("title"), F.lower("body")
     score = F.lit(0)
     for term in terms:
         if len(term.encode()) >= 2:
-            score = score + text.contains(term.lower()).cast("int")
+            score = score + (title.contains(term.lower()) | body.contains(term.lower())).cast("int")
     found = entries.withColumn("overlap", score.cast("long")).where("overlap > 0")
-    return found.orderBy(F.desc("overlap"), F.desc("n_chars"), F.asc("doc_id")).limit(k)
+    return found.orderBy(F.desc("overlap"), F.desc("confidence"), F.desc("updated_at"), F.asc(ident)).limit(k)
 
 
 def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -10,6 +10,7 @@ from loreforge.functions import chunkers
 from loreforge.functions import text as T
 from loreforge.operators import commits as M
 from loreforge.operators import graph as G
+from loreforge.operators import mutations as U
 from loreforge.operators import retrieval as R
 from loreforge.plans.registry import query
 
@@ -171,8 +172,8 @@ def mark_indexed(read):
     return runs.join(last, "user_id").select(F.col("user_id").alias("doc"), "runs", "last_outcome")
 
 
-@query("conditional_batch_policy", "SELECT user_id AS key, min(event_id) FILTER (event_id % 97 = 0) AS halted_at, count(*) FILTER (event_id % 97 <> 0)::BIGINT AS passed_on_skip FROM events GROUP BY 1")
+@query("conditional_batch_policy", """WITH e AS (SELECT user_id AS key, event_id AS id, event_id % 97 = 0 AS bad FROM events), s AS (SELECT *, max(bad::INT) OVER (PARTITION BY key ORDER BY id ROWS UNBOUNDED PRECEDING) AS stops FROM e)
+ SELECT key, min(id) FILTER (bad) AS halted_at, count(*) FILTER (stops = 0)::BIGINT AS passed_on_halt, count(*) FILTER (NOT bad)::BIGINT AS passed_on_skip FROM s GROUP BY 1""")
 def conditional_batch_policy(read):
-    """Under halt a key stops before its first bad change; under skip bad changes are set aside."""
-    bad = F.col("event_id") % 97 == 0
-    return read("events").groupBy(F.col("user_id").alias("key")).agg(F.min(F.when(bad, F.col("event_id"))).alias("halted_at"), F.count_if(~bad).alias("passed_on_skip"))
+    """Under halt a key stops before its first bad change and keeps what passed before; under skip bad changes are set aside."""
+    return U.halted(read("events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id")), F.col("id") % 97 == 0)

@@ -136,9 +136,9 @@ def tier_routing(read):
     return read("documents").select("doc_id", I.tier(rel, "/vault").alias("tier"))
 
 
-@query("longest_prefix_rule", f"""WITH p AS (SELECT {PATH} AS path, source, lang FROM documents) SELECT path, CASE WHEN source = 'src1' AND lang = 'fr' THEN 'Tie' WHEN source IN ('src1', 'src2') THEN 'Match' ELSE 'NoMatch' END AS state,
- CASE WHEN source = 'src1' AND lang = 'fr' THEN 1 WHEN source = 'src1' AND lang = 'en' THEN 9 WHEN source = 'src1' THEN 5 WHEN source = 'src2' THEN 7 END::INTEGER AS low,
- CASE WHEN source = 'src1' AND lang = 'fr' THEN 2 WHEN source = 'src1' AND lang = 'en' THEN 9 WHEN source = 'src1' THEN 5 WHEN source = 'src2' THEN 7 END::INTEGER AS high FROM p""")
+@query("longest_prefix_rule", """WITH r(folder, value) AS (VALUES ('/vault/src1', 5), ('/vault/src1/en', 9), ('/vault/src1/fr', 1), ('/vault/src1/fr', 2), ('/vault/src2', 7), ('/vault/src', 3)),
+ p AS (SELECT '/vault/' || source || '/' || lang || '/' || doc_id || '.md' AS path FROM documents), m AS (SELECT path, value, length(folder) AS n FROM p JOIN r ON starts_with(path, folder || '/')), b AS (SELECT path, value FROM m QUALIFY rank() OVER (PARTITION BY path ORDER BY n DESC) = 1),
+ g AS (SELECT path, min(value) AS low, max(value) AS high FROM b GROUP BY 1) SELECT p.path, CASE WHEN low IS NULL THEN 'NoMatch' WHEN low <> high THEN 'Tie' ELSE 'Match' END AS state, low, high FROM p LEFT JOIN g ON g.path = p.path""")
 def longest_prefix_rule(read):
     d = paths(read("documents"))
     rules = d.sparkSession.createDataFrame([("/vault/src1", 5), ("/vault/src1/en", 9), ("/vault/src1/fr", 1), ("/vault/src1/fr", 2), ("/vault/src2", 7), ("/vault/src", 3)], "folder string, value int")

@@ -9,13 +9,13 @@ from loreforge.plans.registry import query
 
 #: A call graph: part i of a line calls the line's supplier-derived part; types by line number.
 CALLS = """calls AS (SELECT DISTINCT l_partkey % 300 AS src, l_suppkey * 7 % 300 AS dst, CASE WHEN l_linenumber % 2 = 0 THEN 'CALLS' ELSE 'IMPORTS' END AS rel
- FROM lineitem WHERE l_orderkey % 40 = 1 AND l_partkey % 300 <> l_suppkey * 7 % 300)"""
+ FROM lineitem WHERE l_partkey % 300 <> l_suppkey * 7 % 300)"""
 
 
 def calls(read):
     src, dst = F.col("l_partkey") % 300, F.col("l_suppkey") * 7 % 300
     rel = F.when(F.col("l_linenumber") % 2 == 0, "CALLS").otherwise("IMPORTS")
-    return read("lineitem").where((F.col("l_orderkey") % 40 == 1) & (src != dst)).select(src.alias("src"), dst.alias("dst"), rel.alias("rel")).distinct()
+    return read("lineitem").where(src != dst).select(src.alias("src"), dst.alias("dst"), rel.alias("rel")).distinct()
 
 
 def _reach_sql(a: str, b: str, name: str) -> str:
@@ -202,11 +202,11 @@ def off_manifest_edges(read):
     return G.off_manifest(e, words, F.col("l_linestatus") == "F").select("l_orderkey", "l_linenumber", "type")
 
 
-@query("provenance_walk", """WITH ev AS (SELECT event_id AS entry, CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN sha256((SELECT 'none' || event_id)) ELSE sha256(event_id % 500) END AS h FROM (SELECT event_id FROM events WHERE event_id < 2000)),
+@query("provenance_walk", """WITH ev AS (SELECT event_id AS entry, CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN sha256((SELECT 'none' || event_id)) ELSE sha256(event_id % 500) END AS h FROM events),
  c AS (SELECT sha256(doc_id::VARCHAR) AS content_hash, '/vault/' || source || '/' || doc_id || '.md' AS path FROM documents)
  SELECT entry, CASE WHEN path IS NOT NULL THEN 'Resolved' WHEN h IS NOT NULL THEN 'HadEvidenceUnresolved' ELSE 'NoEvidence' END AS state, coalesce(path, '') AS paths FROM ev LEFT JOIN c ON c.content_hash = ev.h""".replace("sha256((SELECT 'none' || event_id))", "sha256('none' || event_id)").replace("sha256(event_id % 500)", "sha256((event_id % 500)::VARCHAR)"))
 def provenance_walk(read):
-    e = read("events").where("event_id < 2000").select(F.col("event_id").alias("entry"))
+    e = read("events").select(F.col("event_id").alias("entry"))
     digest = F.when(F.col("entry") % 3 == 1, F.sha2(F.concat(F.lit("none"), F.col("entry").cast("string")), 256)).when(F.col("entry") % 3 == 2, F.sha2((F.col("entry") % 500).cast("string"), 256))
     evidence = e.select("entry", F.when(digest.isNotNull(), F.to_json(F.array(F.struct(digest.alias("content_hash"))))).otherwise(F.lit("[]")).alias("evidence"))
     d = read("documents")

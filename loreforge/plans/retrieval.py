@@ -91,10 +91,16 @@ def gated_match(read):
     return R.gated(table, R.vector_of(e, "vec_id", 0), NOW, 0.2, 10, skip).select("id", "raw", "score")
 
 
-@query("gated_match_uncalibrated", f"WITH {ENTRIES} SELECT id, 0.0::DOUBLE AS score FROM entries WHERE false")
+@query("gated_match_uncalibrated", f"""{Q}, {ENTRIES}, f(scheme, floor) AS (VALUES ('raw', 0.7), ('instr1', 0.64), ('unknown', NULL)), s AS (SELECT {SCORE} AS raw FROM entries e, q WHERE {{ELIGIBLE}})
+ SELECT scheme, least(count(raw), 10)::BIGINT AS n FROM f LEFT JOIN s ON raw >= floor GROUP BY 1""".replace("{ELIGIBLE}", f"deleted_at IS NULL AND (superseded_by IS NULL OR coalesce(superseded_at > {NOW}, false)) AND (valid_to IS NULL OR valid_to > {NOW})"))
 def gated_match_uncalibrated(read):
+    """Matches per scheme at the scheme's own floor; one without a floor matches nothing."""
     e = read("embeddings")
-    return R.gated(entries(e), R.vector_of(e, "vec_id", 0), NOW, R.FLOORS.get("unknown-model"), 10).select("id", "score")
+    v, out = R.vector_of(e, "vec_id", 0), None
+    for scheme in ("raw", "instr1", "unknown"):
+        part = R.gated(entries(e), v, NOW, R.FLOORS.get(scheme), 10).agg(F.count("*").alias("n")).select(F.lit(scheme).alias("scheme"), "n")
+        out = part if out is None else out.union(part)
+    return out
 
 
 @query("eligible_entries", f"WITH {ENTRIES} SELECT id FROM entries WHERE {ELIGIBLE}")
@@ -136,19 +142,27 @@ def embedding_coverage(read):
     return d.agg(F.count("*").alias("n"), F.sum(F.when(F.col("lang") == "en", 1).otherwise(0)).alias("keyed"))
 
 
-@query("keyword_overlap_rank", """SELECT doc_id, overlap FROM (SELECT doc_id, n_chars, (contains(lower(text), 'the')::INT + contains(lower(text), 'license')::INT + contains(lower(text), 'que')::INT + contains(lower(text), 'the')::INT)::BIGINT AS overlap FROM documents)
- WHERE overlap > 0 ORDER BY overlap DESC, n_chars DESC, doc_id LIMIT 20""")
+def _hits(*terms):
+    """SQL: terms met in title or body."""
+    return "(" + " + ".join(f"(contains(lower(source), '{t}') OR contains(lower(text), '{t}'))::INT" for t in terms) + ")::BIGINT"
+
+
+def _titled(read):
+    return read("documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("body"), F.col("lang").alias("confidence"), F.col("n_chars").alias("updated_at"))
+
+
+@query("keyword_overlap_rank", f"SELECT doc_id, overlap FROM (SELECT doc_id, lang, n_chars, {_hits('the', 'license', 'src1', 'que', 'the')} AS overlap FROM documents) WHERE overlap > 0 ORDER BY overlap DESC, lang DESC, n_chars DESC, doc_id LIMIT 20")
 def keyword_overlap_rank(read):
-    return R.keyword_rank(read("documents"), "The license QUE a the".split(), 20).select("doc_id", "overlap")
+    return R.keyword_rank(_titled(read), "The license SRC1 QUE a the".split(), 20, "doc_id").select("doc_id", "overlap")
 
 
 @query("recall_composite", f"""{Q} SELECT 'chunk' AS leg, id, score FROM (SELECT vec_id AS id, {SCORE} AS score FROM embeddings e, q ORDER BY score DESC, vec_id LIMIT 8)
- UNION ALL SELECT 'keyword', doc_id, overlap::DOUBLE FROM (SELECT doc_id, n_chars, (contains(lower(text), 'license')::INT + contains(lower(text), 'the')::INT) AS overlap FROM documents) WHERE overlap > 0
- QUALIFY row_number() OVER (ORDER BY overlap DESC, n_chars DESC, doc_id) <= 5""")
+ UNION ALL SELECT 'keyword', doc_id, overlap::DOUBLE FROM (SELECT doc_id, lang, n_chars, {_hits('license', 'the')} AS overlap FROM documents) WHERE overlap > 0
+ QUALIFY row_number() OVER (ORDER BY overlap DESC, lang DESC, n_chars DESC, doc_id) <= 5""")
 def recall_composite(read):
     e = read("embeddings")
     chunk = R.search(e, R.vector_of(e, "vec_id", 0), 8).select(F.lit("chunk").alias("leg"), F.col("vec_id").alias("id"), "score")
-    word = R.keyword_rank(read("documents"), ["license", "the"], 5).select(F.lit("keyword").alias("leg"), F.col("doc_id").alias("id"), F.col("overlap").cast("double").alias("score"))
+    word = R.keyword_rank(_titled(read), ["license", "the"], 5, "doc_id").select(F.lit("keyword").alias("leg"), F.col("doc_id").alias("id"), F.col("overlap").cast("double").alias("score"))
     return chunk.unionByName(word)
 
 
@@ -203,9 +217,12 @@ PROBES = """probes AS (SELECT vec_id AS qid, label AS qlabel, embedding::DOUBLE[
  top AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) <= 10)"""
 
 
-@query("recall_at_k", f"WITH {PROBES} SELECT count(*)::BIGINT AS n_queries, sum(hit)::BIGINT AS hits, round(sum(hit) / count(*), 6) AS recall FROM (SELECT qid, max(CASE WHEN label = qlabel THEN 1 ELSE 0 END) AS hit FROM top GROUP BY qid)")
+@query("recall_at_k", f"""WITH {PROBES} SELECT count(*)::BIGINT AS n_queries, sum(hit)::BIGINT AS hits, round(sum(hit) / count(*), 6) AS recall
+ FROM (SELECT qid, coalesce(max(CASE WHEN label = qlabel AND score >= 0.35 THEN 1 ELSE 0 END), 0) AS hit FROM probes LEFT JOIN (SELECT qid, label, score FROM top) t USING (qid) GROUP BY qid)""")
 def recall_at_k(read):
-    return E.recall(E.ranked(read("embeddings"), 50, 1, 10))
+    """Results below the floor are not shown; a probe that is left without any still counts."""
+    e = read("embeddings")
+    return E.recall(E.ranked(e, 50, 1, 10).where("score >= 0.35"), E.probes(e, 50, 1).select(F.col("vec_id").alias("qid")))
 
 
 @query("hit_at_k_floor_sweep", f"""WITH {PROBES}, f AS (SELECT (i / 10.0)::DOUBLE AS floor FROM range(0, 10) t(i))
@@ -239,9 +256,9 @@ def arm_metrics(read):
     return first.agg(F.count_if(right).alias("hit1"), F.count_if(~right & opened).alias("fp"), F.count_if(opened).alias("opens"))
 
 
-@query("grid_homogeneity", "SELECT count(DISTINCT label % 1)::BIGINT AS builds, count(DISTINCT len(embedding)) = 1 AS same_size FROM embeddings")
+@query("grid_homogeneity", "SELECT count(DISTINCT label % 3)::BIGINT AS builds, count(DISTINCT len(embedding)) = 1 AS same_size FROM embeddings")
 def grid_homogeneity(read):
-    return read("embeddings").agg(F.countDistinct(F.col("label") % 1).alias("builds"), (F.countDistinct(F.size("embedding")) == 1).alias("same_size"))
+    return read("embeddings").agg(F.countDistinct(F.col("label") % 3).alias("builds"), (F.countDistinct(F.size("embedding")) == 1).alias("same_size"))
 
 
 @query("queue_neighbors", "SELECT conv_id, turn, lag(turn) OVER w AS before_turn, lead(turn) OVER w AS next_turn FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")

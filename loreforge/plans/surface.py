@@ -176,7 +176,9 @@ def vocabulary_cascade(read):
     return O.cascade(parts, own, "0").select(F.col("part").cast("long").alias("part"), "vocabulary")
 
 
-@query("glob_types", "SELECT doc_id, CASE WHEN source = 'src1' AND lang = 'en' THEN 'exact' WHEN lang = 'fr' THEN 'french' WHEN source LIKE 'src1_' THEN 'teens' END AS kind FROM documents")
+@query("glob_types", """WITH g(shape, kind, pattern) AS (VALUES ('src1/en/*.md', 'exact', '^src1/en/[^/]*[.]md$'), ('src1?/**', 'teens', '^src1[^/]/.*$'), ('**/fr/**', 'french', '^(.*/)?fr/.*$')),
+ o AS (SELECT *, len(list_filter(string_split(shape, '/'), lambda s: NOT regexp_matches(s, '[*?]'))) AS fixed, length(regexp_replace(shape, '[*?]', '', 'g')) AS letters FROM g), p AS (SELECT doc_id, source || '/' || lang || '/' || doc_id || '.md' AS path FROM documents)
+ SELECT doc_id, (SELECT kind FROM o WHERE regexp_matches(path, pattern) ORDER BY fixed DESC, letters DESC, shape LIMIT 1) AS kind FROM p""")
 def glob_types(read):
     path = F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
     return read("documents").select("doc_id", O.type_of(path, {"src1/en/*.md": "exact", "src1?/**": "teens", "**/fr/**": "french"}).alias("kind"))
@@ -239,9 +241,15 @@ def version_stamp(read):
     return read("conversations").agg((F.coalesce(F.max("turn"), F.lit(0)) + 1).alias("next_version"))
 
 
-@query("escaped_like", r"SELECT c_custkey FROM customer WHERE contains(lower(c_name), '#0000')")
+#: Names that hold the wild cards themselves.
+WILD = "SELECT c_custkey, replace(c_name, '#', CASE c_custkey % 4 WHEN 0 THEN '_' WHEN 1 THEN '%' WHEN 2 THEN chr(92) ELSE 'x' END) AS name FROM customer"
+
+
+@query("escaped_like", f"WITH w AS ({WILD}) SELECT c_custkey, contains(lower(name), 'r_0') AS line, contains(lower(name), 'r%0') AS per_cent, contains(lower(name), 'r' || chr(92) || '0') AS slash FROM w")
 def escaped_like(read):
-    return read("customer").where(F.lower("c_name").like(r"%#0000%")).select("c_custkey")
+    mark = F.get(F.array(*map(F.lit, ("_", "%", "\\", "x"))), (F.col("c_custkey") % 4).cast("int"))
+    name = F.lower(F.concat(F.substring("c_name", 1, 8), mark, F.substring("c_name", 10, 100)))
+    return read("customer").select("c_custkey", *(T.holds(name, part).alias(label) for label, part in (("line", "R_0"), ("per_cent", "r%0"), ("slash", "r\\0"))))
 
 
 @query("distinct_partitions", "SELECT DISTINCT l_returnflag AS part FROM lineitem WHERE l_quantity > 10")

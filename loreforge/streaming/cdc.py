@@ -9,10 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The checkpoint folder of the session; a temporary one is made only where none is set and all tasks run on this machine."""
+    context = spark.sparkContext
+    root, known = spark.conf.get("spark.checkpoint.dir", None), context._jsc.sc().getCheckpointDir()
+    if known.isEmpty():
+        if not root:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            root = f"file://{tempfile.mkdtemp(prefix='loreforge-')}"
+        context.setCheckpointDir(root)
+        known = context._jsc.sc().getCheckpointDir()
+    return root or known.get()
+
+
 def shared(spark: SparkSession, name: str) -> str:
     """A new folder below the checkpoint folder of the session."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/loreforge"
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def drain(changes: DataFrame, table: str, checkpoint: str) -> None:
