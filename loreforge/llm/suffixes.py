@@ -7,15 +7,18 @@ byte hundreds of times, so suffixes are first thinned without losing a repeat:
 1. Every window of ``LENGTH`` bytes has an anchor, the start of its smallest
    (by hash) ``TOKEN`` bytes; equal windows have anchors at equal offsets.
    Consecutive windows with one anchor form a strip.
-2. Anchors whose leading token occurs once belong to no repeat and are dropped.
-   Strips that occur twice or more as a whole are repeats in all their windows.
+2. One pass over the strips in order of their anchors' tokens thins them.
+   Anchors whose token occurs once belong to no repeat and are dropped.  Strips
+   that occur twice or more as a whole are repeats in all their windows and are
+   reported from here, by a hash of their bytes; they do not need the sort.
+   Strips that repeat within a batch are put together before they are sent.
 3. What is left, the distinct strips of tokens with several different strips
-   (the edges of copies), goes through the suffix sort: strips are
-   range-partitioned by their leading token between splitters that Spark
-   samples; each bucket lays out the suffixes of its strips and sorts them by a
-   multikey quicksort, one token deeper at a time and only among those still
-   tied; equal neighbours are repeats.  A token with very many strips simply
-   fills several buckets.
+   (the edges of copies), goes through the suffix sort: strips, each of which
+   carries up to 101 neighbouring suffixes, are range-partitioned by the token
+   that their suffixes share, between splitters that Spark samples; each bucket
+   lays out the suffixes of its strips and sorts them by a three-way multikey
+   quicksort over their own tokens; equal neighbours are repeats.  A token with
+   very many strips simply fills several buckets.
 4. The first and last token of a bucket may go on in the bucket beside it.  Their
    strips are cut finer, by anchors of ``FINE`` bytes, and the suffixes whose
    finer token occurs on either side are compared once more across boundaries.
@@ -49,6 +52,10 @@ FINE = 185
 PIECE = 1 << 18
 #: Strips that one bucket of the suffix sort holds on average.
 BUCKET_STRIPS = 20_000
+#: Strips of one token that a task holds at once.
+CHUNK = 1 << 20
+#: Flags of a place: a strip that stands for several of its batch, and one that is known to repeat.
+MANY, WHOLE = 1 << 62, 1 << 61
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -102,28 +109,109 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
 
 
-def _strip_table(docs: DataFrame, counting: bool) -> DataFrame:
-    """token alone, or with strip hash, row and place (first window, windows and anchor offset in one number)."""
+def _strip_table(docs: DataFrame) -> DataFrame:
+    """token, strip hash, row and place (flags, first window, windows and anchor offset in one number) of every strip.
+
+    Strips that occur twice or more in a batch are repeats at once: each is passed on as such (WHOLE), under a token of
+    its own, and one of them (MANY) stands for them in what follows.
+    """
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             data, offsets = K.text_bytes(batch.column("text"))
-            row = None if counting else batch.column("row").to_numpy()
+            name, parts = batch.column("row").to_numpy(), []
             for first, shift, part, offs in pieces(data, offsets):
                 doc, low, high, at, token, whole = strips(part, offs)
-                if counting:
-                    yield pa.RecordBatch.from_arrays([pa.array(K.signed(token))], ["token"])
-                else:
-                    place = ((low - offs[doc] + shift) << 16) | ((high - low + 1) << 8) | (at - low)
-                    yield pa.RecordBatch.from_arrays([pa.array(K.signed(token)), pa.array(K.signed(whole)), pa.array(row[first + doc]), pa.array(place)], ["token", "strip", "row", "place"])
-
-    if counting:
-        return mapped(docs.select("text"), run, "token long")
+                parts.append((token, whole, name[first + doc], ((low - offs[doc] + shift) << 16) | ((high - low + 1) << 8) | (at - low)))
+            token, whole, row, place = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((whole, token))
+            token, whole, row, place = token[order], whole[order], row[order], place[order]
+            fresh = np.ones(len(token), bool)
+            fresh[1:] = (token[1:] != token[:-1]) | (whole[1:] != whole[:-1])
+            first = np.flatnonzero(fresh)
+            many = np.diff(np.append(first, len(token))) > 1
+            again = np.repeat(many, np.diff(np.append(first, len(token))))
+            own = K.mix(row[again].view(np.uint64) ^ place[again].astype(np.uint64))
+            columns = [
+                (K.signed(token[first]), K.signed(own)), (K.signed(whole[first]), np.zeros(len(own), np.int64)),
+                (row[first], row[again]), (place[first] | np.where(many, MANY, 0), place[again] | WHOLE),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["token", "strip", "row", "place"])
+
     return mapped(docs.select("row", "text"), run, "token long, strip long, row long, place long")
 
 
+def _sorted_chunks(batches) -> Iterator[tuple[pa.Table, bool]]:
+    """Batches in order of token and strip, joined to tables that end with a token; with True, within one of over CHUNK rows."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n < CHUNK:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        token, strip = table.column("token").to_numpy(), table.column("strip").to_numpy()
+        end = int(np.searchsorted(token, token[-1]))
+        within = not end
+        if within:  # a token of more rows: end with a strip, or within one that all of the table is
+            end = int(np.searchsorted(strip, strip[-1])) or len(table)
+        yield table.slice(0, end), within
+        held = table.slice(end).to_batches()
+        n = sum(b.num_rows for b in held)
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks(), False
+
+
+def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What becomes of strips, from one pass over them in order of token and strip.
+
+    Strips that occur twice or more come without token: they are repeats as a whole.  Of tokens with several different
+    strips one of each comes with its token, for the suffix sort; it is open if it is not a repeat yet.  The rest goes.  A strip of
+    over CHUNK rows may come along though its token has no other.
+    """
+    names = ["token", "row", "place", "open"]
+    before = (None, None)  # token and strip that the table before ended within
+    for table, within in _sorted_chunks(batches):
+        token, strip, row, place = (table.column(c).to_numpy() for c in ("token", "strip", "row", "place"))
+        passed = (place & WHOLE) != 0
+        done_row, done_place = row[passed], place[passed] & ~WHOLE
+        token, strip, row, place = token[~passed], strip[~passed], row[~passed], place[~passed]
+        n = len(token)
+        if n:
+            new = np.ones(n, bool)
+            new[1:] = token[1:] != token[:-1]
+            fresh = new.copy()
+            fresh[1:] |= strip[1:] != strip[:-1]
+            first = np.flatnonzero(fresh)
+            size = np.diff(np.append(first, n))
+            many = (size > 1) | np.maximum.reduceat((place & MANY) != 0, first)
+            kinds = np.add.reduceat(fresh.astype(np.int64), np.flatnonzero(new))
+            mixed = np.repeat(kinds > 1, kinds)  # of each kind of strip
+            leads = np.ones(len(first), bool)
+            if before[0] == token[0]:
+                mixed[token[first] == token[0]] = True
+                if before[1] == strip[0]:
+                    many[0], leads[0] = True, False
+            if within:  # the token goes on: take it for one with several strips
+                mixed[token[first] == token[-1]] = True
+            whole = np.repeat(many, size) & ((place & MANY) == 0)
+            chosen = mixed & leads
+            at = first[chosen]
+            done_row, done_place = np.concatenate([done_row, row[whole]]), np.concatenate([done_place, place[whole]])
+            yield pa.RecordBatch.from_arrays([pa.array(token[at]), pa.array(row[at]), pa.array(place[at] & ~MANY), pa.array(~many[chosen])], names)
+            before = (token[-1], strip[-1]) if within else (None, None)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(done_row), pa.int64()), pa.array(done_row), pa.array(done_place), pa.nulls(len(done_row), pa.bool_())], names)
+
+
+def _decided(places: DataFrame) -> DataFrame:
+    return mapped(places.repartition("token").sortWithinPartitions("token", "strip"), decide, "token long, row long, place long, open boolean")
+
+
 def _strip_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The bytes of each wanted strip, with its token, row, place and whether it is still open."""
     lists = wanted.groupBy("row").agg(F.collect_list(F.struct("token", "place", "open")).alias("w"))
@@ -145,27 +233,49 @@ def _strip_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return mapped(docs.select("row", "text").join(lists, "row"), run, "token long, row long, place long, open boolean, body binary")
 
 
-def multikey_ties(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sort rows by several columns, one column deeper at a time among rows still tied.
+def multikey_quicksort(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Three-way multikey quicksort of rows by several columns, all groups of a round at once.
 
-    Returns the rows that tie with another one in all columns, sorted, and a class number for each.
+    A group is parted by a pivot of its own into less, equal and greater; less and greater stay at their column, equal
+    goes on to the next one.  Returns the rows that tie with another one in all columns, and a class number for each.
     """
-    rows = np.arange(len(columns[0]))
-    group = np.zeros(len(rows), np.int64)
-    for column in columns:
+    keys = np.stack(columns) if len(columns[0]) else np.empty((len(columns), 0), np.uint64)
+    rows, depth = np.arange(keys.shape[1]), np.zeros(1, np.int64)
+    size = np.array([keys.shape[1]])
+    tied, classes, named = [], [], 0
+    while True:
+        going = size > 1
+        done = going & (depth == len(columns))
+        if done.any():
+            number = np.cumsum(done) - 1 + named
+            named += int(done.sum())
+            here = np.repeat(done, size)
+            tied.append(rows[here])
+            classes.append(np.repeat(number, size)[here])
+        going &= ~done
+        rows, size, depth = rows[np.repeat(going, size)], size[going], depth[going]
         if not len(rows):
             break
-        value = column[rows]
-        order = np.argsort(value, kind="stable")
-        order = order[np.argsort(group[order], kind="stable")]
-        rows, group, value = rows[order], group[order], value[order]
-        fresh = np.ones(len(rows), bool)
-        fresh[1:] = (value[1:] != value[:-1]) | (group[1:] != group[:-1])
-        group = np.cumsum(fresh)
-        first = np.flatnonzero(fresh)
-        tied = np.repeat(np.diff(np.append(first, len(rows))) > 1, np.diff(np.append(first, len(rows))))
-        rows, group = rows[tied], group[tied]
-    return rows, group
+        start = np.cumsum(size) - size
+        value = keys[np.repeat(depth, size), rows]
+        pivot = np.repeat(value[start + size // 2], size)
+        less, more = value < pivot, value > pivot
+        counts = np.stack([np.add.reduceat(less, start, dtype=np.int64), np.zeros(len(size), np.int64), np.add.reduceat(more, start, dtype=np.int64)], 1)
+        counts[:, 1] = size - counts[:, 0] - counts[:, 2]
+        to = np.empty(len(rows), np.int64)
+        for i, part in enumerate((less, ~(less | more), more)):
+            at = np.flatnonzero(part)
+            n = counts[:, i]
+            offset = start + counts[:, :i].sum(axis=1) - (np.cumsum(n) - n)
+            to[at] = np.repeat(offset, n) + np.arange(len(at))
+        parted = np.empty_like(rows)
+        parted[to] = rows
+        rows, depth = parted, np.stack([depth, depth + 1, depth], 1).ravel()
+        size = counts.ravel()
+        depth, size = depth[size > 0], size[size > 0]
+    if not tied:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate(tied), np.concatenate(classes)
 
 
 def _suffixes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -204,7 +314,7 @@ def _buckets(bodies: DataFrame, partitions: int) -> DataFrame:
         data, offsets = K.text_bytes(table.column("body"))
         strip, start, parts = _suffixes(data, offsets)
         repeated = np.zeros(len(start), bool)
-        repeated[multikey_ties(parts)[0]] = True
+        repeated[multikey_quicksort(parts)[0]] = True
         begin = (place >> 16) - offsets[:-1]  # from a byte here to the byte of the text
         found = np.flatnonzero(repeated & still[strip])
         if len(found):
@@ -257,19 +367,11 @@ def _across(edges: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """row, first and last (exclusive) byte of repeated stretches; spans of a row may overlap.  ``docs`` has row and text."""
     spark = docs.sparkSession
-    tokens = cut(_strip_table(docs, True).groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"))
-    candidates = cut(_strip_table(docs, False).join(tokens, "token", "left_semi"))
-    drop_table(tokens)
-    distinct = cut(candidates.groupBy("token", "strip").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("at")))
-    mixed = distinct.groupBy("token").agg(F.count("*").alias("kinds")).where("kinds > 1").select("token")
-    wanted = cut(distinct.join(mixed, "token").select("token", "at.row", "at.place", (F.col("n") == 1).alias("open")))
-    twice = distinct.where("n > 1").select("token", "strip")
+    decided = cut(_decided(_strip_table(docs)))
+    wanted = decided.where("token IS NOT NULL")
     first = F.shiftright("place", 16)
-    whole = cut(candidates.join(twice, ["token", "strip"], "left_semi").select("row", first.alias("first"), (first + F.shiftright("place", 8).bitwiseAND(F.lit(255).cast("long")) + LENGTH - 1).alias("last")))
-    drop_table(candidates)
-    drop_table(distinct)
+    whole = decided.where("token IS NULL").select("row", first.alias("first"), (first + F.shiftright("place", 8).bitwiseAND(F.lit(255).cast("long")) + LENGTH - 1).alias("last"))
     bodies = cut(_strip_bytes(docs, wanted))
-    drop_table(wanted)
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), bodies.count() // BUCKET_STRIPS)
     sorted_out = cut(_buckets(bodies, partitions))
     drop_table(bodies)

@@ -321,6 +321,36 @@ def test_suffixes(spark, docs, texts, piece, strips, monkeypatch):
     assert want == Counter(map(tuple, got))
 
 
+@given(st.lists(st.tuples(*[st.integers(0, 3)] * 4), max_size=60))
+@settings(max_examples=100, deadline=None)
+def test_multikey_quicksort(keys):
+    rows, number = suffixes.multikey_quicksort([np.array([k[i] for k in keys], np.uint64) for i in range(4)])
+    many = Counter(keys)
+    assert sorted(rows) == [i for i, k in enumerate(keys) if many[k] > 1]
+    assert len({(keys[i], n) for i, n in zip(rows, number)}) == len(set(number)) == sum(n > 1 for n in many.values())
+
+
+@given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 3), st.booleans()), max_size=40), st.integers(2, 9), st.integers(1, 7))
+@settings(max_examples=150, deadline=None)
+def test_strips_are_decided_alike_in_stretches_of_any_length(rows, chunk, size):
+    import pyarrow as pa
+
+    rows = sorted(rows, key=lambda r: r[:2])
+    places = [(i << 16) | (7 << 8) | (suffixes.MANY if many else 0) for i, (_, _, many) in enumerate(rows)]
+    table = pa.table({"token": pa.array([t for t, _, _ in rows], pa.int64()), "strip": pa.array([s for _, s, _ in rows], pa.int64()), "row": pa.array(range(len(rows)), pa.int64()), "place": pa.array(places, pa.int64())})
+    before, suffixes.CHUNK = suffixes.CHUNK, chunk
+    try:
+        got = [r for b in suffixes.decide(table.to_batches(size)) for r in b.to_pylist()]
+    finally:
+        suffixes.CHUNK = before
+    count, kinds = Counter(r[:2] for r in rows), Counter(t for t, _ in {r[:2] for r in rows})
+    many = {r[:2] for r in rows if r[2] or count[r[:2]] > 1}
+    assert sorted(r["row"] for r in got if r["token"] is None) == [i for i, r in enumerate(rows) if r[:2] in many and not r[2]]
+    sent = sorted((r["token"], rows[r["row"]][1], r["open"]) for r in got if r["token"] is not None)
+    assert [x for x in sent if kinds[x[0]] > 1] == sorted((t, s, (t, s) not in many) for t, s in set(count) if kinds[t] > 1)
+    assert all(not still and count[t, s] >= chunk for t, s, still in sent if kinds[t] == 1)
+
+
 @given(st.lists(st.lists(st.integers(1, 3), min_size=1, max_size=12), min_size=1, max_size=6), st.lists(st.lists(st.integers(1, 3), min_size=1, max_size=4), min_size=1, max_size=5))
 @settings(max_examples=60, deadline=None)
 def test_fm_index(runs, patterns):
