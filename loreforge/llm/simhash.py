@@ -253,12 +253,12 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
 def representatives(docs: DataFrame, radius: int = 2) -> DataFrame:
     """The rows of ``docs``, all columns, that stand for their components: of each, one with the smallest id.
 
-    The choice is made on hashes of id and text; whole rows are joined once, and only rows that are equal in both are
-    brought together.
+    The choice is made on hashes of id and text; whole rows are joined once, by a merge at every size, as the
+    choices grow with the documents, and only rows that are equal in both are brought together.
     """
     least = classes(docs, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "row").agg(F.count("*").alias("n"))
     chosen = cut(least.groupBy("root").agg(F.min(F.struct(F.col("row").alias("key"), "n")).alias("least")).select("least.*").distinct())
-    rows = wrapped(docs).select("row", F.xxhash64("row.doc_id", F.col("row.text").cast("string")).alias("key")).join(chosen, "key")
+    rows = wrapped(docs).select("row", F.xxhash64("row.doc_id", F.col("row.text").cast("string")).alias("key")).join(chosen.hint("merge"), "key")
     if chosen.where("n > 1").isEmpty():
         return unwrapped(rows.select("row"))
     repeated = rows.where("n > 1").groupBy("key").agg(F.first("row").alias("row"))
