@@ -1,4 +1,7 @@
-"""The queries of the numbered operators, with the columns of their contracts, and their SQL."""
+"""The queries of the numbered operators, with the columns of their contracts, and their SQL.
+
+A document without id is in no fold: nothing is learned from it, and it is not held out.
+"""
 
 from __future__ import annotations
 
@@ -16,6 +19,10 @@ def _fold(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def _is(fold: Column) -> Column:
+    return F.coalesce(fold, F.lit(False))
+
+
 def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loreforge.llm import passages
 
@@ -27,7 +34,7 @@ def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _read(spark, sf_dir, "documents")
     model = quality.train(docs, _read(spark, sf_dir, "labels"), _fold(5) != 0)
-    return quality.quality_scores(docs, model).withColumn("held_out", _fold(5) == 0)
+    return quality.quality_scores(docs, model).withColumn("held_out", _is(_fold(5) == 0))
 
 
 def op3_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +53,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loreforge.llm import langid
 
     docs = _read(spark, sf_dir, "documents")
-    return langid.identify(docs, _fold(4) != 2).withColumn("held_out", _fold(4) == 2)
+    return langid.identify(docs, _fold(4) != 2).withColumn("held_out", _is(_fold(4) == 2))
 
 
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,6 +65,120 @@ def test_quality_learns(spark):
     assert {r.score for r in quality.quality_scores(table, unfit).collect()} == {0.5}
 
 
+def _slow_additive(x, y, bins, rounds, rate, leaves, n_pairs, ridge):
+    """The additive model by loops over rows and bins."""
+    n, width = len(x), len(x[0])
+    share = min(max(sum(y) / n, 1e-3), 1 - 1e-3)
+    base = np.log(share / (1 - share))
+
+    def quantile(column, q):
+        s, at = sorted(column), q * (n - 1)
+        low = int(at)
+        return s[low] + (s[min(low + 1, n - 1)] - s[low]) * (at - low)
+
+    cuts = [sorted({quantile([r[j] for r in x], k / bins) for k in range(1, bins)}) for j in range(width)]
+    cell = [[sum(c <= r[j] for c in cuts[j]) for j in range(width)] for r in x]
+    tables = [[0.0] * (len(c) + 1) for c in cuts]
+    raw = [base] * n
+
+    def slopes():
+        p = [1 / (1 + np.exp(-v)) for v in raw]
+        return [t - v for t, v in zip(y, p)], [max(v * (1 - v), 1e-6) for v in p]
+
+    for _ in range(rounds):
+        for j in range(width):
+            g, h = slopes()
+            sg, sh = [0.0] * len(tables[j]), [0.0] * len(tables[j])
+            for i in range(n):
+                sg[cell[i][j]] += g[i]
+                sh[cell[i][j]] += h[i]
+            worth = lambda a, b: sum(sg[a:b]) ** 2 / (sum(sh[a:b]) + ridge)  # noqa: B023, E731
+            parts = [(0, len(sg))]
+            while len(parts) < leaves:
+                gain, part, mid = max(((worth(a, m) + worth(m, b) - worth(a, b), (a, b), m) for a, b in parts for m in range(a + 1, b)), key=lambda t: t[0], default=(0, None, 0))
+                if gain <= 1e-9:
+                    break
+                parts = sorted([p for p in parts if p != part] + [(part[0], mid), (mid, part[1])])
+            for a, b in parts:
+                for k in range(a, b):
+                    tables[j][k] += rate * sum(sg[a:b]) / (sum(sh[a:b]) + ridge)
+                    for i in range(n):
+                        if cell[i][j] == k:
+                            raw[i] += rate * sum(sg[a:b]) / (sum(sh[a:b]) + ridge)
+
+    def best(i, j):
+        g, h = slopes()
+        quads = {}
+        for a in range(len(tables[i])):
+            for b in range(len(tables[j])):
+                sums = [[0.0, 0.0] for _ in range(4)]
+                for r in range(n):
+                    q = 2 * (cell[r][i] > a) + (cell[r][j] > b)
+                    sums[q][0] += g[r]
+                    sums[q][1] += h[r]
+                quads[a, b] = (sum(u * u / (v + ridge) for u, v in sums), [u / (v + ridge) for u, v in sums])
+        cut = max(quads, key=lambda k: quads[k][0])
+        return quads[cut][0] - sum(g) ** 2 / (sum(h) + ridge), cut, quads[cut][1]
+
+    chosen = sorted(((i, j) for i in range(width) for j in range(i + 1, width)), key=lambda p: -best(*p)[0])[:n_pairs]
+    pairs = {p: [[0.0] * len(tables[p[1]]) for _ in tables[p[0]]] for p in chosen}
+    for _ in range(rounds // 4):
+        for i, j in chosen:
+            _, (a, b), values = best(i, j)
+            for u in range(len(tables[i])):
+                for v in range(len(tables[j])):
+                    pairs[i, j][u][v] += rate * values[2 * (u > a) + (v > b)]
+            for r in range(n):
+                raw[r] += rate * values[2 * (cell[r][i] > a) + (cell[r][j] > b)]
+    return base, cuts, tables, pairs, [1 / (1 + np.exp(-v)) for v in raw]
+
+
+def test_quality_tables_by_brute_force():
+    r = np.random.default_rng(4)
+    x = np.round(r.random((90, 4)), 2)
+    x[:, 3] = 0.5  # a feature that says nothing
+    y = (x[:, 0] + (x[:, 1] > 0.4) * (x[:, 2] > 0.6) + 0.3 * r.random(90) > 0.8).astype(float)
+    options = {"bins": 6, "rounds": 8, "rate": 0.15, "leaves": 3, "n_pairs": 3, "ridge": 2.0}
+    base, cuts, tables, pairs, scores = _slow_additive(x.tolist(), y.tolist(), **options)
+    model = quality.fit(x, y, **options)
+    assert model.base == pytest.approx(base)
+    assert [c.tolist() for c in model.cuts] == [pytest.approx(c) for c in cuts]
+    assert [t.tolist() for t in model.tables] == [pytest.approx(t, abs=1e-9) for t in tables]
+    assert {(i, j) for i, j, _ in model.pairs} == set(pairs)
+    for i, j, table in model.pairs:
+        assert table.ravel().tolist() == pytest.approx([v for row in pairs[i, j] for v in row], abs=1e-9)
+    assert model.score(x).tolist() == pytest.approx(scores)
+
+
+def test_quality_scores_by_brute_force(docs, texts):
+    """Every feature of every text counted by regular expressions, and the score looked up from the tables."""
+    r = np.random.default_rng(1)
+    want = {}
+    rows = []
+    for i, t in texts:
+        t = t or ""
+        w, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+        grams = Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4))
+        covered = {j + k for j in range(len(w) - 4) if grams[tuple(w[j : j + 5])] > 1 for k in range(5)}
+        upper = sum(len(re.findall("[A-Z]", x)) >= 2 and not re.search("[a-z]", x) for x in w)
+        n, m = max(len(w), 1), max(len(lines), 1)
+        rows.append([
+            np.log1p(len(w)), sum(map(len, w)) / n, len(re.findall(r"[#*$%&|<>]", t)) / n, (len(lines) - len(set(lines))) / m, len(covered) / n, len(set(w)) / n,
+            upper / n, len(re.findall("[!?]", t)) / n, len(re.findall("[0-9]", t)) / max(len(t), 1), len(re.findall("[.,;:]", t)) / n, len(w) / m, sum(len(x) > 25 for x in w) / n,
+        ])
+    x = np.array(rows)
+    model = quality.fit(x, (r.random(len(x)) < 0.5).astype(float), bins=8, rounds=20)
+    for (i, _), values in zip(texts, rows):
+        at = [int((model.cuts[j] <= v).sum()) for j, v in enumerate(values)]
+        raw = model.base + sum(t[at[j]] for j, t in enumerate(model.tables)) + sum(t[at[i], at[j]] for i, j, t in model.pairs)
+        want.setdefault(i, []).append(1 / (1 + np.exp(-raw)))
+    got: dict = {}
+    for row in quality.quality_scores(docs, model).collect():
+        got.setdefault(row.doc_id, []).append(row.score)
+        assert row.predicted == int(row.score >= 0.3)
+    assert set(got) == set(want) and all(sorted(got[i]) == pytest.approx(sorted(want[i])) for i in want)
+
+
 def test_quality_pairs_explain_interaction():
     r = np.random.default_rng(0)
     x = np.pad(r.random((4000, 2)), ((0, 0), (0, 1)))
