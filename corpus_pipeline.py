@@ -3,6 +3,11 @@
 Languages that cannot be told go, one document of each near-duplicate group
 stays, contaminated documents go, sources are mixed to their target weights by
 repeating or leaving out documents, and the mix is written as token ids.
+
+Every stage takes documents of any further columns, whatever their names, and
+keeps rows whole.  Rows without text are ``und`` and go with the first stage; rows
+without id stay (of a group of near duplicates the smallest id stays, and one of
+the rows without id where the group has no other); an empty table stays empty.
 """
 
 from __future__ import annotations
