@@ -18,6 +18,8 @@ from loreforge.functions.text import STRATEGY
 
 # Target and overlap of a chunk, words of a prose chunk and of a symbol chunk, bytes of an embedding window.
 TARGET, OVERLAP, PROSE_WORDS, AST_WORDS, WINDOW = 1600, 120, 100, 400, 7000
+#: Chunks that a task hands on at once.
+CHUNK_ROWS = 2000
 Chunk = tuple[str, int, int, "str | None", str]
 
 
@@ -190,6 +192,20 @@ def autodetect(path: str, text: str) -> list[Chunk]:
     return declarative(text, kind) if way == "Declarative" else fallback(text)
 
 
+def canonical(path: str, text: str) -> list[Chunk]:
+    """The chunks of a source and behind them, for sources with symbols, its references as chunks of their own."""
+    kind = path.rsplit(".", 1)[-1].lower() if "." in path else ""
+    named = references(text) if kind == "py" else []
+    return [*autodetect(path, text), *((name, 0, 0, name, f"ast_{what}") for name, what in named)]
+
+
+def mean_vector(parts: list[list[float]]) -> list[float] | None:
+    """Element-wise mean of a text's part vectors; none if they differ in length or there are none."""
+    if not parts or len({len(p) for p in parts}) > 1:
+        return None
+    return [sum(x) / len(parts) for x in zip(*parts)]
+
+
 def windows(text: str, limit: int = WINDOW) -> list[str]:
     """Cuts of at most ``limit`` bytes of UTF-8, behind the last white space of the second half where there is some."""
     raw, out, start = text.encode(), [], 0
@@ -208,10 +224,18 @@ def windows(text: str, limit: int = WINDOW) -> list[str]:
 def chunk_documents(docs: DataFrame, chunker: Callable[[str, str], list[Chunk]] = autodetect) -> DataFrame:
     """One row per chunk of documents (doc_id, path, text), in order, with its position; null texts have none."""
 
+    names = ["doc_id", "path", "position", "chunk_text", "start_line", "end_line", "symbol", "strategy"]
+
     def run(batches):
         for pdf in batches:
-            rows = [(d, p, i, *c) for d, p, t in zip(pdf["doc_id"], pdf["path"], pdf["text"]) if t is not None for i, c in enumerate(chunker(p, t))]
-            yield pd.DataFrame(rows, columns=["doc_id", "path", "position", "chunk_text", "start_line", "end_line", "symbol", "strategy"])
+            rows = []
+            for d, p, t in zip(pdf["doc_id"], pdf["path"], pdf["text"]):
+                if t is not None:
+                    rows += [(d, p, i, *c) for i, c in enumerate(chunker(p, t))]
+                if len(rows) >= CHUNK_ROWS:  # what is held is bounded by this and one document
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
 
     kinds = "doc_id long, path string, position long, chunk_text string, start_line int, end_line int, symbol string, strategy string"
     return docs.select(F.col("doc_id").cast("long"), "path", "text").mapInPandas(run, kinds)

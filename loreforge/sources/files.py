@@ -41,3 +41,14 @@ def fixtures(spark: SparkSession, corpus: str, queries: str, qrels: str) -> tupl
     q = whole(queries).select(F.explode(F.from_json("value", "map<string,string>")).alias("query_id", "text"))
     r = whole(qrels).select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("query_id", "ids")).select("query_id", F.explode("ids").alias("doc_id"))
     return table, q, r
+
+
+def drop(prompts: DataFrame, folder: str) -> None:
+    """Append prompts (id, at, text) to a queue: a folder of JSON lines, one file a task."""
+    prompts.select("id", "at", "text").write.mode("append").json(folder)
+
+
+def oldest(spark: SparkSession, folder: str, n: int) -> DataFrame:
+    """The n oldest prompts of a queue, by time and id; an id that was dropped twice counts once, at its first time."""
+    rows = spark.read.schema("id string, at long, text string").json(folder)
+    return rows.groupBy("id").agg(F.min("at").alias("at"), F.min_by("text", "at").alias("text")).orderBy("at", "id").limit(n)

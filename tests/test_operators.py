@@ -43,9 +43,10 @@ def test_gate(spark):
 
 
 def test_keyword_counts_repeats(spark):
-    df = spark.createDataFrame([(1, "alpha beta", 9), (2, "ALPHA", 5)], "doc_id long, text string, n_chars long")
-    got = {r.doc_id: r.overlap for r in retrieval.keyword_rank(df, ["alpha", "alpha", "x", "beta"], 5).collect()}
-    assert got == {1: 3, 2: 2}
+    rows = [(1, "t", "alpha beta", "low", 9), (2, "Beta", "ALPHA alpha", "low", 5), (3, "t", "ALPHA", "stated", 1), (4, "t", "alpha", "low", 7), (5, "t", "alpha", "low", 8), (6, "x", "x", "low", 1)]
+    df = spark.createDataFrame(rows, "id long, title string, body string, confidence string, updated_at long")
+    got = [(r.id, r.overlap) for r in retrieval.keyword_rank(df, ["alpha", "alpha", "x", "beta"], 5).collect()]
+    assert got == [(1, 3), (2, 3), (3, 2), (5, 2), (4, 2)]
 
 
 def test_reach_excludes_root_and_prefers_calls(spark):
@@ -140,6 +141,36 @@ def test_code_and_declarative():
     assert chunkers.autodetect("a.py", "def (:")[0][4] == "code_like"
 
 
+def test_chunks_by_hand():
+    assert [(c[1], c[2], c[3]) for c in chunkers.declarative("# x\na:\n  b: 1\n---\nc: 2\n", "yaml")] == [(1, 5, "a")]
+    # the second key begins a chunk of its own, which takes in the 120 characters before it
+    long = "a: " + "x" * 1300 + "\nc: " + "y" * 1300 + "\n"
+    assert [(c[0], c[1], c[2], c[3]) for c in chunkers.declarative(long, "yaml")] == [(long[:1304], 1, 1, "a"), (long[1184:], 1, 2, "c")]
+    code = "int f() {\n  // }\n  return 1;\n}\nint g() { return '}'; }\n"
+    assert chunkers.code_like(code) == [(code, 1, 5, "f", "code_like")]
+    assert chunkers.fallback("one\n\ntwo\n") == [("one\n\ntwo\n", 1, 3, None, "fallback")]
+    assert chunkers.prose("One two. Three?") == [("One two. Three?", 1, 1, None, "prose")]
+    assert chunkers.windows("ab cd " * 3, 8) == ["ab cd ", "ab cd ", "ab cd "] and chunkers.windows("é" * 5, 4) == ["éé", "éé", "é"]
+    assert chunkers.references("import os\nfrom a import B\nx.Run(f())") == [("os", "import"), ("b", "import"), ("run", "call"), ("f", "call")]
+    assert chunkers.canonical("x.py", "import os\ndef f():\n    g()\n") == [("def f():\n    g()", 2, 3, "f", "ast_symbol"), ("os", 0, 0, "os", "ast_import"), ("g", 0, 0, "g", "ast_call")]
+    assert chunkers.mean_vector([[1.0, 2.0], [3.0, 4.0]]) == [2.0, 3.0] and chunkers.mean_vector([[1.0], [1.0, 2.0]]) is None and chunkers.mean_vector([]) is None
+
+
+def test_prompt_queue(spark, tmp_path):
+    from loreforge.sources import files
+
+    folder = str(tmp_path / "queue")
+    for rows in ([("b", 2, "two"), ("a", 3, "three")], [("c", 1, "one"), ("b", 9, "again")]):
+        files.drop(spark.createDataFrame(rows, "id string, at long, text string"), folder)
+    assert [tuple(r) for r in files.oldest(spark, folder, 2).collect()] == [("c", 1, "one"), ("b", 2, "two")]
+
+
+def test_like_takes_wild_cards_as_they_are(spark):
+    df = spark.createDataFrame([("a_b",), ("axb",), ("a%b",), ("a\\b",)], "t string")
+    hit = lambda part: [r.t for r in df.where(text.holds(F.col("t"), part)).collect()]
+    assert (hit("A_b"), hit("a%b"), hit("a\\b"), hit("a")) == (["a_b"], ["a%b"], ["a\\b"], ["a_b", "axb", "a%b", "a\\b"])
+
+
 def test_windows():
     t = "word " * 4000
     got = chunkers.windows(t)
@@ -184,6 +215,27 @@ def test_bundle_round_trip(spark, tmp_path):
 def test_evaluation(spark):
     df = spark.createDataFrame([(i, [float(i % 3 == 0), 1.0], i % 3) for i in range(12)], "vec_id long, embedding array<float>, label int")
     top = evaluation.ranked(df, 6, 0, 3)
-    assert evaluation.recall(top).first()["recall"] == 1.0
-    got = spark.createDataFrame([("a b c", "a x c"), ("", ""), (None, "q")], "x string, y string").select(evaluation.churn("x", "y").alias("c")).collect()
-    assert [round(r.c, 3) for r in got] == [0.333, 0.0, 1.0]
+    probes = evaluation.probes(df, 6, 0).selectExpr("vec_id AS qid")
+    assert tuple(evaluation.recall(top, probes).first()) == (2, 2, 1.0)
+    assert tuple(evaluation.recall(top.where("qid = 6"), probes).first()) == (2, 1, 0.5)  # one without results is a miss
+
+
+def test_ranked_in_blocks_and_slices(spark, monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    x = r.normal(size=(60, 4)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in row], i % 5) for i, row in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    score = np.round(np.clip(unit @ unit.T, -1, 1), 6)
+    want = {(q, j, n + 1) for q in range(1, 60, 3) for n, j in enumerate(sorted((j for j in range(60) if j != q), key=lambda j: (-score[q, j], j))[:4])}
+    for block, part in ((512, 20_000), (3, 7)):
+        monkeypatch.setattr(evaluation, "PROBE_BLOCK", block)
+        monkeypatch.setattr(evaluation, "SLICE", part)
+        assert {(r.qid, r.vec_id, r.r) for r in evaluation.ranked(df, 3, 1, 4).collect()} == want
+
+
+def test_churn_by_hand(spark):
+    # words kept over words of the longer text: 2 of 3, none of none, 0 of 1, 3 of 5, 4 of 4
+    got = spark.createDataFrame([("a b c", "a x c"), ("", ""), (None, "q"), ("a b c", "a b x y c"), ("a b c d", "a  b c d")], "x string, y string").select(evaluation.churn("x", "y").alias("c")).collect()
+    assert [round(r.c, 3) for r in got] == [0.333, 0.0, 1.0, 0.4, 0.0]
