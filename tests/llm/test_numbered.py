@@ -638,6 +638,72 @@ def test_edited_passages(spark):
         assert len(found[i] - set(range(a - 5, b + 5))) == 0
 
 
+@pytest.mark.parametrize("rate", [0.03, 0.06, 0.10])
+def test_recall_of_edited_passages(spark, rate):
+    """Families of 2 to 40 copies of a passage, each copy edited by itself: nine in ten documents and words are found."""
+    r = random.Random(int(rate * 100))
+    pick = lambda n: [f"w{r.randrange(20_000)}" for _ in range(n)]
+    rows, place = [], {}
+    for _ in range(25):
+        base = pick(80)
+        for _ in range(r.choice([2, 3, 5, 12, 40])):
+            copy: list = []
+            for word in base:
+                u = r.random()
+                copy += pick(1) if u < 0.6 * rate else [] if u < 0.8 * rate else [word, *pick(1)] if u < rate else [word]
+            before = pick(r.randint(10, 150))
+            place[len(rows)] = (len(before), len(before) + len(copy))
+            rows.append((len(rows), " ".join(before + copy + pick(r.randint(10, 150)))))
+    found: dict[int, set] = {i: set() for i in place}
+    for p in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        found[p.doc_id] |= set(range(p.first_word, p.last_word))
+    inside = {i: len(found[i] & set(range(a, b))) for i, (a, b) in place.items()}
+    assert sum(n >= 0.7 * (place[i][1] - place[i][0]) for i, n in inside.items()) >= 0.9 * len(place)
+    assert sum(inside.values()) >= 0.9 * sum(b - a for a, b in place.values())
+    assert all(not found[i] - set(range(a - 5, b + 5)) for i, (a, b) in place.items())
+
+
+def test_passages_by_brute_force(spark, docs, texts):
+    """Every exact repeat of 50 words, in another text or 50 words on in its own, is covered; what is reported has the identity."""
+    r = random.Random(8)
+    pick = lambda n: [f"v{r.randrange(300)}" for _ in range(n)]
+    twice, phrase = pick(60), pick(30)
+    more = [(-1, " ".join(pick(20) + twice + pick(70) + twice + pick(20))), (-2, " ".join(pick(10) + twice[:52] + pick(5)))]
+    more += [(-10 - i, " ".join(pick(15) + phrase + pick(40) + phrase[:24] + pick(15))) for i in range(12)]
+    more += [(-30 - i, " ".join(pick(9) + phrase + twice[10:35] + pick(9))) for i in range(2)]
+    table = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    words = {}
+    for i, t in texts + more:
+        words.setdefault((i, t), [w for w in WORD.findall(lower(t or ""))])
+    where: dict = {}
+    for key, w in words.items():
+        for j in range(len(w) - 49):
+            where.setdefault(tuple(w[j : j + 50]), []).append((key, j))
+    need: dict = {key: set() for key in words}
+    for spots in where.values():
+        for key, j in spots:
+            if any(other != key or abs(k - j) >= 50 for other, k in spots):
+                need[key] |= set(range(j, j + 50))
+    found: dict = {}
+    for p in passages.repeated_passages(table).collect():
+        x, y = ({tuple(w): w for (i, _), w in words.items() if i == ident} for ident in (p.doc_id, p.other_doc_id))
+        spans = [(a[p.first_word : p.last_word], b[p.other_first_word : p.other_last_word]) for a in x.values() for b in y.values()]
+        assert any(len(a) >= 50 <= len(b) and p.identity >= 0.8 and p.n_match <= _subsequence(a, b) and p.identity == pytest.approx(p.n_match / max(len(a), len(b))) for a, b in spans)
+        assert p.doc_id != p.other_doc_id or len(x) > 1 or abs(p.first_word - p.other_first_word) >= 45
+        found.setdefault(p.doc_id, set()).update(range(p.first_word, p.last_word))
+    assert need[-1, more[0][1]] and need[-2, more[1][1]] and need[-30, more[-2][1]]
+    assert all(not n - found.get(i, set()) for (i, _), n in need.items())
+    assert all(i not in found for i in range(-21, -9))
+
+
+def test_ends_grow_while_they_gain():
+    x = np.arange(700)
+    y = np.where(np.arange(700) % 9 == 4, -5, x)
+    at_x, at_y, met, ran = passages.grow([x, x[:50], x[:0]], [np.append(y, np.full(90, -7)), np.append(x[:20], np.full(60, -7)), x[:5]])
+    # word 697 differs, and the two behind it do not make up for it
+    assert at_x.tolist() == at_y.tolist() == [697, 20, 0] and met.tolist() == [int((x == y)[:697].sum()), 20, 0] and ran.tolist() == [True, False, True]
+
+
 def test_exact_passage_whose_seeds_are_common(spark):
     r = random.Random(5)
     pick = lambda n: [f"w{r.randrange(50_000)}" for _ in range(n)]
