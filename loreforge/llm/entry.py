@@ -89,12 +89,36 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("byte_starts", "byte_ends")
 
 
+def op11_piece_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from loreforge.llm import pieces
+
+    return pieces.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loreforge.llm import periods
+
+    return periods.run_digests(_read(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loreforge.llm import audit
+
+    return audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_passages, op2_quality_gam, op3_rule_ledger, op4_licence_rules, op5_language_id, op6_token_shards, op7_entropy_mix, op8_simhash, op9_suffix_dedup, op10_decontaminate)}
+    found = (
+        op1_passages, op2_quality_gam, op3_rule_ledger, op4_licence_rules, op5_language_id, op6_token_shards, op7_entropy_mix, op8_simhash, op9_suffix_dedup, op10_decontaminate,
+        op11_piece_table, op12_periodic_runs, op13_filter_audit,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    """Scores, XXH64 fingerprints, hash-ordered copies, token ids and alignments have no SQL form; tests hold those against brute force."""
+    """Scores, XXH64 fingerprints, hash-ordered copies, token ids, alignments and runs have no SQL form; tests hold those against brute force."""
     from loreforge.llm import sql
 
-    return {"op3_rule_ledger": sql.OP3, "op4_licence_rules": sql.OP4, "op9_suffix_dedup": sql.OP9, "op10_decontaminate": sql.OP10}
+    return {"op3_rule_ledger": sql.OP3, "op4_licence_rules": sql.OP4, "op9_suffix_dedup": sql.OP9, "op10_decontaminate": sql.OP10, "op13_filter_audit": sql.OP13}

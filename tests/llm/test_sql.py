@@ -11,7 +11,7 @@ from loreforge.llm import entry
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query(spark, sf_dir, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     df = entry.queries()[name](spark, sf_dir)
     columns = sorted(df.columns)
@@ -23,4 +23,4 @@ def test_query(spark, sf_dir, name):
 
 
 def test_all_registered(spark, sf_dir):
-    assert [n.split("_")[0] for n in entry.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in entry.queries()] == [f"op{i}" for i in range(1, 14)]
