@@ -174,7 +174,7 @@ def cdc_append_dedup(read):
     table = cdc.shared(spark, "outbox")
     for _ in range(2):  # the second drain replays every change
         cdc.drain(_changes(_stream(read, "events")), table, cdc.shared(spark, "outbox-checkpoint"))
-    return spark.read.parquet(table).groupBy("op").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    return cdc.outbox(spark, table).groupBy("op").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
 @query("cdc_apply_latest", f"WITH {CH} SELECT record, op, payload FROM (SELECT *, row_number() OVER (PARTITION BY record ORDER BY tm DESC, id DESC) AS n FROM ch) WHERE n = 1 AND op <> 'DELETE'")

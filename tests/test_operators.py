@@ -184,7 +184,7 @@ def test_drain_is_idempotent(spark, tmp_path):
     table = str(tmp_path / "out")
     for i in range(2):
         cdc.drain(spark.readStream.schema(schema).parquet(source), table, str(tmp_path / f"c{i}"))
-    out = spark.read.parquet(table)
+    out = cdc.outbox(spark, table)
     assert out.count() == 3
     assert [(r.record, r.payload) for r in cdc.latest_state(out).collect()] == [(2, "b")]
 
