@@ -1,12 +1,15 @@
-"""Registered queries that keep state: machines over event streams, keyed and halting sinks."""
+"""Registered queries that keep state: machines over event streams, keyed and halting sinks, bundles, tables changed together."""
 
 from __future__ import annotations
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from loreforge.operators import decisions
 from loreforge.plans.etl import CH, _changes, _stream
 from loreforge.plans.registry import query
+from loreforge.sources import bundle_format
+from loreforge.sources import versions as V
 from loreforge.streaming import cdc, keyed
 
 #: Seconds by which events may come late.
@@ -102,3 +105,71 @@ def outbox_skip(read):
         cdc.drain(changes, root, cdc.shared(spark, "skipping-checkpoint"), F.expr(_BAD), "skip")
     both = cdc.outbox(spark, root).withColumn("dead", F.lit(False)).unionByName(cdc.outbox(spark, root, "dead").withColumn("dead", F.lit(True)))
     return both.groupBy("dead", "op").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.sum("id").alias("total"))
+
+
+@query("bundle_round_trip", """SELECT 'entities' AS kind, source || ': ' || lang || ' ' || doc_id // 1000 AS id, source, count(*)::VARCHAR AS n, string_agg(doc_id::VARCHAR || ' ' || sha256(coalesce(text, '')), E'\\n' ORDER BY doc_id) AS body FROM documents GROUP BY source, lang, doc_id // 1000""")
+def bundle_round_trip(read):
+    d = read("documents")
+    spark, path = d.sparkSession, cdc.shared(d.sparkSession, "bundle")
+    bundle_format.register(spark)
+    lines = F.array_sort(F.collect_list(F.struct("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(" "), F.sha2(F.coalesce("text", F.lit("")), 256)).alias("line"))))
+    rows = d.groupBy("source", "lang", F.expr("doc_id div 1000").alias("block")).agg(F.count("*").cast("string").alias("n"), lines.alias("lines")).select(
+        F.lit(None).cast("string").alias("path"), F.lit("entities").alias("kind"), F.concat("source", F.lit(": "), "lang", F.lit(" "), F.col("block").cast("string")).alias("id"),
+        F.create_map(F.lit("source"), "source", F.lit("n"), "n").alias("fields"), F.array_join("lines.line", "\n").alias("body"),
+    )
+    caps = {"maxEntries": 1 << 40, "maxBytes": 1 << 50}
+    rows.write.format("bundle").options(**caps).mode("overwrite").save(path)
+    back = spark.read.format("bundle").options(**caps).load(path)
+    return back.select("kind", "id", F.col("fields")["source"].alias("source"), F.col("fields")["n"].alias("n"), "body")
+
+
+#: Facts of parts, edges between parts ordered together with a part, and what comes in: parts of higher numbers, of which some are there.
+_WORLD = """facts AS (SELECT p_partkey AS id, p_brand AS entity, p_size > 40 AS dead FROM part), came AS (SELECT p_partkey + (SELECT count(*) // 2 FROM part) AS id, CASE p_brand WHEN 'Brand#5' THEN 'Brand#7' WHEN 'Brand#6' THEN 'Brand#7' ELSE p_brand END AS entity, p_size > 45 AS dead FROM part),
+ edges AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_linenumber = 1), more AS (SELECT DISTINCT l_partkey + (SELECT count(*) // 2 FROM part) AS src, l_suppkey AS dst FROM lineitem WHERE l_linenumber = 2)"""
+
+
+def _desk(read):
+    part, line = read("part"), read("lineitem")
+    half = F.lit(part.count() // 2)
+    fact = lambda rows, key, dead: rows.select(key.cast("string").alias("id"), F.col("p_brand").alias("entity"), F.col("p_name").alias("title"), F.col("p_type").alias("body"), F.when(F.col("p_size") < 20, "inferred").otherwise("stated").alias("kind"), F.when(dead, 1).cast("long").alias("deleted_at"))
+    edge = lambda rows, key: rows.select(key.cast("string").alias("src"), F.col("l_suppkey").cast("string").alias("dst"), F.lit("with").alias("type")).distinct()
+    spark = part.sparkSession
+    desk = decisions.Desk(V.Versions(spark, cdc.shared(spark, "desk")))
+    desk.put({
+        "facts": fact(part, F.col("p_partkey"), F.col("p_size") > 40), "edges": edge(line.where("l_linenumber = 1"), F.col("l_partkey")),
+        "evidence": line.select(F.col("l_partkey").cast("string").alias("fact"), F.col("l_orderkey").cast("string").alias("doc")).distinct(),
+        "redirects": spark.createDataFrame([("Brand#5", "Brand#6"), ("Brand#6", "Brand#7")], decisions.TABLES["redirects"]),
+    })
+    key = F.col("p_partkey") + half
+    incoming = {
+        "facts": fact(part, key, F.col("p_size") > 45), "edges": edge(line.where("l_linenumber = 2"), F.col("l_partkey") + half),
+        "evidence": spark.createDataFrame([], decisions.TABLES["evidence"]),
+    }
+    return desk, incoming
+
+
+@query("import_merge", f"""WITH {_WORLD}, fresh AS (SELECT * FROM came WHERE id NOT IN (SELECT id FROM facts)), after AS (SELECT * FROM facts UNION ALL SELECT * FROM fresh), live AS (SELECT id FROM after WHERE NOT dead),
+ kept AS (SELECT * FROM edges WHERE src IN (SELECT id FROM live) OR dst IN (SELECT id FROM live)), linked AS (SELECT * FROM more WHERE src IN (SELECT id FROM live) AND dst IN (SELECT id FROM live) AND (src, dst) NOT IN (SELECT (src, dst) FROM edges))
+ SELECT 'facts' AS name, entity AS key, count(*)::BIGINT AS n, count(*) FILTER (dead)::BIGINT AS other FROM after GROUP BY 2 UNION ALL SELECT 'edges', NULL, (SELECT count(*) FROM kept) + (SELECT count(*) FROM linked), (SELECT count(*) FROM linked)
+ UNION ALL SELECT 'changes', 'INSERT', count(*)::BIGINT, sum(id)::BIGINT FROM fresh""")
+def import_merge(read):
+    desk, incoming = _desk(read)
+    plan = desk.plan("import", lambda now: decisions.imported(now, incoming, "merge"))
+    desk.apply(plan)
+    now = desk.now()
+    facts = now["facts"].groupBy(F.lit("facts").alias("name"), F.col("entity").alias("key")).agg(F.count("*").alias("n"), F.count("deleted_at").alias("other"))
+    written = desk.report().where("table_name = 'edges' AND action = 'written'").first()["n"]
+    edges = now["edges"].agg(F.count("*").alias("n")).select(F.lit("edges").alias("name"), F.lit(None).cast("string").alias("key"), "n", F.lit(written).cast("long").alias("other"))
+    changes = now["changes"].groupBy(F.lit("changes").alias("name"), F.col("op").alias("key")).agg(F.count("*").alias("n"), F.sum(F.col("record").cast("long")).alias("other"))
+    return facts.union(edges).union(changes)
+
+
+@query("heal_cascade", f"""WITH {_WORLD}, gone AS (SELECT p_partkey AS id, p_brand AS entity FROM part WHERE p_size < 20 AND p_partkey IN (SELECT l_partkey FROM lineitem) AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')))
+ SELECT entity, count(*)::BIGINT AS healed, (SELECT count(*) FROM edges WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone))::BIGINT AS edges_left, (SELECT count(*) FROM gone)::BIGINT AS changes FROM gone GROUP BY 1""")
+def heal_cascade(read):
+    desk, _ = _desk(read)
+    docs = read("orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("string").alias("doc"))
+    desk.apply(desk.plan("heal", lambda now: decisions.healed(now, docs, 2, 0, bulk=True)))
+    now = desk.now()
+    edges_left, changes = now["edges"].count(), now["changes"].count()
+    return desk.report().select("entity", F.col("n").alias("healed"), F.lit(edges_left).cast("long").alias("edges_left"), F.lit(changes).cast("long").alias("changes"))
