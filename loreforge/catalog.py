@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loreforge.plans import registry
 
-for _name in ("retrieval", "graph", "curation", "etl", "surface", "commits", "answers", "streams"):
+for _name in ("retrieval", "graph", "curation", "etl", "surface", "commits", "answers", "streams", "structure"):
     importlib.import_module(f"loreforge.plans.{_name}")
 
 

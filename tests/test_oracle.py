@@ -51,10 +51,43 @@ def _churned(duck):
     return out
 
 
+def _elements(duck):
+    """Top-level elements of each page, found by a walk over its characters."""
+    out = []
+    for page, html in duck.execute("SELECT page_id, coalesce(html, '') FROM pages").fetchall():
+        cuts, depth, i = [0], 0, 0
+        while i < len(html):
+            if html.startswith("<!--", i):
+                end = html.find("-->", i + 4)
+                i = len(html) if end < 0 else end + 3
+            elif html[i] == "<":
+                kind, begin, quote, i = html[i + 1 : i + 2], i, "", i + 1
+                while i < len(html) and (quote or html[i] != ">"):
+                    if kind not in "!?/" and html[i] in "\"'":
+                        quote = html[i] if not quote else "" if quote == html[i] else quote
+                    i += 1
+                i += 1
+                closed = i <= len(html)
+                if kind not in "!?/":
+                    cuts += [begin] * (depth == 0)
+                    empty = closed and html[i - 2] == "/"
+                    depth += closed and not empty
+                    cuts += [i] * (empty and depth == 0)
+                elif kind == "/" and closed:
+                    depth -= 1
+                    cuts += [i] * (depth == 0)
+            else:
+                i += 1
+        pieces = [html[a:b].strip() for a, b in zip(cuts, [*cuts[1:], len(html)])]
+        out += [[page, hashlib.sha256(p.encode()).hexdigest(), n] for n, p in enumerate(p for p in pieces if p)]
+    return out
+
+
 #: Queries without SQL against the same rows made without Spark; the functions themselves are held against rows worked out by hand in test_operators.
 UNSQL = {
     "prose_chunks": _chunked(chunkers.prose), "fallback_chunks": _chunked(chunkers.fallback), "code_chunks": _chunked(chunkers.code_like), "yaml_chunks": _chunked(lambda t: chunkers.declarative(t, "yaml")),
     "embedding_windows": _chunked(lambda t: [(w, 0, 0, None, "window") for w in chunkers.windows(t)]), "word_churn": _churned,
+    "page_elements": _elements,
     "python_references": lambda duck: [[d, kind, name] for (d,) in duck.execute("SELECT doc_id FROM documents").fetchall() for name, kind in (("os", "import"), (f"g{d % 7}", "call"), ("getcwd", "call"))],
 }
 
