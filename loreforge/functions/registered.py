@@ -8,7 +8,8 @@ count.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -43,19 +44,14 @@ def register_age_days(spark: SparkSession, rules: DataFrame, roots: Sequence[str
 
 
 def register_mean_vector(spark: SparkSession, name: str = "mean_vector") -> None:
-    """Register the aggregate ``name(vector)``; a group is summed batch by batch."""
+    """Register the aggregate ``name(vector)``; a group is one task's, so for keys with very many rows take ``mean_vectors``."""
 
     @pandas_udf("array<double>")
-    def mean(batches: Iterator[pd.Series]) -> list[float] | None:
-        total, n = None, 0
-        for batch in batches:
-            vectors = [np.asarray(v, np.float64) for v in batch if v is not None]
-            for v in vectors:
-                if total is not None and len(v) != len(total):
-                    return None
-                total = v.copy() if total is None else total + v
-            n += len(vectors)
-        return None if total is None else list(total / n)
+    def mean(vectors: pd.Series) -> Any:
+        known = [v for v in vectors if v is not None]
+        if not known or any(len(v) != len(known[0]) for v in known):
+            return None
+        return np.mean(np.array(known, np.float64), axis=0).tolist()
 
     spark.udf.register(name, mean)
 
@@ -75,6 +71,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(x)`` with ``x`` computed once, however often it is used."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def wrapped_sum(a: Column, b: Column) -> Column:
     """Sum of two longs modulo 2**64, which does not overflow under ANSI rules."""
     low = a.bitwiseAND(F.lit(_LOW)) + b.bitwiseAND(F.lit(_LOW))
@@ -84,6 +85,10 @@ def wrapped_sum(a: Column, b: Column) -> Column:
 
 def wrapped_product(a: Column, by: int) -> Column:
     """Product of a long and a constant modulo 2**64, in limbs of 16 bits."""
+    return let(a, lambda x: _product(x, by))
+
+
+def _product(a: Column, by: int) -> Column:
     limb = [F.shiftrightunsigned(a, 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
     const = [by >> 16 * i & 0xFFFF for i in range(4)]
     out, carry = F.lit(0).cast("long"), F.lit(0).cast("long")
@@ -103,10 +108,9 @@ GOLDEN, FIRST, SECOND = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111
 def splitmix64(seed: int, nth: Column) -> Column:
     """The ``nth`` draw (from 1) of the generator that starts at ``seed``, as a long with the bits of the unsigned value."""
     nth = nth.cast("long")
-    z = wrapped_sum(F.lit(_signed(seed)).cast("long"), wrapped_product(nth, GOLDEN))
-    for shift, by in ((30, FIRST), (27, SECOND)):
-        z = wrapped_product(z.bitwiseXOR(F.shiftrightunsigned(z, shift)), by)
-    return z.bitwiseXOR(F.shiftrightunsigned(z, 31))
+    folded = lambda z, shift: let(z, lambda x: x.bitwiseXOR(F.shiftrightunsigned(x, shift)))
+    z = let(wrapped_product(nth, GOLDEN), lambda x: wrapped_sum(F.lit(_signed(seed)).cast("long"), x))
+    return folded(wrapped_product(folded(wrapped_product(folded(z, 30), FIRST), 27), SECOND), 31)
 
 
 def unsigned_order(x: Column) -> Column:
