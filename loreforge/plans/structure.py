@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loreforge.functions import depth, registered
+from loreforge.operators import records
 from loreforge.plans.registry import query
 
 #: Conversations as JSON arrays on one line, made alike in both forms.
@@ -59,3 +60,30 @@ _WRAP = "% 18446744073709551616::UHUGEINT"
  d AS (SELECT quality, doc_id, xor(x::UBIGINT, x::UBIGINT >> 31) AS draw FROM c) SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY draw, doc_id) <= count(*) OVER (PARTITION BY quality) // 2 AS held_out FROM d""")
 def seeded_halves(read):
     return registered.shuffled_halves(read("labels").select("doc_id", "quality"), "quality", "doc_id", 42)
+
+
+#: Tasks are open orders; shipped lines act on them, and closed orders are created if their customer has money.
+_ACTIONS = """t AS (SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'O'), live AS (SELECT c_custkey FROM customer WHERE c_acctbal > 0),
+ made AS (SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F' AND o_custkey IN (SELECT c_custkey FROM live)), raw AS (SELECT l_orderkey AS id, l_linenumber AS nth, CASE WHEN l_returnflag = 'A' AND l_quantity > 25 THEN 'archive' ELSE 'status' END AS action,
+ CASE WHEN l_linestatus = 'F' THEN 'done' ELSE 'pending' END AS status FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('O', 'F'))),
+ acts AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY nth, action, status) AS rn FROM raw)"""
+
+
+@query("task_commits", f"""WITH {_ACTIONS}, known AS (SELECT id, 0 AS base FROM t UNION ALL SELECT id, 1 FROM made), ends AS (SELECT id, min(rn) AS stop FROM acts WHERE action = 'archive' GROUP BY 1),
+ taken AS (SELECT a.*, k.base FROM acts a JOIN known k USING (id) LEFT JOIN ends e USING (id) WHERE e.stop IS NULL OR a.rn <= e.stop),
+ last AS (SELECT id, arg_max(status, rn) AS status FROM taken WHERE action = 'status' GROUP BY 1), n AS (SELECT id, count(*) AS n FROM taken GROUP BY 1)
+ SELECT k.id::VARCHAR AS id, coalesce(last.status, 'pending') AS status, e.stop IS NOT NULL AS archived, (coalesce(n.n, 0) + k.base)::BIGINT AS changes FROM known k LEFT JOIN last USING (id) LEFT JOIN ends e USING (id) LEFT JOIN n USING (id)""")
+def task_commits(read):
+    o, line, c = read("orders").where("o_orderstatus IN ('O', 'F')"), read("lineitem"), read("customer")
+    key = lambda name: F.col(name).cast("string")
+    none = lambda kind: F.lit(None).cast(kind)
+    tasks = o.where("o_orderstatus = 'O'").select(key("o_orderkey").alias("id"), key("o_custkey").alias("entity"), F.col("o_orderpriority").alias("description"), F.lit("pending").alias("status"), *(F.lit(n).cast("long").alias(x) for x, n in (("priority", 0), ("created_at", 1), ("updated_at", 1), ("resolved_at", None), ("deleted_at", None))))
+    entities = c.select(key("c_custkey").alias("id"), F.when(F.col("c_acctbal") <= 0, 1).cast("long").alias("deleted_at"))
+    create = o.where("o_orderstatus = 'F'").select(key("o_orderkey").alias("id"), F.lit(-1).alias("nth"), F.lit("create").alias("action"), key("o_custkey").alias("entity"), F.col("o_orderpriority").alias("description"), none("string").alias("status"))
+    act = F.when((F.col("l_returnflag") == "A") & (F.col("l_quantity") > 25), "archive").otherwise("status")
+    acts = line.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select(key("l_orderkey").alias("id"), F.col("l_linenumber").alias("nth"), act.alias("action"), none("string").alias("entity"), none("string").alias("description"), F.when(F.col("l_linestatus") == "F", "done").otherwise("pending").alias("status"))
+    actions = create.union(acts).withColumn("at", (F.col("nth") + 100).cast("long"))
+    redirects = read("region").sparkSession.createDataFrame([], "id string, into string")
+    after, changes, _ = records.committed_tasks(tasks, entities, redirects, actions)
+    counts = changes.groupBy(F.col("record").alias("id")).agg(F.count("*").alias("changes"))
+    return after.join(counts, "id", "left").select("id", "status", F.col("deleted_at").isNotNull().alias("archived"), F.coalesce("changes", F.lit(0).cast("long")).alias("changes"))
