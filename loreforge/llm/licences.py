@@ -5,7 +5,9 @@ digits one space) and cut into parts at line breaks, blank lines and sentence
 ends; lines of comment marks alone count as blank.  A known sentence begins where
 a part begins, goes on over any number of wrapped lines, though not over a blank
 line or a sentence end, and ends where a part ends; of several the longest is
-taken, and a list mark such as ``1.`` or ``(b)`` may stand before it.  Known
+taken, and a list mark such as ``1.`` or ``(b)`` may stand before it.  A slot of a known
+sentence holds one to eight words, such as the name of a holder.  A tag of markup ends a
+part.  Known
 sentences have identifiers, and those found, in order, make a sequence.  A rule
 is an ordered list of identifiers; it matches where they occur in that order with
 at most ``gap`` unknown parts between two of them.  A match gives way to a longer
@@ -28,6 +30,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
+from itertools import permutations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,12 +39,16 @@ from loreforge.llm.session import id_and_text
 
 #: Between parts: a line that may be wrapped, and the end of a sentence or a block.
 LINE, STOP = "\n", "\x01"
+#: In a known sentence: one to eight words of any kind, such as a name.
+SLOT = "§"
+#: How a sentence with a slot is found again once it holds words: what stands around them.
+SLOTS: tuple[tuple[str, str], ...] = (("neither the name of ", " nor the names of its contributors may"), ("the name of ", " may not be used to endorse"), ("", " is free software you can redistribute it"))
 
 
 def parts_of(text: str) -> list[str]:
     """The sentences of an unwrapped notice, normalised."""
     text = re.sub(r"(?<=[.!?])(?<!\sv\.)\s+|\n\s*\n", STOP, text.lower())
-    return [s for s in (re.sub(r"[\W_]+", " ", part).strip() for part in text.split(STOP)) if s]
+    return [s for s in (re.sub(rf"[^\w{SLOT}]+|_+", " ", part).strip() for part in text.split(STOP)) if s]
 
 
 @dataclass(frozen=True)
@@ -53,21 +60,36 @@ class LicenceRule:
     sentences: tuple[str, ...]
 
 
+def _granted(name: str) -> tuple[str, ...]:
+    """Forms of a grant under a licence."""
+    heads = ("Released under the", "Licensed under the", "Released under the terms of the", "Licensed under the terms of the", "This project is licensed under the terms of the", "Distributed under the")
+    ends = ("", " see LICENSE", " see LICENSE for details", " see the LICENSE file", " see the LICENSE file for details")
+    return tuple(f"{head} {name}{end}" for head in heads for end in ends)
+
+
 #: One-line statements: identifier, licence, name of the rule, forms.
 STATEMENTS: tuple[tuple[str, str, str, tuple[str, ...]], ...] = (
-    ("mit-grant", "MIT", "mit-short", ("Released under the MIT License", "Licensed under the MIT License", "This project is licensed under the MIT License")),
-    ("apache-2-grant", "Apache-2.0", "apache-short", ("Licensed under the Apache License Version 2 0", "Released under the Apache License Version 2 0", "Licensed under the Apache License 2 0")),
-    ("gpl-3-grant", "GPL-3.0", "gpl-3-short", ("This work is licensed under the GNU General Public License version 3", "Licensed under the GNU General Public License version 3", "Released under the GNU General Public License version 3")),
-    ("gpl-2-grant", "GPL-2.0", "gpl-2-short", ("This work is licensed under the GNU General Public License version 2", "Licensed under the GNU General Public License version 2", "Released under the GNU General Public License version 2")),
-    ("bsd-2-grant", "BSD-2-Clause", "bsd-2-short", ("Released under the BSD 2 Clause License", "Licensed under the BSD 2 Clause License")),
-    ("bsd-3-grant", "BSD-3-Clause", "bsd-3-short", ("Released under the BSD 3 Clause License", "Licensed under the BSD 3 Clause License")),
-    ("isc-grant", "ISC", "isc-short", ("Released under the ISC License", "Licensed under the ISC License")),
-    ("mpl-2-grant", "MPL-2.0", "mpl-2-short", ("Released under the Mozilla Public License Version 2 0", "Licensed under the Mozilla Public License Version 2 0")),
+    ("mit-grant", "MIT", "mit-short", _granted("MIT License") + ("This project is licensed under the MIT License",)),
+    ("mit-title", "MIT", "mit-title", ("The MIT License", "The MIT License MIT")),
+    ("apache-2-grant", "Apache-2.0", "apache-short", _granted("Apache License Version 2 0") + _granted("Apache License 2 0")),
+    ("apache-2-title", "Apache-2.0", "apache-title", ("Apache License Version 2 0 January 2004",)),
+    ("gpl-3-title", "GPL-3.0", "gpl-3-title", ("GNU General Public License Version 3 29 June 2007",)),
+    ("gpl-2-title", "GPL-2.0", "gpl-2-title", ("GNU General Public License Version 2 June 1991",)),
+    ("lgpl-3-title", "LGPL-3.0", "lgpl-3-title", ("GNU Lesser General Public License Version 3 29 June 2007",)),
+    ("lgpl-2-title", "LGPL-2.1", "lgpl-2-title", ("GNU Lesser General Public License Version 2 1 February 1999",)),
+    ("agpl-3-title", "AGPL-3.0", "agpl-3-title", ("GNU Affero General Public License Version 3 19 November 2007",)),
+    ("gpl-3-grant", "GPL-3.0", "gpl-3-short", _granted("GNU General Public License version 3") + ("This work is licensed under the GNU General Public License version 3",)),
+    ("gpl-2-grant", "GPL-2.0", "gpl-2-short", _granted("GNU General Public License version 2") + ("This work is licensed under the GNU General Public License version 2",)),
+    ("bsd-2-grant", "BSD-2-Clause", "bsd-2-short", _granted("BSD 2 Clause License")),
+    ("bsd-3-grant", "BSD-3-Clause", "bsd-3-short", _granted("BSD 3 Clause License")),
+    ("isc-grant", "ISC", "isc-short", _granted("ISC License")),
+    ("mpl-2-grant", "MPL-2.0", "mpl-2-short", _granted("Mozilla Public License Version 2 0")),
     *(
-        (f"cc-{kind}-4-grant", f"CC-{kind.upper()}-4.0", f"cc-{kind}-short", (
-            f"Licensed under CC {kind} 4 0", f"This work is licensed under CC {kind} 4 0", f"This work is licensed under a Creative Commons {name} 4 0 International License",
-            f"This work is licensed under the Creative Commons {name} 4 0 International License", f"This work is licensed under Creative Commons {name} 4 0 International",
+        (f"cc-{kind}-{v}-grant", f"CC-{kind.upper()}-{v}.0", f"cc-{kind}-short" if v == 4 else f"cc-{kind}-{v}-short", (
+            f"Licensed under CC {kind} {v} 0", f"This work is licensed under CC {kind} {v} 0",
+            *(f"This work is licensed under {a}Creative Commons {name} {v} 0{z}" for a in ("", "a ", "the ") for z in ("", " License", f" {where}", f" {where} License")),
         ))
+        for v, where in ((4, "International"), (3, "Unported"))
         for kind, name in (("by", "Attribution"), ("by-sa", "Attribution ShareAlike"), ("by-nc", "Attribution NonCommercial"), ("by-nd", "Attribution NoDerivatives"), ("by-nc-sa", "Attribution NonCommercial ShareAlike"), ("by-nc-nd", "Attribution NonCommercial NoDerivatives"))
     ),
     ("cc0-grant", "CC0-1.0", "cc0-short", ("Licensed under CC0 1 0", "This work is licensed under CC0 1 0", "This work is dedicated to the public domain under CC0 1 0", "To the extent possible under law the author has waived all copyright and related or neighboring rights to this work")),
@@ -82,6 +104,9 @@ SPDX: dict[str, str] = {
     **{f"{kind}-{v}{end}": f"{kind}-{v}" for kind, v in (("GPL", "2.0"), ("GPL", "3.0"), ("LGPL", "2.1"), ("LGPL", "3.0"), ("AGPL", "3.0")) for end in ("", "-only", "-or-later", "+")},
 }
 
+#: Names that are joined by OR and AND.
+JOINED: tuple[str, ...] = ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "MPL-2.0", "GPL-2.0-or-later", "GPL-3.0-or-later", "Unlicense", "CC0-1.0")
+
 _AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
 _LIABLE = """IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"""
@@ -115,7 +140,7 @@ NOTICES: dict[str, tuple[str, tuple[tuple[str, ...], ...]]] = {
     )),
     "mit-0": ("MIT-0", ((_MIT + ".",), (_AS_IS,))),
     "bsd-2": ("BSD-2-Clause", ((_BSD,),)),
-    "bsd-3": ("BSD-3-Clause", ((_BSD,), tuple(_BSD_NAME.format(who) for who in ("the copyright holder", "the copyright holders", "the author", "the authors", "the project", "the organization", "the <organization>", "the university", "copyright holder"))), ),
+    "bsd-3": ("BSD-3-Clause", ((_BSD,), (_BSD_NAME.format(SLOT), f"The name of {SLOT} may not be used to endorse or promote products derived from this software without specific prior written permission."))),
     "isc": ("ISC", (tuple(_ISC.format(join) + ", provided that the above copyright notice and this permission notice appear in all copies." for join in ("and/or", "and")),)),
     "isc-full": ("ISC", (tuple(_ISC.format(join) + ", provided that the above copyright notice and this permission notice appear in all copies." for join in ("and/or", "and")), (_ISC_AS_IS,))),
     "0bsd": ("0BSD", (tuple(_ISC.format(join) + "." for join in ("and/or", "and")), (_ISC_AS_IS,))),
@@ -124,7 +149,7 @@ NOTICES: dict[str, tuple[str, tuple[tuple[str, ...], ...]]] = {
     "apache-one-line": ("Apache-2.0", ((_APACHE,), ("You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"))),
     "apache-header": ("Apache-2.0", (("Licensed under the Apache License, Version 2.0",), ("you may not use this file except in compliance with the License.",), ("You may obtain a copy of the License at",))),
     **{
-        f"{kind.lower()}-{v}-{i}": (f"{kind}-{v}", (tuple(f"This {what} is free software: you can redistribute it and/or modify it under the terms of " + form.format(name=_GNU[kind], v=v.removesuffix(".0")) for what in ("program", "library", "file", "software")),))
+        f"{kind.lower()}-{v}-{i}": (f"{kind}-{v}", ((f"{SLOT} is free software: you can redistribute it and/or modify it under the terms of " + form.format(name=_GNU[kind], v=v.removesuffix(".0")),),))
         for kind, v in (("GPL", "2.0"), ("GPL", "3.0"), ("LGPL", "2.1"), ("LGPL", "3.0"), ("AGPL", "3.0")) for i, form in enumerate(_GNU_FORMS)
     },
     "mpl-2": ("MPL-2.0", (("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, Version 2.0."),)),
@@ -150,6 +175,11 @@ def _notice_rules() -> tuple[dict[str, str], list[LicenceRule]]:
         name = f"spdx-{tag.lower()}"
         ids.setdefault(f"spdx license identifier {' '.join(parts_of(tag))}", name)
         rules.append(LicenceRule(name, licence, (ids[f"spdx license identifier {' '.join(parts_of(tag))}"],)))
+    for a, b in permutations(JOINED, 2):
+        for join in ("or", "and"):
+            name = f"spdx-{a.lower()}-{join}-{b.lower()}"
+            ids[f"spdx license identifier {parts_of(a)[0]} {join} {parts_of(b)[0]}"] = name
+            rules += [LicenceRule(name, SPDX[tag], (name,)) for tag in (a, b)]
     for name, (licence, stretches) in NOTICES.items():
         sequences: list[tuple[str, ...]] = [()]
         for i, alternatives in enumerate(stretches):
@@ -171,10 +201,14 @@ KEYS: tuple[str, ...] = ("licen", "permission", "redistribution", "warrant", "ri
 
 def keys_of(known: Iterable[str], keys: Sequence[str] = KEYS) -> list[str]:
     """The key words that the sentences need, so that each of them holds one."""
-    own = [max(s.split(" "), key=len) for s in known if not any(k in s for k in keys)]
+    own = [max((w for w in s.split(" ") if w != SLOT), key=len) for s in known if not any(k in s for k in keys)]
     return sorted({*(k for k in keys if any(k in s for s in known)), *own})
 
 
+#: What a slot may hold: words, over wrapped lines.
+_ANY = rf"[\p{{L}}\p{{N}}]+(?:[ {LINE}][\p{{L}}\p{{N}}]+){{0,7}}?"
+
+
 def pattern_of(known: Iterable[str]) -> str:
     """A pattern, branching word by word, whose matches are the parts of a normalised text; its group is a known sentence."""
     tree: dict = {}
@@ -186,20 +220,21 @@ def pattern_of(known: Iterable[str]) -> str:
 
     def branch(node: dict) -> str:
         """What may follow a word, the longer before the shorter."""
-        words = sorted(w for w in node if w)
-        ways = [re.escape(w) + branch(node[w]) for w in words]
+        words = sorted((w for w in node if w), key=lambda w: (w == SLOT, w))
+        ways = [(_ANY if w == SLOT else re.escape(w)) + branch(node[w]) for w in words]
         if not ways:
             return ""
         one = f"[ {LINE}]" + ways[0] if len(ways) == 1 else f"[ {LINE}](?:{'|'.join(ways)})"
         return f"(?:{one})?" if "" in node else one
 
-    heads = "|".join(re.escape(w) + branch(tree[w]) for w in sorted(tree))
+    heads = "|".join((_ANY if w == SLOT else re.escape(w)) + branch(tree[w]) for w in sorted(tree, key=lambda w: (w == SLOT, w)))
     return rf"(?:[\p{{L}}\p{{N}}]{{1,2}} )?({heads})(?=[{LINE}{STOP}]|\z)|[^{LINE}{STOP}]+"
 
 
 def normalised(low: Column) -> Column:
     """Letters and digits of a lower-case text, LINE between lines, STOP between sentences and blocks."""
-    out = F.regexp_replace(low, r"(?<=[.!?])(?<!\sv\.)[\x20\x09-\x0D]+", STOP)
+    out = F.regexp_replace(low, r"</?[a-z][a-z0-9]*(?:\s[^<>]*)?/?>", STOP)
+    out = F.regexp_replace(out, r"(?<=[.!?])(?<!\s(?:v|inc|corp|co|ltd)\.)[\x20\x09-\x0D]+", STOP)
     out = F.regexp_replace(out, rf"[^\p{{L}}\p{{N}}{LINE}{STOP}]+", " ")
     out = F.regexp_replace(out, rf" *{LINE} *", LINE)
     return F.regexp_replace(out, rf"[ {LINE}]*{STOP}[ {LINE}{STOP}]*|{LINE}{LINE}+", STOP)
@@ -208,7 +243,14 @@ def normalised(low: Column) -> Column:
 def parts(low: Column, known: Mapping[str, str]) -> Column:
     """The parts of a lower-case text in order: the known sentence, or an empty string."""
     found = F.regexp_extract_all(F.trim(normalised(low)), F.lit(pattern_of(known)), 1)
-    return F.transform(found, lambda p: F.translate(p, LINE, " "))
+
+    def plain(part: Column) -> Column:
+        out = F.translate(part, LINE, " ")
+        for before, after in SLOTS:
+            out = F.regexp_replace(out, f"^{before}.+?{after}", f"{before}{SLOT}{after}")
+        return out
+
+    return F.transform(found, plain)
 
 
 def scan(docs: DataFrame, known: Mapping[str, str] = SENTENCES, rules: Sequence[LicenceRule] = RULES, gap: int = 2) -> DataFrame:
