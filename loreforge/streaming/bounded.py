@@ -59,7 +59,7 @@ def watched(query: StreamingQuery, write: Callable[[str], None], seconds: float
     streams.addListener(lines)
     try:
         while (left := ended - time.monotonic()) > 0:
-            if query.awaitTermination(min(left, 0.2)):
+            if query.awaitTermination(max(min(left, 0.2), 0.01)):
                 reason = "done"
                 break
             if batches is not None and lines.batches >= batches:
