@@ -32,6 +32,24 @@ def link(chunks: DataFrame) -> DataFrame:
     return refs.join(defs, ["entity", "key"]).where("src != dst").select("src", "dst", "rel").distinct()
 
 
+def relinked(edges: DataFrame, chunks: DataFrame, entities: DataFrame, since: int) -> DataFrame:
+    """Edges (src, dst, rel, symbol, entity) after one pass of the linker over some entities.
+
+    Of these entities, edges go whose source chunk was ``indexed`` at ``since`` or later;
+    then all references are resolved anew and put in place of edges with the same source,
+    target and type.  Edges of chunks that are no longer there go whatever their entity;
+    edges of other entities stay.  ``chunks`` is as for ``link``, with ``indexed``.
+    """
+    own = entities.select("entity").distinct()
+    within = chunks.join(own, "entity", "left_semi")
+    stale = within.where(F.col("indexed") >= since).select(F.col("id").alias("src"), "entity")
+    ids = chunks.select("id").distinct()
+    kept = edges.join(stale, ["src", "entity"], "left_anti").join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
+    named = within.select(F.col("id").alias("src"), F.lower(F.trim("symbol")).alias("symbol"), "entity")
+    fresh = link(within).join(named, "src").select("src", "dst", "rel", "symbol", "entity")
+    return kept.join(fresh.select("src", "dst", "rel"), ["src", "dst", "rel"], "left_anti").select("src", "dst", "rel", "symbol", "entity").unionByName(fresh)
+
+
 def reach(edges: DataFrame, roots: DataFrame, hops: int, out: bool = True) -> DataFrame:
     """Nodes within ``hops`` of the roots with the least depth and, of the edges at that depth, CALLS before IMPORTS.
 

@@ -62,6 +62,23 @@ def linker_self_join(read):
     return G.link(chunks)
 
 
+@query("linker_pass", """WITH c AS (SELECT p_partkey AS id, p_brand AS entity, p_partkey % 3 = 0 AS is_def, lower(trim(split_part(p_name, ' ', 1))) AS w, p_partkey % 5 = 0 AS imp, p_size AS indexed FROM part),
+ old AS (SELECT DISTINCT l_partkey AS src, l_suppkey * 21 AS dst, 'CALLS' AS rel, 'old' AS symbol, p_brand AS entity FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 3),
+ new AS (SELECT DISTINCT r.id AS src, d.id AS dst, CASE WHEN r.imp THEN 'IMPORTS' ELSE 'CALLS' END AS rel, r.w AS symbol, r.entity FROM c r JOIN c d ON d.is_def AND NOT r.is_def AND r.entity = d.entity AND r.w = d.w WHERE r.entity NOT LIKE '%3')
+ SELECT * FROM new UNION ALL SELECT * FROM old WHERE dst IN (SELECT id FROM c) AND NOT (entity NOT LIKE '%3' AND src IN (SELECT id FROM c WHERE indexed >= 30)) AND (src, dst, rel) NOT IN (SELECT (src, dst, rel) FROM new)""")
+def linker_pass(read):
+    word, is_def = F.split("p_name", " ")[0], F.col("p_partkey") % 3 == 0
+    part = read("part")
+    chunks = part.select(
+        F.col("p_partkey").alias("id"), F.col("p_brand").alias("entity"), F.when(~is_def, F.concat(F.lit(" "), F.upper(word))).alias("symbol"),
+        F.when(is_def, F.lower(F.trim(word))).alias("defined"), F.when(F.col("p_partkey") % 5 == 0, "import").otherwise("ast").alias("strategy"), F.col("p_size").alias("indexed"),
+    )
+    edges = read("lineitem").where("l_linenumber = 3").join(part, F.col("p_partkey") == F.col("l_partkey")).select(
+        F.col("l_partkey").alias("src"), (F.col("l_suppkey") * 21).alias("dst"), F.lit("CALLS").alias("rel"), F.lit("old").alias("symbol"), F.col("p_brand").alias("entity")
+    ).distinct()
+    return G.relinked(edges, chunks, part.where("p_brand NOT LIKE '%3'").select(F.col("p_brand").alias("entity")), 30)
+
+
 @query("entities_needing_link", "SELECT DISTINCT p_brand AS entity FROM part WHERE p_partkey % 3 <> 0")
 def entities_needing_link(read):
     return read("part").where("p_partkey % 3 <> 0").select(F.col("p_brand").alias("entity")).distinct()

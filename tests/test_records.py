@@ -7,6 +7,7 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
+from loreforge.operators import graph as G
 from loreforge.operators import records as R
 
 
@@ -78,3 +79,14 @@ def test_glob(spark):
 def test_schema_probe(spark):
     rows = spark.createDataFrame([], "Scheme string, v int")
     assert R.has_columns(rows, "scheme", "V") and not R.has_columns(rows, "scheme", "w") and R.has_columns(rows)
+
+
+def test_linker_pass(spark):
+    """Chunk 1 refers to 2 and was indexed anew, 3 was not; 9 is gone; entity f is left alone."""
+    frame = spark.createDataFrame
+    chunks = frame([(1, "e", " Foo", None, "ast", 20), (2, "e", None, "foo", "ast", 5), (3, "e", "bar", None, "import", 5), (4, "e", None, "bar", "ast", 5), (5, "f", "foo", None, "ast", 30)], "id long, entity string, symbol string, defined string, strategy string, indexed long")
+    edges = frame([(1, 4, "CALLS", "was", "e"), (3, 4, "IMPORTS", "old name", "e"), (3, 2, "CALLS", "kept", "e"), (3, 9, "CALLS", "gone", "e"), (5, 2, "CALLS", "other", "f")], "src long, dst long, rel string, symbol string, entity string")
+    got = plain(G.relinked(edges, chunks, frame([("e",), ("e",)], "entity string"), 10))
+    assert got == [(1, 2, "CALLS", "foo", "e"), (3, 2, "CALLS", "kept", "e"), (3, 4, "IMPORTS", "bar", "e"), (5, 2, "CALLS", "other", "f")]
+    again = G.relinked(frame(got, edges.schema), chunks, frame([("e",)], "entity string"), 10)
+    assert plain(again) == got
