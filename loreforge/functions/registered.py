@@ -1,4 +1,4 @@
-"""Functions for ``spark.sql`` text: a folder's age limit from a snapshot of settings, and the mean of vectors.
+"""Functions for ``spark.sql`` text: a folder's age limit from a snapshot of settings or a table of them, and the mean of vectors.
 
 Defined results: a path below none of the roots, or in no folder with a limit, has a null
 limit; of several rules the deepest folder holds, of equally deep ones the larger limit.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
-#: Rules that a snapshot may hold; they are part of every plan that uses the function.
+#: Rules that a snapshot may hold; they are part of every plan that uses the function.  ``age_days`` takes any number.
 MOST_RULES = 10_000
 
 
@@ -36,13 +36,36 @@ def register_age_days(spark: SparkSession, rules: DataFrame, roots: Sequence[str
     if len(rows) > MOST_RULES:
         raise ValueError(f"a snapshot holds at most {MOST_RULES} rules")
     known = ", ".join(f"named_struct('folder', {_quoted(r['folder'].strip('/'))}, 'days', {int(r['days'])})" for r in sorted(rows))
-    below = " ".join(f"WHEN startswith(path, {_quoted(root.rstrip('/') + '/')}) THEN substring(path, {len(root.rstrip('/')) + 2})" for root in roots)
     snapshot = f"array({known})" if rows else "cast(array() AS array<struct<folder: string, days: int>>)"
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(path STRING) RETURNS INT RETURN array_max(transform(filter(
-        transform({snapshot}, r -> named_struct('rel', CASE {below} END, 'folder', r.folder, 'days', r.days)),
+        transform({snapshot}, r -> named_struct('rel', {_relative(roots)}, 'folder', r.folder, 'days', r.days)),
         r -> r.rel = r.folder OR startswith(r.rel, r.folder || '/') OR (r.folder = '' AND r.rel IS NOT NULL)), r -> named_struct('depth', length(r.folder), 'days', r.days))).days""")
 
 
+def _relative(roots: Sequence[str]) -> str:
+    """SQL for ``path`` below the first of the roots that it lies in; null below none."""
+    return "CASE " + " ".join(f"WHEN startswith(path, {_quoted(root.rstrip('/') + '/')}) THEN substring(path, {len(root.rstrip('/')) + 2})" for root in roots) + " END"
+
+
+def register_folders_above(spark: SparkSession, roots: Sequence[str], name: str = "folders_above") -> None:
+    """Register ``name(path)``, every folder below the roots that a path lies in, the path itself and the root ('') included."""
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(path STRING) RETURNS ARRAY<STRING> RETURN array_distinct(concat(array(''),
+        transform(sequence(1, size(split({_relative(roots)}, '/', -1))), n -> array_join(slice(split({_relative(roots)}, '/', -1), 1, n), '/'))))""")
+
+
+def age_days(paths: DataFrame, rules: DataFrame, roots: Sequence[str], path: str = "path") -> DataFrame:
+    """``paths`` with ``days``, as the function of ``register_age_days`` gives it, for any number of rules: they are met by an equi-join on folders."""
+    spark = paths.sparkSession
+    register_folders_above(spark, roots)
+    named = rules.dropna(subset=["folder", "days"]).select(F.regexp_replace("folder", "^/+|/+$", "").alias("folder"), F.col("days").cast("int").alias("days"))
+    limits = spark.sql(
+        """WITH d AS (SELECT DISTINCT path FROM {p} WHERE path IS NOT NULL), r AS (SELECT folder, max(days) AS days FROM {rules} GROUP BY folder),
+        f AS (SELECT path, folders_above(path) AS folders FROM d), a AS (SELECT path, explode(folders) AS folder FROM f) SELECT path AS `_path`, max_by(days, length(folder)) AS `_days` FROM a JOIN r USING (folder) GROUP BY path""",
+        p=paths.select(F.col(path).alias("path")), rules=named,
+    )
+    return paths.join(limits, F.col(path) == F.col("_path"), "left").drop("_path").withColumnRenamed("_days", "days")
+
+
 def register_mean_vector(spark: SparkSession, name: str = "mean_vector") -> None:
     """Register the aggregate ``name(vector)``; a group is one task's, so for keys with very many rows take ``mean_vectors``."""
 

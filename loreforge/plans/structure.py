@@ -37,9 +37,8 @@ def age_days_sql(read):
     s, d = read("supplier"), read("documents")
     folder = F.concat(F.lit("src"), F.col("s_suppkey").cast("string"))
     rules = s.where("s_suppkey % 3 = 0").select(folder.alias("folder"), F.col("s_nationkey").alias("days")).union(s.where("s_suppkey % 2 = 0").select(F.concat(folder, F.lit("/en")), F.col("s_nationkey") + 40))
-    registered.register_age_days(d.sparkSession, rules, ["/vault", "/alias/vault"])
     path = F.when(F.col("doc_id") % 2 == 0, "/vault/").otherwise("/alias/vault/")
-    return d.sparkSession.sql("SELECT doc_id, folder_age_days(path) AS days FROM {p}", p=d.select("doc_id", F.concat(path, "source", F.lit("/"), "lang").alias("path")))
+    return registered.age_days(d.select("doc_id", F.concat(path, "source", F.lit("/"), "lang").alias("path")), rules, ["/vault", "/alias/vault"]).select("doc_id", "days")
 
 
 @query("mean_vector_sql", """SELECT key, (i - 1)::INT AS idx, round(avg(x), 6) AS mean, round(avg(x), 6) AS native FROM (SELECT label AS key, generate_subscripts(embedding, 1) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings) GROUP BY 1, 2""")

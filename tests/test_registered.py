@@ -58,6 +58,21 @@ def test_age_days(spark):
     assert ages() == [None] * 8
 
 
+def test_age_days_of_many_rules(spark):
+    """More rules than a snapshot holds, and the same days as its function for the odd ones."""
+    paths = ["/v/a/x.md", "/w/a/b/c.md", "/v/ab/x.md", "/v/a", "/u/a/x.md", "/v/a'q/x", None, "/v/z", "/v/a//b/x", "/v//a", "/v/", "/v/f12345/x"]
+    odd = [("a", 5), ("/a/b/", 9), ("a/b", 7), ("a'q", 3), (None, 4), ("c", None), ("a//b", 8)]
+    rows = spark.createDataFrame([(p,) for p in [*paths, paths[0]]], "path string")
+    for rules in (odd, [*odd, ("", 1)], []):
+        few = spark.createDataFrame(rules, "folder string, days int")
+        R.register_age_days(spark, few, ["/v", "/w/"])
+        want = {r.path: r.d for r in spark.sql("SELECT path, folder_age_days(path) AS d FROM {r}", r=rows).collect()}
+        got = R.age_days(rows, few, ["/v", "/w/"]).collect()
+        assert len(got) == len(paths) + 1 and {r.path: r.days for r in got} == want
+    many = spark.range(R.MOST_RULES + 5000).select(F.concat(F.lit("f"), "id").alias("folder"), F.col("id").cast("int").alias("days"))
+    assert {r.path: r.days for r in R.age_days(rows, many, ["/v"]).collect()} == {p: 12345 if p == paths[-1] else None for p in paths}
+
+
 def test_mean_vector(spark):
     R.register_mean_vector(spark)
     rows = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, 6.0]), (1, None), (2, [1.0]), (2, [1.0, 2.0]), (3, None)], "k int, v array<float>")
