@@ -90,3 +90,17 @@ def test_linker_pass(spark):
     assert got == [(1, 2, "CALLS", "foo", "e"), (3, 2, "CALLS", "kept", "e"), (3, 4, "IMPORTS", "bar", "e"), (5, 2, "CALLS", "other", "f")]
     again = G.relinked(frame(got, edges.schema), chunks, frame([("e",)], "entity string"), 10)
     assert plain(again) == got
+
+
+def test_link_by_tiles(spark, monkeypatch):
+    """More rows of a word than a tile, chunks of several words, edges that two words make; pairs are made once and not shuffled."""
+    r = random.Random(5)
+    monkeypatch.setattr(G, "TILE", 3)
+    rows = [(r.randint(1, 60), f"e{r.randint(1, 2)}", r.choice([" Foo", "bar", "Baz ", None]), r.choice(["foo", "bar", "baz", None]), r.choice(["ast", "import"]), r.randint(1, 20)) for _ in range(160)]
+    chunks = spark.createDataFrame(rows, "id long, entity string, symbol string, defined string, strategy string, indexed long")
+    key = lambda s: s.strip().lower()
+    want = {(a[0], b[0], "IMPORTS" if a[4] == "import" else "CALLS") for a in rows for b in rows if a[2] and b[3] and a[1] == b[1] and key(a[2]) == b[3] and a[0] != b[0]}
+    assert plain(G.link(chunks)) == sorted(want, key=repr)
+    edges = spark.createDataFrame([(*e, "was", "e2") for e in sorted(want)[::3]] + [(1, 2, "OTHER", "was", "e2")], "src long, dst long, rel string, symbol string, entity string")
+    got = plain(G.relinked(edges, chunks, spark.createDataFrame([("e1",), ("e2",)], "entity string"), 99).where("rel != 'OTHER'"))
+    assert len(got) == len(want) and {g[:3] for g in got} == want and not any(g[3] == "was" for g in got)
