@@ -122,7 +122,7 @@ def phrases(model: Languages, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
     stop = np.minimum(start + BLOCK, offsets[doc + 1])
     order = np.argsort(start - stop, kind="stable")
     begin, size = start[order], (stop - start)[order]
-    code = model.classes[data].astype(np.int64)
+    code = model.classes[data]
     lanes = np.searchsorted(-size, -np.arange(1, size[0] + 1), "right")
     root = model.roots[:, None]
     state = np.repeat(root, len(doc), axis=1)
@@ -148,8 +148,11 @@ def phrases(model: Languages, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
         block = block + 1
         inside = (block < len(doc)) & (nth[np.minimum(block, len(doc) - 1)] > 0)
         lang, block = lang[inside], block[inside]
-    counts = np.concatenate([np.zeros((k, 1), np.int64), np.cumsum(marks, axis=1)], axis=1)
-    return (counts[:, offsets[1:]] - counts[:, offsets[:-1]]).T
+    counts, before = np.empty((n, k), np.int64), np.zeros(len(data) + 1, np.int64)
+    for i in range(k):  # sums of one language at a time are held
+        np.cumsum(marks[i], out=before[1:])
+        counts[:, i] = before[offsets[1:]] - before[offsets[:-1]]
+    return counts
 
 
 def _carried(model: Languages, code: np.ndarray, marks: np.ndarray, left: np.ndarray, lang: np.ndarray, block: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
