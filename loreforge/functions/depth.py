@@ -2,7 +2,8 @@
 
 JSON and XML are cut into tokens by one pattern; an ``aggregate`` over the tokens keeps the
 depth as a running sum and the mode (in a string, a comment, a tag), and notes the tokens
-at which the depth is back at the top.  YAML and TOML go by lines.  Nothing leaves the row:
+at which the depth is back at the top.  Tokens and cuts are made once for each text (``let``):
+an expression that is named twice is worked out twice, and for every piece within a lambda.  YAML and TOML go by lines.  Nothing leaves the row:
 no Python, no exchange.
 
 Defined results: null and blank texts have no pieces; pieces are trimmed and never blank;
@@ -18,6 +19,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loreforge.functions.registered import let
+
 #: Characters of a merged piece, and of the tail that the next one repeats (fixed values).
 TARGET, OVERLAP = 1600, 120
 
@@ -33,8 +36,9 @@ def _cut(tokens: Column, mode: Rule, depth: Rule, cuts: Rule) -> Column:
     """Pieces of a token array; a cut is the index of the token that opens a piece."""
     start = F.expr("named_struct('at', 0, 'depth', 0, 'mode', 0, 'cuts', array(0))")
     step = lambda s, t: F.struct((s["at"] + 1).alias("at"), depth(s, t).alias("depth"), mode(s, t).alias("mode"), cuts(s, t).alias("cuts"))
-    found = F.array_append(F.aggregate(tokens, start, step)["cuts"], F.size(tokens))
-    pieces = F.transform(F.sequence(F.lit(0), F.size(found) - 2), lambda i: _trim(F.array_join(F.slice(tokens, F.get(found, i) + 1, F.get(found, i + 1) - F.get(found, i)), "")))
+    part = lambda all_of, found, i: _trim(F.array_join(F.slice(all_of, F.get(found, i) + 1, F.get(found, i + 1) - F.get(found, i)), ""))
+    parts = lambda all_of, found: F.transform(F.sequence(F.lit(0), F.size(found) - 2), lambda i: part(all_of, found, i))
+    pieces = let(tokens, lambda all_of: let(F.array_append(F.aggregate(all_of, start, step)["cuts"], F.size(all_of)), lambda found: parts(all_of, found)))
     return F.filter(pieces, lambda p: p != "")
 
 
@@ -44,9 +48,6 @@ def _trim(text: Column) -> Column:
 
 def json_pieces(text: Column) -> Column:
     """Elements of a top-level array or members of a top-level object; a text that is neither is one piece."""
-    whole = _trim(text)
-    framed = (whole.startswith("[") & whole.endswith("]")) | (whole.startswith("{") & whole.endswith("}"))
-    tokens = F.regexp_extract_all(F.when(framed & (F.length(whole) > 1), F.substring(whole, F.lit(2), F.length(whole) - 2)).otherwise(whole), F.lit(_JSON), F.lit(1))
     text_mode, string, line, block = 0, 1, 2, 3
 
     def mode(s: Column, t: Column) -> Column:
@@ -62,9 +63,14 @@ def json_pieces(text: Column) -> Column:
     def cuts(s: Column, t: Column) -> Column:
         return F.when((s["mode"] == text_mode) & (s["depth"] == 0) & (t == ","), F.array_append(s["cuts"], s["at"])).otherwise(s["cuts"])
 
-    bare = F.transform(_cut(tokens, mode, depth, cuts), lambda p: _trim(F.regexp_replace(p, r"^,", "")))
-    found = F.filter(bare, lambda p: p != "")
-    return F.when(framed & (F.size(found) > 0), found).otherwise(F.filter(F.array(whole), lambda p: p != ""))
+    def inside(whole: Column) -> Column:
+        framed = (whole.startswith("[") & whole.endswith("]")) | (whole.startswith("{") & whole.endswith("}"))
+        tokens = F.regexp_extract_all(F.substring(whole, F.lit(2), F.greatest(F.length(whole) - 2, F.lit(0))), F.lit(_JSON), F.lit(1))
+        bare = F.filter(F.transform(_cut(tokens, mode, depth, cuts), lambda p: _trim(F.regexp_replace(p, r"^,", ""))), lambda p: p != "")
+        own = F.filter(F.array(whole), lambda p: p != "")
+        return F.when(framed & (F.length(whole) > 1), let(bare, lambda found: F.when(F.size(found) > 0, found).otherwise(own))).otherwise(own)
+
+    return let(_trim(text), inside)
 
 
 def xml_pieces(text: Column) -> Column:
@@ -94,12 +100,12 @@ def xml_pieces(text: Column) -> Column:
 
 def _by_lines(text: Column, starts) -> Column:
     """Pieces of the lines of a text that begin at the lines whose indexes ``starts`` gives for the array of lines."""
-    lines = F.split(text, "\n")
-    at = starts(lines)
     whole = F.filter(F.array(_trim(text)), lambda p: p != "")
-    begin = F.concat(F.array(F.lit(0)), F.slice(at, F.lit(2), F.greatest(F.size(at) - 1, F.lit(0))), F.array(F.size(lines)))
-    cut = F.transform(F.sequence(F.lit(0), F.size(begin) - 2), lambda i: _trim(F.array_join(F.slice(lines, F.get(begin, i) + 1, F.get(begin, i + 1) - F.get(begin, i)), "\n")))
-    return F.when(F.size(at) > 1, F.filter(cut, lambda p: p != "")).otherwise(whole)
+    begin = lambda lines, at: F.concat(F.array(F.lit(0)), F.slice(at, F.lit(2), F.greatest(F.size(at) - 1, F.lit(0))), F.array(F.size(lines)))
+    part = lambda lines, at, i: _trim(F.array_join(F.slice(lines, F.get(at, i) + 1, F.get(at, i + 1) - F.get(at, i)), "\n"))
+    parts = lambda lines, at: F.transform(F.sequence(F.lit(0), F.size(at) - 2), lambda i: part(lines, at, i))
+    cut = lambda lines, at: F.filter(let(begin(lines, at), lambda b: parts(lines, b)), lambda p: p != "")
+    return let(F.split(text, "\n"), lambda lines: let(starts(lines), lambda at: F.when(F.size(at) > 1, cut(lines, at)).otherwise(whole)))
 
 
 def _indexes(lines: Column, test) -> Column:
@@ -129,8 +135,7 @@ def yaml_pieces(text: Column) -> Column:
     indent = lambda line: F.length(F.regexp_extract(line, r"^\s*", 0))
 
     def starts(lines: Column) -> Column:
-        root = F.array_min(F.transform(F.filter(lines, key), indent))
-        return _indexes(lines, lambda i: key(F.get(lines, i)) & (indent(F.get(lines, i)) == root))
+        return let(F.array_min(F.transform(F.filter(lines, key), indent)), lambda root: _indexes(lines, lambda i: key(F.get(lines, i)) & (indent(F.get(lines, i)) == root)))
 
     docs = F.filter(F.split(F.coalesce(text, F.lit("")), r"(?m)^---"), lambda d: _trim(d) != "")
     return F.flatten(F.transform(docs, lambda d: _by_lines(d, starts)))

@@ -85,3 +85,10 @@ def test_merged(spark):
 
     rows = spark.createDataFrame([(i, p) for i, p in enumerate(lists)], "i int, p array<string>")
     assert [r.m for r in rows.orderBy("i").select(D.merged(F.col("p")).alias("m")).collect()] == [brute(p) for p in lists]
+
+
+def test_tokens_are_made_once(spark):
+    """Texts are cut into tokens once, not anew for every piece."""
+    for function, calls in ((D.json_pieces, 1), (D.xml_pieces, 1)):
+        plan = spark.range(1).select(function(F.col("id").cast("string")).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all(") == calls and plan.count("aggregate(") == calls
