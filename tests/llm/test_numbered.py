@@ -246,6 +246,22 @@ def _parsed_fast(source: bytes, text: bytes) -> int:
     return n
 
 
+def test_language_counts_hold_one_language_at_a_time():
+    """A pass of many bytes and languages holds little more than a mark for each."""
+    import tracemalloc
+
+    r = random.Random(3)
+    words = ["".join(r.choices("abcdefghij", k=r.randint(2, 8))).encode() for _ in range(500)]
+    model = langid.learn({f"l{i}": b" ".join(r.choices(words, k=200)) for i in range(8)})
+    texts = [b" ".join(r.choices(words, k=20_000)) for _ in range(10)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    tracemalloc.start()
+    langid.phrases(model, data, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * len(data)
+
+
 def test_tokens(docs, texts):
     tokenizer = Tokenizer.from_file(TOKENIZER)
     want, start = [], 0
@@ -696,6 +712,20 @@ def test_passages_by_brute_force(spark, docs, texts):
     assert all(i not in found for i in range(-21, -9))
 
 
+def test_words_of_exact_runs_are_not_sent(spark):
+    """Chains of one exact run give the passages that all their words give; only the words around the run are fetched."""
+    r = random.Random(4)
+    word = lambda n: [f"w{r.randint(1, 10**6)}" for _ in range(n)]
+    run, near = word(300), word(20)
+    texts = [word(70) + run + near + word(60), word(5) + run + near[:10] + ["x"] + near[11:], run]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "row long, text string")
+    chains = spark.createDataFrame([(0, 1, [70], [5], [300], 3, 1), (0, 2, [72, 150], [2, 80], [40, 200], 3, 2), (1, 2, [5], [0], [300], 3, 3)], "row long, other long, a array<int>, b array<int>, n array<int>, level int, id long")
+    plain, exact = (sorted(map(tuple, passages._passages(docs, chains, 50, 0.8, flag).collect())) for flag in (False, True))
+    assert plain == exact and (0, 1, 70, 390, 5, 325, 319, 319 / 320) in exact
+    sent = {(w.id, w.side): len(w.words) // 4 for w in passages._sides(docs, chains, 48, True).collect()}
+    assert sent[1, 0] == 96 and sent[1, 1] == 5 + 20 and sent[3, 1] == 0 and sent[2, 1] == 300 - 0
+
+
 def test_ends_grow_while_they_gain():
     x = np.arange(700)
     y = np.where(np.arange(700) % 9 == 4, -5, x)
