@@ -33,7 +33,8 @@ def edges_added(edges: DataFrame, incoming: DataFrame, words: DataFrame, names:
     """Incoming edges (part, src, dst, type) in canonical spelling that are new, of a known type and between different names."""
     known = words.groupBy("part", F.lower(F.trim("label")).alias("key")).agg(F.min_by("label", "position").alias("spelling"))
     a, b = names.select(F.col("id").alias("src"), merge_key(F.col("name")).alias("a")), names.select(F.col("id").alias("dst"), merge_key(F.col("name")).alias("b"))
-    named = incoming.withColumn("key", F.lower(F.trim("type"))).join(known, ["part", "key"]).join(a, "src").join(b, "dst").where("a != b")
+    spelt = graph.spread(incoming.withColumn("key", F.lower(F.trim("type"))).join(known, ["part", "key"]), "src")
+    named = graph.spread(spelt.join(a, "src"), "dst").join(b, "dst").where("a != b")
     out = named.select("part", "src", "dst", F.col("spelling").alias("type")).distinct()
     return out.join(edges.select("part", "src", "dst", "type"), ["part", "src", "dst", "type"], "left_anti")
 

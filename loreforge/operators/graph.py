@@ -21,6 +21,12 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows by the hash of keys over all partitions of the session: their compressed size, by which Spark joins small partitions, tells little of what they take in memory."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
+
+
 #: Definitions, and references, of one word that a task joins at once.
 TILE = 1024
 
@@ -52,8 +58,7 @@ def _resolved(chunks: DataFrame) -> DataFrame:
     left = refs.join(tiles, ["entity", "key"]).select("src", "rel", several("named"), "entity", "key", dealt("src", "n").alias("a"), every("m").alias("b"))
     right = defs.join(tiles, ["entity", "key"]).select("dst", several("makes"), "entity", "key", every("n").alias("a"), dealt("dst", "m").alias("b"))
     by = ["entity", "key", "a", "b"]
-    parts = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * chunks.sparkSession.sparkContext.defaultParallelism)  # few rows make many pairs, so that sizes must not decide
-    both = left.repartition(parts, *by).join(right.repartition(parts, *by), by).where("src != dst")
+    both = spread(left, *by).join(spread(right, *by), by).where("src != dst")
     first = F.col("named").isNull() | F.col("makes").isNull() | (F.get(F.array_intersect("named", "makes"), F.lit(0)) == F.struct("entity", "key"))
     return both.where(first).select("src", "dst", "rel", F.col("key").alias("symbol"), "entity")
 
@@ -230,7 +235,9 @@ def neighbors_of(edges: DataFrame, redirects: DataFrame, entities: DataFrame) ->
     """Edges with both ends moved to their survivors, between living entities, self-loops left out."""
     to = resolve(redirects).where("survivor IS NOT NULL").select("id", "survivor")
     a, b = to.select(F.col("id").alias("src"), F.col("survivor").alias("s")), to.select(F.col("id").alias("dst"), F.col("survivor").alias("d"))
-    moved = edges.join(a, "src", "left").join(b, "dst", "left").select(F.coalesce("s", "src").alias("src"), F.coalesce("d", "dst").alias("dst"), "type").where("src != dst").distinct()
+    half = spread(edges, "src").join(a, "src", "left")
+    moved = spread(half, "dst").join(b, "dst", "left").select(F.coalesce("s", "src").alias("src"), F.coalesce("d", "dst").alias("dst"), "type").where("src != dst")
+    moved = spread(moved, "src").distinct()
     return moved.join(entities.select(F.col("id").alias("src")), "src", "left_semi").join(entities.select(F.col("id").alias("dst")), "dst", "left_semi")
 
 

@@ -7,6 +7,7 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
+from loreforge.operators import commits as C
 from loreforge.operators import graph as G
 from loreforge.operators import records as R
 
@@ -104,3 +105,13 @@ def test_link_by_tiles(spark, monkeypatch):
     edges = spark.createDataFrame([(*e, "was", "e2") for e in sorted(want)[::3]] + [(1, 2, "OTHER", "was", "e2")], "src long, dst long, rel string, symbol string, entity string")
     got = plain(G.relinked(edges, chunks, spark.createDataFrame([("e1",), ("e2",)], "entity string"), 99).where("rel != 'OTHER'"))
     assert len(got) == len(want) and {g[:3] for g in got} == want and not any(g[3] == "was" for g in got)
+
+
+def test_joins_of_edges_keep_their_partitions(spark):
+    """Joins whose rows are wide in memory but small when compressed are not put together into few tasks."""
+    edges = spark.createDataFrame([(0, 1, 2, "A"), (0, 2, 1, "A")], "part int, src long, dst long, type string")
+    ids = spark.createDataFrame([(1, "x"), (2, "y")], "id long, name string")
+    words = spark.createDataFrame([(0, 0, "a")], "part int, position int, label string")
+    redirects = spark.createDataFrame([(9, 8)], "id long, into long")
+    for made in (C.edges_added(edges.limit(0), edges, words, ids), G.neighbors_of(edges.drop("part"), redirects, ids.select("id"))):
+        assert made.count() == 2 and made._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 2
