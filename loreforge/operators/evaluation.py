@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 
 #: Probes and vectors that a task compares at once.
 PROBE_BLOCK, SLICE = 512, 20_000
+#: Probes whose scores it holds at once.
+SCORED = 32
 
 
 def probes(embeddings: DataFrame, step: int, rest: int) -> DataFrame:
@@ -40,15 +42,19 @@ def ranked(embeddings: DataFrame, step: int, rest: int, k: int) -> DataFrame:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
     def best(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        names = ["qid", "qlabel", "vec_id", "label", "score"]
+        parts: list[list[np.ndarray]] = []
         if len(queries) and len(rows):
-            score = np.round(np.clip(unit(queries["embedding"]) @ unit(rows["embedding"]).T, -1, 1), 6)
-            own, label = rows["vec_id"].to_numpy(), rows["label"].to_numpy()
-            for i, (qid, qlabel) in enumerate(zip(queries["qid"], queries["qlabel"])):
-                at = np.flatnonzero(own != qid)
-                at = at[np.lexsort((own[at], -score[i, at]))[:k]]
-                out.append(pd.DataFrame({"qid": qid, "qlabel": qlabel, "vec_id": own[at], "label": label[at], "score": score[i, at]}))
-        return pd.concat(out) if out else pd.DataFrame({"qid": [], "qlabel": [], "vec_id": [], "label": [], "score": []})
+            vectors, own, label = unit(rows["embedding"]).T, rows["vec_id"].to_numpy(), rows["label"].to_numpy()
+            probe, qids, qlabels = unit(queries["embedding"]), queries["qid"].to_numpy(), queries["qlabel"].to_numpy()
+            for first in range(0, len(probe), SCORED):
+                score = probe[first : first + SCORED] @ vectors
+                np.round(np.clip(score, -1, 1, out=score), 6, out=score)
+                for i, s in enumerate(score, first):
+                    at = np.flatnonzero(own != qids[i])
+                    at = at[np.lexsort((own[at], -s[at]))[:k]]
+                    parts.append([np.full(len(at), qids[i]), np.full(len(at), qlabels[i]), own[at], label[at], s[at]])
+        return pd.DataFrame(dict(zip(names, (np.concatenate(c) for c in zip(*parts))))) if parts else pd.DataFrame({n: [] for n in names})
 
     found = left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInPandas(best, "qid long, qlabel int, vec_id long, label int, score double")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")

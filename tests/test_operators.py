@@ -239,3 +239,15 @@ def test_churn_by_hand(spark):
     # words kept over words of the longer text: 2 of 3, none of none, 0 of 1, 3 of 5, 4 of 4
     got = spark.createDataFrame([("a b c", "a x c"), ("", ""), (None, "q"), ("a b c", "a b x y c"), ("a b c d", "a  b c d")], "x string, y string").select(evaluation.churn("x", "y").alias("c")).collect()
     assert [round(r.c, 3) for r in got] == [0.333, 0.0, 1.0, 0.4, 0.0]
+
+
+def test_ranked_scores_few_probes_at_once(spark, monkeypatch):
+    """The same best rows however many probes are scored at once."""
+    from loreforge.operators import evaluation
+
+    rows = spark.range(150).selectExpr("id AS vec_id", "cast(id % 7 AS int) AS label", "array(cast(sin(id) AS float), cast(cos(id * 3) AS float), cast(id % 5 AS float)) AS embedding")
+    found = []
+    for n in (1, 7, 512):
+        monkeypatch.setattr(evaluation, "SCORED", n)
+        found.append(sorted(map(tuple, evaluation.ranked(rows, 5, 1, 4).collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 30 * 4
