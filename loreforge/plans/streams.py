@@ -23,8 +23,8 @@ def _events(read):
     return _stream(read, "events").select(F.col("user_id").alias("key"), F.timestamp_micros(us).alias("at"), F.col("event_id").alias("id"), "event_type", "value")
 
 
-def _machine(events, fields, machine, output):
-    return keyed.in_order(events, fields, machine, output, f"{DELAY} seconds")
+def _machine(events, fields, machine, output, wanted=None):
+    return keyed.in_order(events, fields, machine, output, f"{DELAY} seconds", wanted)
 
 
 @query("strike_stream", f"""WITH e AS (SELECT user_id AS key, event_id AS id, epoch_us(ts) AS us, event_type FROM events), {_PASSED}, s AS (SELECT * FROM r WHERE event_type IN ('error', 'purchase')),
@@ -34,7 +34,7 @@ def strike_stream(read):
     events = _events(read)
     spark, root = events.sparkSession, cdc.shared(events.sparkSession, "strikes")
     told = events.withColumn("good", F.when(F.col("event_type") == "purchase", True).when(F.col("event_type") == "error", False))
-    changes = _machine(told, ["good"], keyed.strikes(2), "at long, id long, strikes long, quarantined boolean")
+    changes = _machine(told, ["good"], keyed.strikes(2), "at long, id long, strikes long, quarantined boolean", F.col("good").isNotNull())
     cdc.merge_stream(changes, root, "strikes", cdc.shared(spark, "strikes-checkpoint"), ["key"], ["at", "id"])
     return cdc.outbox(spark, root, "strikes").where("strikes > 0").select("key", "strikes", "quarantined", F.col("id").alias("last_id"))
 
@@ -43,7 +43,7 @@ def strike_stream(read):
  c AS (SELECT key, id, count(*) OVER (PARTITION BY key ORDER BY us RANGE BETWEEN {5 * 86400 * 1_000_000 - 1} PRECEDING AND CURRENT ROW) AS recent FROM s) SELECT key, id, recent::BIGINT AS recent, recent > 3 AS capped FROM c""")
 def respawn_stream(read):
     events = _events(read).withColumn("error", F.col("event_type") == "error")
-    out = _machine(events, ["error"], keyed.only(keyed.respawns(3, 5 * 86400)), "at long, id long, recent long, capped boolean")
+    out = _machine(events, ["error"], keyed.only(keyed.respawns(3, 5 * 86400)), "at long, id long, recent long, capped boolean", F.col("error"))
     return cdc.run_to_table(out, "respawns").select("key", "id", "recent", "capped")
 
 

@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
@@ -40,18 +40,29 @@ class Machine:
     wants: Callable[[list], bool] = lambda fields: True
 
 
-def in_order(stream: DataFrame, fields: list[str], machine: Machine, output: str, delay: str) -> DataFrame:
-    """Rows (key, *output) of one machine for each key of a stream of (key, at, id, *fields); ``at`` is a timestamp."""
+def _listed(column: pd.Series) -> list:
+    """Plain values of a column, None for what is missing."""
+    values = column.tolist()
+    return [None if pd.isna(v) else v for v in values] if column.hasnans else values
+
+
+def in_order(stream: DataFrame, fields: list[str], machine: Machine, output: str, delay: str, wanted: Column | None = None) -> DataFrame:
+    """Rows (key, *output) of one machine for each key of a stream of (key, at, id, *fields); ``at`` is a timestamp.
+
+    Events that are not ``wanted`` (over the fields) move the watermark on and go no further.
+    """
     named = StructType.fromDDL(output).names
     key_type = stream.schema["key"].dataType.simpleString()
     ready = stream.where("key IS NOT NULL AND at IS NOT NULL").withWatermark("at", delay)
+    if wanted is not None:  # names the time, so that Spark does not put it before the watermark
+        ready = ready.where(F.when(F.col("at").isNotNull(), wanted))
     ready = ready.select("key", "at", F.unix_micros("at").alias("us"), "id", *fields)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         passed = state.getCurrentWatermarkMs() * 1000
         kept, timer, waiting = json.loads(state.get[0]) if state.exists else (None, None, [])
         for batch in batches:
-            rows = batch[["us", "id", *fields]].astype(object).where(batch[["us", "id", *fields]].notna(), None).values.tolist()
+            rows = zip(*(_listed(batch[c]) for c in ("us", "id", *fields)))
             waiting += [[us, ident, rest] for us, ident, *rest in rows if us > passed and machine.wants(rest)]
         waiting.sort(key=lambda e: (e[0], e[1] is not None, e[1]))
         out, n = [], 0

@@ -274,3 +274,13 @@ def test_quiet_period(spark, tmp_path):
         assert got == [("b", 0, 1, 2, "Modified"), ("b", 9, 9, 1, "Modified"), ("c", 5, 8, 2, "Added")]
         healed = sorted((r.key, r.last // SECOND - 100) for r in cdc.run_to_table(watch.heal_times(stream.withColumn("path", F.concat(F.lit("/v/"), "path"))), f"heal{files}").collect())
         assert healed == [("/v", 0), ("/v", 4)]
+
+
+def test_unwanted_events_move_the_watermark_only(spark, tmp_path):
+    """An event that a machine does not want goes no further than the watermark, which it moves past the others."""
+    rows = [("a", 10, 1, True), ("b", 20, 2, True), ("c", 9000, 3, False)]
+    frame = spark.createDataFrame(rows, "key string, s long, id long, error boolean").selectExpr("key", "timestamp_seconds(s) AS at", "id", "error")
+    frame.write.parquet(str(tmp_path / "in"))
+    events = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
+    out = keyed.in_order(events, ["error"], keyed.only(keyed.respawns(3, 60)), "at long, id long, recent long, capped boolean", "60 seconds", F.col("error"))
+    assert sorted(r.key for r in cdc.run_to_table(out, "wanted").collect()) == ["a", "b"]
