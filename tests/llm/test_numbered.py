@@ -726,6 +726,26 @@ def test_words_of_exact_runs_are_not_sent(spark):
     assert sent[1, 0] == 96 and sent[1, 1] == 5 + 20 and sent[3, 1] == 0 and sent[2, 1] == 300 - 0
 
 
+def test_words_of_a_pair_are_sent_once(spark):
+    """However many chains a pair has, no word of its texts is sent twice, and each chain gives what it gives alone."""
+    r = random.Random(6)
+    word = lambda n: [f"w{r.randint(1, 10**6)}" for _ in range(n)]
+    base = word(400)
+    texts = [base, [x if i % 14 else "y" for i, x in enumerate(base)], word(300) + base[:60] + word(700) + base[:60]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "row long, text string")
+    runs = [(0, 1, at, at) for at in range(1, 390, 14)] + [(0, 2, at, at + m) for at in (3, 20, 50) for m in (300, 1060)]
+    schema = "row long, other long, a array<int>, b array<int>, n array<int>, level int, id long"
+    rows = [(x, y, [a], [b], [6], 3, i) for i, (x, y, a, b) in enumerate(runs)]
+    chains = spark.createDataFrame(rows, schema)
+    for margin in (48, 3072):
+        sent = passages._sides(docs, chains, margin, False).collect()
+        assert sum(len(w.words) for w in sent) <= 4 * (len(texts[0]) * 2 + len(texts[1]) + len(texts[2]))
+        assert {(w.low, w.total) for w in sent if w.total == 1120} == ({(255, 1120), (1015, 1120)} if margin == 48 else {(0, 1120)})
+        alone = [tuple(p) for row in rows[::9] for p in passages._aligned(docs, spark.createDataFrame([row], schema), margin, 50, 0.8, False).collect()]
+        every = passages._aligned(docs, chains, margin, 50, 0.8, False).collect()
+        assert alone and sorted(map(str, alone)) == sorted(str(tuple(p)) for p in every if p.id % 9 == 0)
+
+
 def test_ends_grow_while_they_gain():
     x = np.arange(700)
     y = np.where(np.arange(700) % 9 == 4, -5, x)
