@@ -114,6 +114,7 @@ def healed(now: Tables, docs: DataFrame, at: int, most: int, bulk: bool = False)
     facts = now["facts"]
     grounds = now["evidence"].join(docs.select("doc").distinct().withColumn("there", F.lit(True)), "doc", "left").groupBy("fact").agg(F.count("there").alias("left"))
     doomed = facts.where("deleted_at IS NULL AND kind = 'inferred'").join(grounds.where("`left` = 0").select(F.col("fact").alias("id")), "id", "left_semi").select(*facts.columns)
+    doomed = G.settled(doomed)  # every table below reads it, and the evidence is joined once
     if not bulk and (n := doomed.count()) > most:
         raise Refused(f"{n} facts are without ground, more than {most}")
     dead = doomed.select("id")

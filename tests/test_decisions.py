@@ -149,6 +149,14 @@ def test_heal(spark, desk):
     assert plain(D.healed(now, docs, 10, 0)["report"]) == []
 
 
+def test_heal_reads_the_evidence_once(spark, desk):
+    """What is without ground is settled before any table is made of it."""
+    made = D.healed(desk.now(), spark.createDataFrame([("d1",)], "doc string"), 9, 40)
+    for name in ("facts", "edges", "events", "changes", "report"):
+        plan = made[name]._jdf.queryExecution().optimizedPlan().toString()
+        assert "doc#" not in plan and "fact#" not in plan, name
+
+
 def test_fingerprint(spark):
     rows = spark.createDataFrame([(1, None, "a"), (2, 1.5, "b")], "a long, b double, c string")
     same = rows.select("c", "a", "b").orderBy(F.desc("a"))
