@@ -46,7 +46,13 @@ def folded(rows: DataFrame, schema: str, actions: DataFrame, step: Callable[[Col
         ))
 
     nothing = F.expr("cast(array() AS " + both.schema["todo"].dataType.simpleString() + ")")
-    return both.withColumn("s", F.aggregate(F.coalesce("todo", nothing), start, next_state)).select("id", "s.row", "s.told")
+    # as a generator, the fold is not copied into the filters and columns that read it, which would run it once for each
+    return both.select("id", F.inline(F.array(F.aggregate(F.coalesce("todo", nothing), start, next_state))))
+
+
+def taken(told: Column) -> Column:
+    """Number of actions that were taken of those ``folded`` tells of: the change rows of the record."""
+    return F.size(F.filter(told, lambda t: t["reason"].isNull())).cast("long")
 
 
 def _rest(done: DataFrame, table: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -56,17 +62,18 @@ def _rest(done: DataFrame, table: str) -> tuple[DataFrame, DataFrame, DataFrame]
     return done.where("row IS NOT NULL").select("row.*"), taken, refused
 
 
-def committed_tasks(tasks: DataFrame, entities: DataFrame, redirects: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Tasks after actions (id, nth, at, action, entity, description, status), their change rows, and refused actions with the reason.
+def _looked_up(rows: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """A left join with a table by ``key``; rows without it are dealt by their id, as one key for all of them would be one task."""
+    at = F.when(F.col(key).isNotNull(), F.concat(F.lit("="), F.col(key))).otherwise(F.concat(F.lit("-"), F.col("id")))
+    return rows.withColumn("_at", at).join(table.select(F.concat(F.lit("="), F.col(key)).alias("_at"), *(c for c in table.columns if c != key)), "_at", "left").drop("_at")
 
-    ``create`` needs a new id, a description and a live entity, which it finds through
-    redirects (id, into); ``status`` sets a status of STATUSES on a live task, ``done``
-    with the time it was resolved; ``archive`` deletes a live task softly.
-    """
+
+def folded_tasks(tasks: DataFrame, entities: DataFrame, redirects: DataFrame, actions: DataFrame) -> DataFrame:
+    """What ``committed_tasks`` takes apart: id, ``row`` after all actions and ``told``, as ``folded`` gives them; each row is folded once."""
     ends = G.resolve(redirects).select(F.col("id").alias("entity"), F.col("survivor").alias("to"))
     live = entities.where("deleted_at IS NULL").select(F.col("id").alias("to"), F.lit(True).alias("live"))
-    known = actions.select("id", "nth", "at", "action", "entity", "description", "status").join(ends, "entity", "left").withColumn("to", F.coalesce("to", "entity")).join(live, "to", "left")
-    known = known.select("id", "nth", "at", "action", "to", F.trim("description").alias("description"), "status", F.coalesce("live", F.lit(False)).alias("live"))
+    known = _looked_up(actions.select("id", "nth", "at", "action", "entity", "description", "status"), "entity", ends).withColumn("to", F.coalesce("to", "entity"))
+    known = _looked_up(known, "to", live).select("id", "nth", "at", "action", "to", F.trim("description").alias("description"), "status", F.coalesce("live", F.lit(False)).alias("live"))
 
     def step(ident: Column, row: Column, do: Column) -> tuple[Column, Column]:
         create, status, archive = (do["action"] == name for name in ("create", "status", "archive"))
@@ -85,7 +92,17 @@ def committed_tasks(tasks: DataFrame, entities: DataFrame, redirects: DataFrame,
         )
         return after, reason
 
-    return _rest(folded(tasks, TASK, known, step), "tasks")
+    return folded(tasks, TASK, known, step)
+
+
+def committed_tasks(tasks: DataFrame, entities: DataFrame, redirects: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tasks after actions (id, nth, at, action, entity, description, status), their change rows, and refused actions with the reason.
+
+    ``create`` needs a new id, a description and a live entity, which it finds through
+    redirects (id, into); ``status`` sets a status of STATUSES on a live task, ``done``
+    with the time it was resolved; ``archive`` deletes a live task softly.
+    """
+    return _rest(folded_tasks(tasks, entities, redirects, actions), "tasks")
 
 
 def committed_entities(entities: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

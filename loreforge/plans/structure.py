@@ -83,6 +83,5 @@ def task_commits(read):
     acts = line.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select(key("l_orderkey").alias("id"), F.col("l_linenumber").alias("nth"), act.alias("action"), none("string").alias("entity"), none("string").alias("description"), F.when(F.col("l_linestatus") == "F", "done").otherwise("pending").alias("status"))
     actions = create.union(acts).withColumn("at", (F.col("nth") + 100).cast("long"))
     redirects = read("region").sparkSession.createDataFrame([], "id string, into string")
-    after, changes, _ = records.committed_tasks(tasks, entities, redirects, actions)
-    counts = changes.groupBy(F.col("record").alias("id")).agg(F.count("*").alias("changes"))
-    return after.join(counts, "id", "left").select("id", "status", F.col("deleted_at").isNotNull().alias("archived"), F.coalesce("changes", F.lit(0).cast("long")).alias("changes"))
+    done = records.folded_tasks(tasks, entities, redirects, actions).where("row IS NOT NULL")
+    return done.select("id", "row.status", F.col("row.deleted_at").isNotNull().alias("archived"), records.taken(F.col("told")).alias("changes"))

@@ -51,6 +51,22 @@ def test_tasks(spark):
     assert plain(R.rebuilt(told, R.TASK)) == sorted((tuple(now[i]) for i in {c[0] for c in changes}), key=repr)
 
 
+def test_tasks_are_folded_once_and_in_many_tasks(spark):
+    """Actions without an entity do not meet in one task, and what a query needs of rows and changes comes from one fold."""
+    from loreforge.catalog import queries
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = R._looked_up(spark.range(4000).selectExpr("string(id) AS id", "if(id % 1000 = 0, 'e1', NULL) AS to"), "to", spark.createDataFrame([("e1", True), ("-7", True)], "to string, live boolean").hint("merge"))
+        assert "SortMergeJoin" in rows._jdf.queryExecution().toString()
+        assert max(r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()) < 1500
+        assert rows.where("live").count() == 4 and rows.count() == 4000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    plan = queries()["task_commits"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1
+
+
 def test_entities(spark):
     actions = [
         ("a", 1, 10, "create", " A ", "k", None), ("a", 2, 11, "update", None, None, "s"), ("a", 3, 12, "archive", None, None, None), ("a", 4, 13, "update", "B", None, None), ("a", 5, 14, "restore", None, None, None),
