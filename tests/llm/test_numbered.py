@@ -754,6 +754,29 @@ def test_ends_grow_while_they_gain():
     assert at_x.tolist() == at_y.tolist() == [697, 20, 0] and met.tolist() == [int((x == y)[:697].sum()), 20, 0] and ran.tolist() == [True, False, True]
 
 
+def test_steps_of_equal_words_need_no_table(monkeypatch):
+    """Steps whose words are equal are not aligned, others give what the whole table of scores gives."""
+    r = np.random.default_rng(2)
+    rows = []
+    extend = passages.extend
+    monkeypatch.setattr(passages, "extend", lambda x, y: rows.append(len(x)) or extend(x, y))
+    x = r.integers(0, 10**6, (40, 320))
+    _, _, met, _ = passages.grow(list(x), list(x))
+    assert met.tolist() == [320] * 40 and sum(rows) == 0
+    x = r.integers(0, r.choice([2, 4, 10**6], (400, 1)), (400, 32))
+    y = np.where(r.random((400, 32)) < 0.1, -7, x)
+    y[::3, 5:] = y[::3, :-5]
+    y[1::3, :-2] = y[1::3, 2:]
+    for a, b, i, j, n in zip(x, y, *passages.extend(x, y)):
+        table = np.zeros((33, 33), np.int64)
+        for k in range(1, 33):
+            table[0, k] = table[k, 0] = -3072 * k
+        for k in range(1, 33):
+            for m in range(1, 33):
+                table[k, m] = max(table[k - 1, m - 1] + (1025 if a[k - 1] == b[m - 1] else -3072), table[k - 1, m] - 3072, table[k, m - 1] - 3072)
+        assert (i, j, n) == (*np.unravel_index(table.argmax(), table.shape), table.max() % 1024)
+
+
 def test_exact_passage_whose_seeds_are_common(spark):
     r = random.Random(5)
     pick = lambda n: [f"w{r.randrange(50_000)}" for _ in range(n)]
