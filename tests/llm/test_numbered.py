@@ -777,6 +777,39 @@ def test_steps_of_equal_words_need_no_table(monkeypatch):
         assert (i, j, n) == (*np.unravel_index(table.argmax(), table.shape), table.max() % 1024)
 
 
+def test_no_pair_of_copies_is_left_out(spark):
+    """All pairs of copies of a family are reported; and pairs of copies whose seeds stand in over 64 other texts between other words."""
+    r = random.Random(12)
+    pick = lambda n: [f"w{r.randrange(200_000)}" for _ in range(n)]
+
+    def copy_of(base, rate):
+        return [x for word in base for x in (pick(1) if r.random() < rate else [word])]
+
+    base = pick(120)
+    family = [copy_of(base, 0.04) for _ in range(16)]
+    rows = [pick(r.randint(5, 60)) + c + pick(r.randint(5, 60)) for c in family]
+    need = {(i, j) for i, x in enumerate(family) for j, y in enumerate(family) if i != j and passages.common(x, y) >= 0.8 * 120}
+    for _ in range(6):
+        base = pick(80)
+        pair = [copy_of(base, 0.05) for _ in range(2)]
+        if passages.common(*pair) >= 0.85 * 80:
+            need |= {(len(rows), len(rows) + 1), (len(rows) + 1, len(rows))}
+        rows += [pick(30) + c + pick(30) for c in pair]
+        rows += [[x for i in range(76) if r.random() < 0.5 for x in pick(3) + base[i : i + 5]] for _ in range(160)]
+    table = spark.createDataFrame([(i, " ".join(words)) for i, words in enumerate(rows)], "doc_id long, text string").repartition(3)
+    found = {(p.doc_id, p.other_doc_id) for p in passages.repeated_passages(table).collect()}
+    assert len(need) > 240 and not need - found, f"{len(need - found)} of {len(need)}: {sorted(need - found)[:9]}"
+
+
+def test_places_are_given_to_the_exact_way(spark):
+    """All places of a seed in 64 places or fewer are linked with each other; of a seed in more, every place is also given itself."""
+    places = [(key, 7, row, 100, 0) for key, n in ((1, 64), (2, 65), (3, 3)) for row in range(n)]
+    table = spark.createDataFrame(places, "key long, ctx long, row long, at long, around long")
+    links = passages._links(table, 50, True).collect()
+    assert len({(x.row, x.other) for x in links if x.level >= 0}) >= 64 * 63 // 2
+    assert {x.row for x in links if x.level < 0 and x.other == 2} == set(range(65)) and all(x.other == 2 for x in links if x.level < 0)
+
+
 def test_exact_passage_whose_seeds_are_common(spark):
     r = random.Random(5)
     pick = lambda n: [f"w{r.randrange(50_000)}" for _ in range(n)]
