@@ -810,6 +810,32 @@ def test_places_are_given_to_the_exact_way(spark):
     assert {x.row for x in links if x.level < 0 and x.other == 2} == set(range(65)) and all(x.other == 2 for x in links if x.level < 0)
 
 
+def test_copies_are_not_expanded_into_pairs(spark):
+    """Each copy of a text is linked with its representative, and different texts with each other, once."""
+    r = random.Random(3)
+    pick = lambda n: [f"w{r.randrange(200_000)}" for _ in range(n)]
+    base = pick(60)
+    one, two = " ".join(pick(20) + base + pick(20)), " ".join(pick(30) + base + pick(10))
+    rows = [(i, one if i % 2 else two) for i in range(24)]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    pairs = {(p.doc_id, p.other_doc_id) for p in found}
+    assert pairs == {p for i in range(2, 24) for p in ((i, i % 2), (i % 2, i))} | {(0, 1), (1, 0)} and len(found) == len(pairs)
+    assert all((p.first_word, p.last_word, p.n_match) == (0, 100, 100) for p in found if p.doc_id > 1)
+
+
+def test_rough_reach_is_no_less():
+    """Counts of eight words never drop a place that the words themselves keep."""
+    r = np.random.default_rng(1)
+    words = (r.zipf(1.3, (300, passages.SEEN)) % 5000 + 1).astype(np.uint32)
+    words[::3, 20:] = 0
+    words[::5, :30] = words[0, :30]
+    words[1::7, :50] = words[1, :50]
+    slot = np.where(words > 0, words % passages.SLOTS, passages.SLOTS).astype(np.int16)
+    others = np.arange(300)
+    for i in range(300):
+        assert (passages.rough_reaches(slot, i, others) >= passages.reaches(words, slot, i, others)).all()
+
+
 def test_exact_passage_whose_seeds_are_common(spark):
     r = random.Random(5)
     pick = lambda n: [f"w{r.randrange(50_000)}" for _ in range(n)]
