@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -989,3 +990,34 @@ def test_sketches_by_hand(sizes):
             around = [i for i in range(max(a, p - 24), min(b, p + 29) - n + 1) if i < p or i + n > p + 5]
             number, low = divmod(number, 1 << 13)
             assert low == (1 + min(value[i] for i in around) % 8191 if around else 0)
+
+
+def test_links_of_a_pair_are_one_row(spark):
+    """Links of two texts leave a task as one row, rows of a pair meet by a sort, and the chain has all of its links."""
+    places = [(key, 7, row, 10 * key + 3 * row, 0) for key in range(1, 41) for row in (0, 1)]
+    places += [(100 + key, 7, 2, 10 * key, 0) for key in range(40)]  # seeds in one place
+    table = spark.createDataFrame(places, "key long, ctx long, row long, at long, around long").repartition(1)
+    found = passages._links(table, 50, True).collect()
+    tasks = spark.conf.get("spark.sql.shuffle.partitions")
+    assert {(x.row, x.other, x.at) for x in found} == {(0, 1, None)} and len(found) <= int(tasks) and sum(len(x.hits) for x in found) == 8 * 40
+    links = spark.createDataFrame([(x.row, x.other, None, x.level, bytes(x.hits[i : i + 8])) for x in found for i in range(0, len(x.hits), 8)], "row long, other long, at int, level int, hits binary")
+    for form in (links, links.limit(40)):
+        (one,) = passages._chains(form, 5, 17, 16).collect()
+        assert (one.row, one.other, one.a, one.b, one.n) == (0, 1, [10], [13], [395])
+
+
+def test_rows_of_one_value_stay_together():
+    """Batches that end within rows of one value are put together up to its last row."""
+    row = np.repeat(np.arange(9), [1, 700, 3, 2, 90, 1, 1, 400, 5])
+    batches = [pa.RecordBatch.from_arrays([pa.array(row[i : i + 37]), pa.array(np.arange(len(row))[i : i + 37])], ["row", "at"]) for i in range(0, len(row), 37)]
+    batches.insert(3, batches[0].slice(0, 0))
+    tables = list(passages._whole(iter(batches), "row"))
+    values = [set(t.column("row").to_pylist()) for t in tables]
+    assert sum(map(len, values)) == 9 and [x for t in tables for x in t.column("at").to_pylist()] == list(range(len(row)))
+
+
+def test_both_ends_grow_at_once():
+    """The words before and behind a chain are aligned in one go."""
+    words, at, room = np.arange(300), np.array([149, 150]), np.array([150, 150])
+    at_x, at_y, met, _ = passages._grown(words, at, at, room, room, np.array([-1, 1]))
+    assert at_x.tolist() == at_y.tolist() == met.tolist() == [150, 150]
